@@ -225,7 +225,7 @@ class WarcWriter(DataSourceWriter):
             for row in iterator:
                 if out is None:
                     name, size = f"part-{uuid.uuid4().hex}.warc{'.gz' * self.packed}", 0
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)  # else the name alone would compress again
                 data = bytes(row["record"])
                 if self.packed:
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
