@@ -163,7 +163,7 @@ def measurement_groups(rows: DataFrame) -> DataFrame:
 
 def block_means(pixels: DataFrame, by: list[str], factor: int, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
     """Means of factor x factor blocks, ragged edges over what they hold."""
-    return pixels.groupBy(*by, F.floor(F.col(x) / factor).alias("bx"), F.floor(F.col(y) / factor).alias("by")).agg(F.avg(v).alias("v"))
+    return pixels.groupBy(*by, F.floor(F.col(x) / factor).alias("block_x"), F.floor(F.col(y) / factor).alias("block_y")).agg(F.avg(v).alias("v"))
 
 
 def border_median(pixels: DataFrame, by: list[str], width: int, height: int, border: int = 2, v: str = "v") -> DataFrame:

@@ -52,9 +52,12 @@ def residue_filter(text: str) -> Column:
     Each clause becomes a SQL condition; and, or, not and parentheses are Spark SQL's own.  ValueError for what is neither."""
     words = re.findall(r"[()]|[^\s()]+", text)
     out: list[str] = []
-    k = 0
+    k, open_ = 0, True  # open_: a clause has to follow
     while k < len(words):
         w = words[k].lower()
+        if open_ == (w in ("and", "or", ")")):
+            raise ValueError(f'unexpected "{words[k]}"')
+        open_ = w in ("and", "or", "not", "(")
         if w in ("and", "or", "not", "(", ")"):
             out.append(w.upper())
             k += 1
@@ -67,6 +70,8 @@ def residue_filter(text: str) -> Column:
             raise ValueError(f'unknown field "{words[k]}" (want chain|resi|atom|element)')
     if not out:
         raise ValueError('empty query (want e.g. "chain A and resi 10:20")')
+    if open_:
+        raise ValueError("the query ends where a clause has to follow")
     return F.expr(" ".join(out))
 
 

@@ -25,9 +25,9 @@ def brick_ranges(voxels: DataFrame, size: int = 8, by: tuple[str, ...] = ("serie
     cell = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d) / size).cast("bigint") for d in (-1, 0, 1))))
     out = voxels
     for c in "xyz":
-        out = out.withColumn(f"b{c}", F.explode(F.filter(cell(c), lambda b: b >= 0)))
+        out = out.withColumn(f"brick_{c}", F.explode(F.filter(cell(c), lambda b: b >= 0)))
     v = F.when(~F.isnan("v"), F.col("v"))
-    return out.groupBy(*by, "bx", "by", "bz").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.bool_or(F.isnan("v")).alias("has_nan"))
+    return out.groupBy(*by, "brick_x", "brick_y", "brick_z").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.bool_or(F.isnan("v")).alias("has_nan"))
 
 
 def _shifted(mask: DataFrame, faces: tuple[tuple[int, int, int], ...], by: tuple[str, ...]) -> DataFrame:

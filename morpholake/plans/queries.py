@@ -64,10 +64,10 @@ def modality_guess(spark: S, d: str) -> D:
     return base(spark, d, "part").select("p_partkey", filters.guess_modality(F.col("p_name"), F.lit("")).alias("modality"))
 
 
-@query("""SELECT concept, name FROM terms WHERE contains(lower(name), 'an') OR contains(lower(concept), 'an') ORDER BY concept LIMIT 25""", "terms")
+@query("""SELECT concept, name FROM terms WHERE contains(lower(name), '1') OR contains(lower(concept), '1') ORDER BY concept LIMIT 25""", "terms")
 def term_search(spark: S, d: str) -> D:
     t = domain(spark, d, "terms")
-    return t.filter(F.lower("name").contains("an") | F.lower("concept").contains("an")).select("concept", "name").orderBy("concept").limit(25)
+    return t.filter(F.lower("name").contains("1") | F.lower("concept").contains("1")).select("concept", "name").orderBy("concept").limit(25)
 
 
 def _term_members(spark: S, d: str) -> D:
@@ -193,7 +193,7 @@ MATRIX = [0.0, -1.0, 0.0, 5.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0, 1.0, -3.0]
   FROM points p JOIN (SELECT * FROM (VALUES ('A', 0, 'one'), ('A', 1, 'turn'), ('B', 0, 'one'), ('C', 1, 'turn')) t(asym, copy_no, op)) c ON p.asym = c.asym""", "points")
 def assembly_copies(spark: S, d: str) -> D:
     copies = spark.createDataFrame([("A", 0, "one"), ("A", 1, "turn"), ("B", 0, "one"), ("C", 1, "turn")], "asym string, copy_no int, op string")
-    ops = spark.createDataFrame([("one", [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0]), ("turn", MATRIX)], "op string, m array<double>")
+    ops = spark.createDataFrame([("one", [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]), ("turn", MATRIX)], "op string, m array<double>")
     return joins.place_copies(domain(spark, d, "points").select("asym", "point_id", "x", "y", "z"), F.broadcast(copies), F.broadcast(ops))
 
 
@@ -229,11 +229,11 @@ def segments_table(spark: S, d: str) -> D:
     return voxels.segments_table(base(spark, d, "lineitem").select(F.col("l_linenumber").alias("label")), 1.5, names)
 
 
-@query("""SELECT block, point_id, position, at FROM (SELECT p.block, p.point_id, p.x + p.y / 100 AS position, a.at, row_number() OVER (PARTITION BY p.point_id ORDER BY abs(p.x + p.y / 100 - a.at), a.at) AS k FROM points p JOIN (SELECT * FROM (VALUES (3.0), (11.0), (12.5), (29.0)) t(at)) a ON true) WHERE k = 1""", "points")
+@query("""SELECT block, point_id, place, plane FROM (SELECT p.block, p.point_id, p.x + p.y / 100 AS place, CAST(a.plane AS DOUBLE) AS plane, row_number() OVER (PARTITION BY p.point_id ORDER BY abs(p.x + p.y / 100 - a.plane), a.plane) AS k FROM points p JOIN (SELECT * FROM (VALUES (3.0), (11.0), (12.5), (29.0)) t(plane)) a ON true) WHERE k = 1""", "points")
 def nearest_slice(spark: S, d: str) -> D:
     p = domain(spark, d, "points").select("block", "point_id", (F.col("x") + F.col("y") / 100).alias("position"))
     anchors = p.select("block").distinct().select("block", F.explode(F.array(*(F.lit(x) for x in (3.0, 11.0, 12.5, 29.0)))).alias("at"))
-    return joins.nearest_rank(p, anchors, "block")
+    return joins.nearest_rank(p, anchors, "block").withColumnsRenamed({"position": "place", "at": "plane"})
 
 
 # ---- aggregations
@@ -343,7 +343,7 @@ def measurement_groups(spark: S, d: str) -> D:
     return aggregates.measurement_groups(domain(spark, d, "measurements")).withColumn("total", F.round("total", 4))
 
 
-@query("""SELECT tile, CAST(floor(x / 8.0) AS BIGINT) AS bx, CAST(floor(y / 8.0) AS BIGINT) AS by, round(avg(v), 6) AS v FROM pixels GROUP BY ALL""", "pixels")
+@query("""SELECT tile, CAST(floor(x / 8.0) AS BIGINT) AS block_x, CAST(floor(y / 8.0) AS BIGINT) AS block_y, round(avg(v), 6) AS v FROM pixels GROUP BY ALL""", "pixels")
 def block_means(spark: S, d: str) -> D:
     return aggregates.block_means(domain(spark, d, "pixels"), ["tile"], 8).withColumn("v", r6("v"))
 
@@ -380,7 +380,7 @@ def mean_projection(spark: S, d: str) -> D:
     return voxels.slab(domain(spark, d, "voxels"), "coronal", 10, 1e9, "mean").withColumn("v", r6("v"))
 
 
-@query("""SELECT series, bx, by, bz, min(v) AS min, max(v) AS max, false AS has_nan FROM (SELECT DISTINCT series, x, y, z, v, CAST(floor((x + dx) / 8.0) AS BIGINT) AS bx, CAST(floor((y + dy) / 8.0) AS BIGINT) AS by, CAST(floor((z + dz) / 8.0) AS BIGINT) AS bz FROM voxels, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy), (VALUES (-1), (0), (1)) c(dz)) WHERE bx >= 0 AND by >= 0 AND bz >= 0 GROUP BY ALL""", "voxels")
+@query("""SELECT series, brick_x, brick_y, brick_z, min(v) AS min, max(v) AS max, false AS has_nan FROM (SELECT DISTINCT series, x, y, z, v, CAST(floor((x + dx) / 8.0) AS BIGINT) AS brick_x, CAST(floor((y + dy) / 8.0) AS BIGINT) AS brick_y, CAST(floor((z + dz) / 8.0) AS BIGINT) AS brick_z FROM voxels, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy), (VALUES (-1), (0), (1)) c(dz)) WHERE brick_x >= 0 AND brick_y >= 0 AND brick_z >= 0 GROUP BY ALL""", "voxels")
 def brick_ranges(spark: S, d: str) -> D:
     return voxels.brick_ranges(domain(spark, d, "voxels"))
 
@@ -406,13 +406,13 @@ def dose_stats(spark: S, d: str) -> D:
     return aggregates.dose_stats(v, ["series"], "i").withColumn("mean", r6("mean"))
 
 
-@query("""SELECT CAST(least(31, floor((k - 1) * 1.0 / n * 32)) AS BIGINT) AS bin, round(avg(v), 6) AS v FROM (SELECT o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 2 GROUP BY 1""")
+@query("""SELECT CAST(least(31, floor((k - 1) * 1.0 / n * 32)) AS BIGINT) AS bin, round(avg(v), 3) AS v FROM (SELECT o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 2 GROUP BY 1""")
 def tract_profile(spark: S, d: str) -> D:
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey")
     pts = base(spark, d, "orders").select(F.col("o_custkey").alias("line_id"), ((F.row_number().over(w.orderBy("o_orderkey")) - 1) / F.count("*").over(w)).alias("at"), F.col("o_totalprice").alias("v"))
-    return aggregates.profile_means(pts).withColumn("v", r6("v"))
+    return aggregates.profile_means(pts).withColumn("v", F.round("v", 3))
 
 
 # ---- ordered
@@ -428,14 +428,14 @@ def residue_ranges(spark: S, d: str) -> D:
     return ordered.integer_ranges(domain(spark, d, "atoms").filter("label_seq_id % 7 <> 0").withColumnRenamed("label_seq_id", "i"), ["label_asym_id"])
 
 
-@query("""SELECT block, count(*) + 1 AS slices, round(min(g), 6) AS min_gap, round(max(g), 6) AS max_gap, round(list_sort(list(g))[CAST(floor(count(*) / 2.0) AS INT) + 1], 6) AS median_gap FROM (SELECT block, at - lag(at) OVER (PARTITION BY block ORDER BY at) AS g FROM (SELECT DISTINCT block, x + y / 100 AS at FROM points)) WHERE g IS NOT NULL GROUP BY 1""", "points")
+@query("""SELECT block, count(*) + 1 AS slices, round(min(g), 6) AS min_gap, round(max(g), 6) AS max_gap, round(list_sort(list(g))[CAST(floor(count(*) / 2.0) AS INT) + 1], 6) AS median_gap FROM (SELECT block, p - lag(p) OVER (PARTITION BY block ORDER BY p) AS g FROM (SELECT DISTINCT block, x + y / 100 AS p FROM points)) WHERE g IS NOT NULL GROUP BY 1""", "points")
 def stack_gaps(spark: S, d: str) -> D:
     s = domain(spark, d, "points").select("block", (F.col("x") + F.col("y") / 100).alias("at")).distinct()
     return ordered.stack_gaps(s, ["block"]).withColumns({c: r6(c) for c in ("min_gap", "max_gap", "median_gap")})
 
 
-@query("""WITH RECURSIVE s AS (SELECT block, point_id AS row_no, x + y / 100 AS at, row_number() OVER (PARTITION BY block ORDER BY x + y / 100, point_id) AS k FROM (SELECT p_partkey AS point_id, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, CAST(p_partkey % 8 AS INT) AS block FROM part)),
-  f AS (SELECT block, row_no, k, at AS anchor, 0 AS cluster, 0 AS phase FROM s WHERE k = 1 UNION ALL SELECT s.block, s.row_no, s.k, CASE WHEN s.at - f.anchor >= 0.05 THEN s.at ELSE f.anchor END, CASE WHEN s.at - f.anchor >= 0.05 THEN f.cluster + 1 ELSE f.cluster END, CASE WHEN s.at - f.anchor >= 0.05 THEN 0 ELSE f.phase + 1 END
+@query("""WITH RECURSIVE s AS (SELECT block, point_id AS row_no, x + y / 100 AS p, row_number() OVER (PARTITION BY block ORDER BY x + y / 100, point_id) AS k FROM (SELECT p_partkey AS point_id, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, CAST(p_partkey % 8 AS INT) AS block FROM part)),
+  f AS (SELECT block, row_no, k, p AS anchor, 0 AS cluster, 0 AS phase FROM s WHERE k = 1 UNION ALL SELECT s.block, s.row_no, s.k, CASE WHEN s.p - f.anchor >= 0.05 THEN s.p ELSE f.anchor END, CASE WHEN s.p - f.anchor >= 0.05 THEN f.cluster + 1 ELSE f.cluster END, CASE WHEN s.p - f.anchor >= 0.05 THEN 0 ELSE f.phase + 1 END
   FROM f JOIN s ON s.block = f.block AND s.k = f.k + 1) SELECT block, row_no, cluster, phase FROM f""")
 def anchored_clusters(spark: S, d: str) -> D:
     s = domain(spark, d, "points").select("block", F.col("point_id").alias("row_no"), (F.col("x") + F.col("y") / 100).alias("at"))
@@ -562,14 +562,14 @@ def children(spark: S, d: str) -> D:
     return graph.children(domain(spark, d, "isa"), F.lit("r1"))
 
 
-CELLS_SQL = """WITH RECURSIVE p AS (SELECT tile, y * 48 + x AS i, x, y, v FROM (SELECT CAST(o_custkey % 6 AS INT) AS tile, CAST(o_orderkey % 48 AS INT) AS x, CAST((o_orderkey * 13) % 40 AS INT) AS y, max(CAST(o_custkey % 100 AS DOUBLE)) AS v FROM orders GROUP BY 1, 2, 3) WHERE v > 92),
+CELLS_SQL = """WITH RECURSIVE p AS (SELECT tile, y * 48 + x AS i, x, y, v FROM (SELECT CAST(o_custkey % 6 AS INT) AS tile, CAST(o_orderkey % 48 AS INT) AS x, CAST(o_custkey % 40 AS INT) AS y, max(CAST((o_orderkey * 7 + o_custkey) % 100 AS DOUBLE)) AS v FROM orders GROUP BY 1, 2, 3) WHERE v > 60),
   e AS (SELECT a.tile, a.i AS a, b.i AS b FROM p a JOIN p b ON a.tile = b.tile AND abs(a.x - b.x) + abs(a.y - b.y) = 1), r AS (SELECT tile, i, i AS c FROM p UNION SELECT r.tile, e.b, r.c FROM r JOIN e ON e.tile = r.tile AND e.a = r.i), g AS (SELECT tile, i, min(c) AS first FROM r GROUP BY 1, 2)
   SELECT g.tile, first, count(*) AS area, round(sum(x * v) / sum(v), 6) AS cx, round(avg(v), 6) AS mean, 4 * count(*) - CAST((SELECT count(*) FROM e JOIN g h ON h.tile = e.tile AND h.i = e.a WHERE h.tile = g.tile AND h.first = g.first) AS BIGINT) AS perimeter FROM g JOIN p USING (tile, i) GROUP BY 1, 2 HAVING count(*) >= 2"""
 
 
 @query(CELLS_SQL)
 def label_cells(spark: S, d: str) -> D:
-    return graph.label_cells(domain(spark, d, "pixels"), 48, 92, 2).select("tile", "first", "area", r6("cx").alias("cx"), r6("mean").alias("mean"), "perimeter")
+    return graph.label_cells(domain(spark, d, "pixels"), 48, 60, 2).select("tile", "first", "area", r6("cx").alias("cx"), r6("mean").alias("mean"), "perimeter")
 
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, CAST((p_partkey * 7) % 30 AS DOUBLE) AS z, CAST(p_partkey % 8 AS INT) AS block FROM part),
@@ -639,7 +639,7 @@ def escape_html(spark: S, d: str) -> D:
     return base(spark, d, "pages").select("page_id", scalars.escape_html(F.col("html")).alias("escaped"))
 
 
-@query("""SELECT p_partkey, lpad(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(p_name, '') IF c <> '']), lambda a, b: ((xor(a, b)::UBIGINT::UHUGEINT * 16777619) % 4294967296)::UBIGINT)), 8, '0') AS h FROM part""")
+@query("""SELECT p_partkey, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(p_name, '') IF c <> '']), lambda a, b: ((xor(a, b)::UBIGINT::UHUGEINT * 16777619) % 4294967296)::UBIGINT))), 8, '0') AS h FROM part""")
 def name_fingerprints(spark: S, d: str) -> D:
     return base(spark, d, "part").select("p_partkey", scalars.fnv1a(F.col("p_name")).alias("h"))
 

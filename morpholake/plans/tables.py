@@ -22,7 +22,7 @@ SQL_OF = {
     "worklist": """SELECT CAST(d.doc_id AS STRING) AS key, upper(d.lang) AS modality, d.source AS series_description, CASE WHEN d.n_chars % 3 = 0 THEN NULL ELSE d.n_chars END AS voxels, l.doc_id IS NOT NULL AS has_seg, CASE WHEN d.doc_id % 2 = 0 THEN 'local' ELSE 'remote' END AS source
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "voxels": """SELECT CAST(l_linenumber % 4 AS INT) AS series, CAST(l_partkey % 24 AS INT) AS x, CAST(l_suppkey % 20 AS INT) AS y, CAST(l_orderkey % 16 AS INT) AS z, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4""",
-    "pixels": """SELECT CAST(o_custkey % 6 AS INT) AS tile, CAST(o_orderkey % 48 AS INT) AS x, CAST((o_orderkey * 13) % 40 AS INT) AS y, max(CAST(o_custkey % 100 AS DOUBLE)) AS v FROM orders GROUP BY 1, 2, 3""",
+    "pixels": """SELECT CAST(o_custkey % 6 AS INT) AS tile, CAST(o_orderkey % 48 AS INT) AS x, CAST(o_custkey % 40 AS INT) AS y, max(CAST((o_orderkey * 7 + o_custkey) % 100 AS DOUBLE)) AS v FROM orders GROUP BY 1, 2, 3""",
     "channels": """SELECT p_brand AS channel, p_partkey AS i, CASE WHEN p_size % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS v FROM part""",
     "isa": """SELECT concat('c', CAST(c_custkey AS STRING)) AS node, concat('n', CAST(c_nationkey AS STRING)) AS parent FROM customer UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM nation
       UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), 'root' FROM region""",
