@@ -115,3 +115,42 @@ def pockets(points: DataFrame, contacts: DataFrame, buried: int, least: int) ->
     inner = contacts.select("a", "b").join(ids.withColumnRenamed("node", "a"), "a", "left_semi").join(ids.withColumnRenamed("node", "b"), "b", "left_semi")
     comp = components(exposed, inner).join(exposed, "node")
     return comp.groupBy("component").agg(F.count("*").alias("n"), F.avg("degree").alias("mean_degree")).filter(F.col("n") >= least)
+
+
+def fill_holes(mask: DataFrame, width: int, height: int, by: tuple[str, ...] = ("series", "z")) -> DataFrame:
+    """Pixels of a slice that the mask (rows of set pixels) encloses: background components that reach no border."""
+    slices = mask.select(*by).distinct()
+    grid = slices.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    empty = cut(grid.join(mask, [*by, "x", "y"], "left_anti").withColumn("node", F.struct(*by, "y", "x")))
+    comp = components(empty, cut(grid_edges(empty, "node", ("x", "y"), by)))
+    edge = (F.col("node.x") == 0) | (F.col("node.y") == 0) | (F.col("node.x") == width - 1) | (F.col("node.y") == height - 1)
+    open_ = comp.filter(edge).select("component").distinct()
+    return comp.join(open_, "component", "left_anti").select("node.*")
+
+
+def border_distance(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = ("series",), most: int = 64) -> DataFrame:
+    """Steps from each voxel of the mask to the nearest voxel outside, over faces: one erosion per step.
+
+    What is left after `most` steps has distance most + 1."""
+    from .voxels import erode
+
+    left, out, k = mask.select(*by, *axes), None, 0
+    while k < most and not left.isEmpty():
+        inner = cut(erode(left, by))
+        k += 1
+        ring = left.join(inner, [*by, *axes], "left_anti").withColumn("distance", F.lit(k))
+        out = ring if out is None else out.unionByName(ring)
+        left = inner
+    rest = left.withColumn("distance", F.lit(most + 1))
+    return rest if out is None else out.unionByName(rest)
+
+
+def largest_component(comp: DataFrame) -> DataFrame:
+    """The nodes of the largest component, the one of the smallest label on ties."""
+    best = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    return comp.join(best, "component", "left_semi")
+
+
+def without_small(comp: DataFrame, least: int) -> DataFrame:
+    small = comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") < least).select("component")
+    return comp.join(small, "component", "left_anti")

@@ -76,3 +76,31 @@ def row_bands(images: DataFrame, height: str = "height", band: int = 64) -> Data
     """Bands of rows that tile each image, the last one ragged."""
     starts = images.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col(height) - 1, F.lit(band))))
     return starts.withColumn("rows", F.least(F.lit(band), F.col(height) - F.col("y0")))
+
+
+def sobel(pixels: DataFrame, width: int, height: int, by: tuple[str, ...] = ("tile",)) -> DataFrame:
+    """Gradient magnitude of every pixel, edges repeated: a pixel sends its value with its weights to the nine it touches,
+    and each sums what it gets.  One shuffle, partial sums before it."""
+    moves = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    weight = lambda a, b: -a * (2 - abs(b))
+    sent = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in moves))
+    # A border pixel stands for its neighbours beyond the border as well.
+    copies = pixels.withColumn("_cx", F.explode(F.when(F.lit(width) == 1, F.array(*(F.lit(d) for d in (-1, 0, 1)))).when(F.col("x") == 0, F.array(F.lit(-1), F.lit(0))).when(F.col("x") == width - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    copies = copies.withColumn("_cy", F.explode(F.when(F.lit(height) == 1, F.array(*(F.lit(d) for d in (-1, 0, 1)))).when(F.col("y") == 0, F.array(F.lit(-1), F.lit(0))).when(F.col("y") == height - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    out = copies.withColumn("_m", F.explode(sent)).select(*by, (F.col("x") + F.col("_cx") + F.col("_m.dx")).alias("x"), (F.col("y") + F.col("_cy") + F.col("_m.dy")).alias("y"), F.col("_m.dx").alias("_dx"), F.col("_m.dy").alias("_dy"), "v")
+    out = out.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    gx = F.sum(F.when(F.col("_dx") != 0, weight(F.col("_dx"), 0) * (2 - F.abs("_dy")) / 2 * F.col("v")).otherwise(0.0))
+    gy = F.sum(F.when(F.col("_dy") != 0, weight(F.col("_dy"), 0) * (2 - F.abs("_dx")) / 2 * F.col("v")).otherwise(0.0))
+    return out.groupBy(*by, "x", "y").agg(F.sqrt(gx * gx + gy * gy).alias("gradient"))
+
+
+def tf_domain(voxels: DataFrame, by: list[str], step: int = 1, v: str = "v", index: str = "i") -> DataFrame:
+    """lo and hi for a transfer function from every step-th finite value: where a floor band (1/256 of the range) holds over
+    a fifth, it is left out; hi is the value at 0.99 of the rest."""
+    sample = voxels.filter((F.col(index) % step == 0) & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    ends = sample.groupBy(*by).agg(F.min(v).alias("lo"), F.max(v).alias("top"), F.count("*").alias("_n"))
+    floor_ = F.col(v) <= F.col("lo") + (F.col("top") - F.col("lo")) / 256
+    sized = sample.join(ends, by)
+    low = sized.groupBy(*by).agg(F.avg(floor_.cast("double")).alias("_share"))
+    rest = sized.join(low, by).filter(~(floor_ & (F.col("_share") > 0.2)))
+    return rest.groupBy(*by, "lo").agg(F.percentile_approx(v, 0.99, 100_000).alias("hi"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, scalars
-from ..operators import aggregates, filters, graph, joins, ordered, sets, voxels
+from ..operators import aggregates, filters, graph, joins, ordered, quality, sets, voxels
 from .registry import query
 from .tables import base, domain
 
@@ -658,3 +658,68 @@ def transfer_ramp(spark: S, d: str) -> D:
 def doubling_times(spark: S, d: str) -> D:
     a, b = (F.col("p_size") + 5).cast("double"), (F.col("p_partkey") % 60 + 1).cast("double")
     return base(spark, d, "part").filter(a < b).select("p_partkey", r6(scalars.doubling_time(a, b, F.lit(30.0))).alias("days"))
+
+
+# ---- checks and further stencils
+
+
+@query("""SELECT p_partkey, unnest(list_filter([CASE WHEN p_size - 3 <= 0 THEN 'dims.x: ' || CAST(p_size - 3 AS STRING) END, CASE WHEN p_partkey % 7 = 0 THEN 'spacing.y: 0.0' END, CASE WHEN p_partkey % 5 <> (p_size - 3) * 2 THEN 'length: ' || CAST(p_partkey % 5 AS STRING) || ' of ' || CAST((p_size - 3) * 2 AS STRING) END, CASE WHEN p_partkey % 3 > 0 THEN 'nan: ' || CAST(p_partkey % 3 AS STRING) END], lambda x: x IS NOT NULL)) AS problem FROM part""")
+def volume_problems(spark: S, d: str) -> D:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    v = base(spark, d, "part").select("p_partkey", (s - 3).alias("nx"), F.lit(2).alias("ny"), F.lit(1).alias("nz"), F.lit(1.0).alias("sx"), F.when(k % 7 == 0, 0.0).otherwise(1.0).alias("sy"), F.lit(2.0).alias("sz"), (k % 5).alias("n_values"), (k % 3).alias("n_nan"))
+    return quality.volume_problems(v, "p_partkey")
+
+
+@query("""SELECT series, f.finding AS finding, f.ok AS ok FROM (SELECT series, unnest([{'finding': 'unique', 'ok': n = u}, {'finding': 'complete', 'ok': u = a}, {'finding': 'one_size', 'ok': s = 1}]) AS f FROM (SELECT series, count(*) AS n, count(DISTINCT (x, y, z)) AS u, (max(x) + 1) * (max(y) + 1) * (max(z) + 1) AS a, count(DISTINCT (width, height)) AS s FROM (SELECT *, 512 AS width, 512 + CAST(series / 3 AS INT) * (x % 2) AS height FROM voxels) GROUP BY 1))""", "voxels")
+def axis_findings(spark: S, d: str) -> D:
+    v = domain(spark, d, "voxels").select("series", F.col("x").alias("t"), F.col("y").alias("c"), "z", F.lit(512).alias("width"), (F.lit(512) + F.floor(F.col("series") / 3 + 0.5) * (F.col("x") % 2)).alias("height"))
+    return quality.axis_findings(v, "series")
+
+
+@query("""SELECT c_custkey, CASE WHEN least(c_nationkey * 20 - 50 + 64, 256) > greatest(c_nationkey * 20 - 50, 0) AND least(c_custkey % 300 + 64, 256) > c_custkey % 300 THEN greatest(c_nationkey * 20 - 50, 0) END AS x, CASE WHEN least(c_nationkey * 20 - 50 + 64, 256) > greatest(c_nationkey * 20 - 50, 0) AND least(c_custkey % 300 + 64, 256) > c_custkey % 300 THEN least(c_custkey % 300 + 64, 256) - c_custkey % 300 END AS h FROM customer""")
+def clipped_rectangles(spark: S, d: str) -> D:
+    r = quality.clip_rectangle(F.col("c_nationkey") * 20 - 50, F.col("c_custkey") % 300, F.lit(64), F.lit(64), F.lit(256), F.lit(256))
+    return base(spark, d, "customer").select("c_custkey", r["x"].alias("x"), r["h"].alias("h"))
+
+
+@query("""SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'o_totalprice' END, CASE WHEN o_orderkey % 13 = 0 THEN 'o_orderstatus' END], lambda x: x IS NOT NULL)) AS field FROM orders""")
+def differing_fields(spark: S, d: str) -> D:
+    a = base(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    b = a.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderstatus")))
+    return quality.differing_fields(a, b, "o_orderkey")
+
+
+GRID = "g AS (SELECT tile, x, y, coalesce(v, 0) AS v FROM (SELECT * FROM (SELECT DISTINCT tile FROM pixels) t, (SELECT unnest(range(0, 48)) AS x) a, (SELECT unnest(range(0, 40)) AS y) b) q LEFT JOIN pixels p USING (tile, x, y))"
+
+
+def _grid(spark: S, d: str) -> D:
+    p = domain(spark, d, "pixels")
+    full = p.select("tile").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    return full.join(p, ["tile", "x", "y"], "left").select("tile", "x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+@query(f""", {GRID}, n AS (SELECT a.tile, a.x, a.y, dx, dy, b.v FROM g a, (VALUES (-1), (0), (1)) i(dx), (VALUES (-1), (0), (1)) j(dy), g b WHERE b.tile = a.tile AND b.x = least(47, greatest(0, a.x + dx)) AND b.y = least(39, greatest(0, a.y + dy)))
+  SELECT tile, x, y, round(sqrt(sum(dx * (2 - abs(dy)) * v) ** 2 + sum(dy * (2 - abs(dx)) * v) ** 2), 6) AS gradient FROM n GROUP BY 1, 2, 3""", "pixels")
+def slice_gradient(spark: S, d: str) -> D:
+    return voxels.sobel(_grid(spark, d), 48, 40).withColumn("gradient", r6("gradient"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT CAST(l_linenumber % 4 AS INT) AS series, CAST(l_partkey % 24 AS INT) AS x, CAST(l_suppkey % 20 AS INT) AS y, CAST(l_orderkey % 16 AS INT) AS z, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4), k AS (SELECT series, x, y, z FROM m WHERE v > 3),
+  g AS (SELECT s.series, x, y FROM (SELECT DISTINCT series FROM k WHERE z = 4) s, (SELECT unnest(range(0, 24)) AS x) a, (SELECT unnest(range(0, 20)) AS y) b), e AS (SELECT series, x, y FROM g EXCEPT SELECT series, x, y FROM k WHERE z = 4),
+  r AS (SELECT series, x, y FROM e WHERE x IN (0, 23) OR y IN (0, 19) UNION SELECT e.series, e.x, e.y FROM r JOIN e ON e.series = r.series AND abs(e.x - r.x) + abs(e.y - r.y) = 1) SELECT * FROM e EXCEPT SELECT * FROM r""")
+def fill_holes(spark: S, d: str) -> D:
+    m = domain(spark, d, "voxels").filter("v > 3 and z = 4").select("series", "x", "y")
+    return graph.fill_holes(m, 24, 20, ("series",)).select("series", "x", "y")
+
+
+@query("""SELECT s.series, x, y, z, CAST(least(x + 1, 6 - x, y + 1, 5 - y, z + 1, 7 - z) AS INT) AS distance FROM (SELECT DISTINCT CAST(l_linenumber % 4 AS INT) AS series FROM lineitem) s, (SELECT unnest(range(0, 6)) AS x) a, (SELECT unnest(range(0, 5)) AS y) b, (SELECT unnest(range(0, 7)) AS z) c""")
+def border_distance(spark: S, d: str) -> D:
+    boxes = base(spark, d, "lineitem").select((F.col("l_linenumber") % 4).cast("int").alias("series")).distinct()
+    for c, n in (("x", 6), ("y", 5), ("z", 7)):
+        boxes = boxes.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return graph.border_distance(boxes)
+
+
+@query("""SELECT channel, lo, hi FROM (SELECT channel, lo, list_sort(list(v))[CAST(ceil(count(*) * 0.99) AS INT)] AS hi FROM (SELECT *, avg((v <= lo + (top - lo) / 256)::INT) OVER (PARTITION BY channel) AS share FROM (SELECT *, min(v) OVER (PARTITION BY channel) AS lo, max(v) OVER (PARTITION BY channel) AS top FROM channels)) WHERE NOT (v <= lo + (top - lo) / 256 AND share > 0.2) GROUP BY 1, 2)""", "channels")
+def transfer_domain(spark: S, d: str) -> D:
+    return voxels.tf_domain(domain(spark, d, "channels"), ["channel"])
