@@ -61,6 +61,16 @@ def fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(-1))
 
 
+def hashed_sample(rows: DataFrame, most: int, key: list[str]) -> DataFrame:
+    """About `most` rows, chosen by a hash of key columns: all rows of a table of at most that many.
+
+    A filter, not a sort: each task keeps its share, and what is kept does not grow with the table."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

@@ -2,7 +2,7 @@
 
 score = sigmoid(bias + sum of w over a text's terms + sum over pairs of terms of <v_i, v_j>): the pairwise part learns what
 single weights cannot, such as an insult next to a mention of a group.  Terms are hashed into BUCKETS; training takes a
-bounded sample of labelled rows (SAMPLE_ROWS, by hash of the id), whose features, not texts, reach the driver.  Scoring is
+bounded sample of labelled rows (about SAMPLE_ROWS, by hash of the id), whose features, not texts, reach the driver.  Scoring is
 a scan with the broadcast model (BUCKETS x (RANK + 1) floats).
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, texts
+from .common import hashed_sample, pieces, texts
 
 BUCKETS = 1 << 17
 RANK = 4
@@ -34,6 +34,7 @@ RATE = 0.2
 DECAY = 1e-3
 TERM = regex.compile(r"\p{L}+")
 CACHE_TERMS = 300_000
+STEMS = (4, 5)
 
 
 @dataclass
@@ -43,16 +44,18 @@ class Model:
     v: np.ndarray
 
 
-def term_buckets(text: str, known: dict[str, int]) -> list[int]:
-    """The distinct buckets of a text's lower-cased runs of letters, ascending."""
+def term_buckets(text: str, known: dict[str, tuple[int, ...]]) -> list[int]:
+    """The distinct buckets of a text's lower-cased runs of letters and of their first letters (STEMS), ascending.
+
+    The first letters stand for a stem, so an insult is known in forms that no labelled text had."""
     if len(known) > CACHE_TERMS:
         known.clear()
-    out = set()
+    out: set[int] = set()
     for t in set(TERM.findall(text.lower())):
         b = known.get(t)
         if b is None:
-            b = known[t] = zlib.crc32(t.encode()) % BUCKETS
-        out.add(b)
+            b = known[t] = tuple(zlib.crc32(x.encode()) % BUCKETS for x in (t, *(f"{t[:n]}-" for n in STEMS if len(t) >= n)))
+        out.update(b)
     return sorted(out)
 
 
@@ -108,18 +111,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def train(labelled: DataFrame, label: str = "toxic", text: str = "text", order: str = "doc_id") -> Model:
-    """Fits on SAMPLE_ROWS rows with a label, those of the smallest hash of their order column.  A null text has no terms."""
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    sample = labelled.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.xxhash64(order).alias("h"), F.col(order).alias("o"))
+    """Fits on about SAMPLE_ROWS rows with a label, chosen by a hash of their order column (twice as many at the very most).
+    A null text has no terms."""
+    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("h", T.LongType())])
+    known_label = labelled.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.col(order).alias("o"))
+    sample = hashed_sample(known_label, SAMPLE_ROWS, ["o"]).select("label", "text", F.xxhash64("o", "text").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([term_buckets(x, known) for x in texts(batch)], pa.list_(pa.int32())), batch.column("h"), batch.column("o")], names=["label", "ids", "h", "o"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([term_buckets(x, known) for x in texts(batch)], pa.list_(pa.int32())), batch.column("h")], names=schema.names)
 
-    full = T.StructType([*schema.fields, T.StructField("h", T.LongType()), sample.schema["o"]])
-    # The smallest hashes are found per task before anything is sent on.
-    rows = sample.mapInArrow(run, full).orderBy("h", "o").limit(SAMPLE_ROWS).select("label", "ids").toArrow()
+    rows = sample.mapInArrow(run, schema).limit(2 * SAMPLE_ROWS).toArrow().sort_by("h")
     return fit([np.asarray(x, np.int64) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(float))
 
 
@@ -135,7 +138,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype(np.float32), model.v.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         own = Model(*shared.value)
         for batch in pieces(batches, 512):
             ids = [term_buckets(x, known) for x in texts(batch, text)]
