@@ -20,7 +20,7 @@ ACCURACY = 10_000
 FENCE = 3.0
 LEAST_GROUP = 50
 #: Measure -> (slack added beyond the fences, which fences bind).  The slack keeps a group of equal values from dropping a text over a trifle.
-MEASURES = {"symbol_share": (0.05, "high"), "dup_line_share": (0.20, "high"), "repeat_share": (0.20, "high"), "word_length": (2.0, "both")}
+MEASURES = {"symbol_share": (0.05, "high"), "dup_line_share": (0.50, "high"), "repeat_share": (0.30, "high"), "word_length": (2.0, "both")}
 
 
 def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
