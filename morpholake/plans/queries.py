@@ -406,12 +406,12 @@ def dose_stats(spark: S, d: str) -> D:
     return aggregates.dose_stats(v, ["series"], "i").withColumn("mean", r6("mean"))
 
 
-@query("""SELECT CAST(least(31, floor((k - 1) * 1.0 / n * 32)) AS BIGINT) AS bin, round(avg(v), 3) AS v FROM (SELECT o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 2 GROUP BY 1""")
+@query("""SELECT CAST(least(31, floor((k - 1) * 1.0 / n * 32)) AS BIGINT) AS bin, round(avg(v), 3) AS v FROM (SELECT round(o_totalprice * 100) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 2 GROUP BY 1""")
 def tract_profile(spark: S, d: str) -> D:
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey")
-    pts = base(spark, d, "orders").select(F.col("o_custkey").alias("line_id"), ((F.row_number().over(w.orderBy("o_orderkey")) - 1) / F.count("*").over(w)).alias("at"), F.col("o_totalprice").alias("v"))
+    pts = base(spark, d, "orders").select(F.col("o_custkey").alias("line_id"), ((F.row_number().over(w.orderBy("o_orderkey")) - 1) / F.count("*").over(w)).alias("at"), F.round(F.col("o_totalprice") * 100).alias("v"))
     return aggregates.profile_means(pts).withColumn("v", F.round("v", 3))
 
 
