@@ -251,3 +251,29 @@ def inside_box(x: Column, y: Column, z: Column, box: tuple[tuple[float, float],
     """In the box and on the positive side of the plane (normal and offset)."""
     out = between(x, *box[0]) & between(y, *box[1]) & between(z, *box[2])
     return out & (plane[0] * x + plane[1] * y + plane[2] * z >= plane[3]) if plane else out
+
+
+#: Format by the end of a file's name, longer ends first.
+NAME_ENDS = ((".ome.tiff", "ome-tiff"), (".ome.tif", "ome-tiff"), (".ome.zarr", "ome-zarr"), (".nii.gz", "nifti"), (".nii", "nifti"), (".nrrd", "nrrd"), (".nhdr", "nrrd"), (".dcm", "dicom"), (".tiff", "tiff"), (".tif", "tiff"), (".vcf", "vcf"), (".bed", "bed"), (".gff3", "gff"), (".gff", "gff"), (".gtf", "gtf"), (".fasta", "fasta"), (".fa", "fasta"), (".pdb", "pdb"), (".cif", "mmcif"), (".csv", "csv"), (".json", "json"))
+
+
+def format_by_name(name: Column) -> Column:
+    low = F.lower(name)
+    return reduce(lambda out, e: F.when(low.endswith(e[0]), e[1]).otherwise(out), reversed(NAME_ENDS), F.lit("unknown"))
+
+
+def find_structures(parts: DataFrame, concepts: DataFrame, query: str) -> DataFrame:
+    """Parts (element, name, concept) that a search text means, by the first rule that finds any: element id, concept id,
+    concept of that name, part of that name, part names that contain it, element ids that contain it.
+
+    concepts: concept, name, members.  rule says which; a blank text finds nothing.  All rules run in one pass over parts:
+    each part gets its best rule, and the best of all parts is one row."""
+    q = query.strip().lower()
+    if not q:
+        return parts.withColumn("rule", F.lit(0)).filter(F.lit(False))
+    wanted = concepts.filter((F.lower("concept") == q) | (F.lower("name") == q)).select(F.explode("members").alias("_m"), F.when(F.lower("concept") == q, 2).otherwise(3).alias("_r"))
+    named = parts.join(wanted.groupBy(F.col("_m")).agg(F.min("_r").alias("_r")), F.col("element") == F.col("_m"), "left")
+    own = F.when(F.lower("element") == q, 1).when(F.lower("concept") == q, 2).when(F.lower("name") == q, 4).when(F.lower("name").contains(q), 5).when(F.lower("element").contains(q), 6)
+    ruled = named.withColumn("rule", F.least(own, F.col("_r"))).filter("rule is not null").drop("_m", "_r")
+    best = ruled.agg(F.min("rule").alias("_best"))
+    return ruled.join(F.broadcast(best), F.col("rule") == F.col("_best"), "left_semi")

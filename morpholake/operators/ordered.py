@@ -119,3 +119,8 @@ def unordered_steps(rows: DataFrame, by: list[str], order: str, value: str) -> D
 def seeded_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """A permutation that depends on key and seed alone."""
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
+def work_queue(requests: DataFrame, key: str, tier: str, arrival: str) -> DataFrame:
+    """One row per key, its best tier and, within that, its first arrival; in the order of the queue."""
+    return requests.groupBy(key).agg(F.min(F.struct(tier, arrival)).alias("m")).select(key, f"m.{tier}", f"m.{arrival}").orderBy(tier, arrival)

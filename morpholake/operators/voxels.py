@@ -104,3 +104,54 @@ def tf_domain(voxels: DataFrame, by: list[str], step: int = 1, v: str = "v", ind
     low = sized.groupBy(*by).agg(F.avg(floor_.cast("double")).alias("_share"))
     rest = sized.join(low, by).filter(~(floor_ & (F.col("_share") > 0.2)))
     return rest.groupBy(*by, "lo").agg(F.percentile_approx(v, 0.99, 100_000).alias("hi"))
+
+
+def sample_trilinear(points: DataFrame, grid: DataFrame, by: tuple[str, ...] = ("series",), key: str = "point_id") -> DataFrame:
+    """by, key, v: the grid's value at each point (px, py, pz in voxels) from its eight corners; null where one is missing.
+
+    A point sends its weight to each corner with one, so the lookup is an equi-join on the voxel."""
+    corners = F.array(*(F.struct(*(F.lit(d >> k & 1).alias(f"d{c}") for k, c in enumerate("xyz"))) for d in range(8)))
+    sent = points.withColumn("_d", F.explode(corners))
+    for c in "xyz":
+        low = F.floor(F.col(f"p{c}"))
+        part = F.col(f"p{c}") - low
+        sent = sent.withColumn(c, (low + F.col(f"_d.d{c}")).cast("int")).withColumn(f"_w{c}", F.when(F.col(f"_d.d{c}") == 1, part).otherwise(1 - part))
+    sent = sent.withColumn("_w", F.col("_wx") * F.col("_wy") * F.col("_wz")).filter("_w > 0").select(*by, key, "x", "y", "z", "_w")
+    met = sent.join(grid.select(*by, "x", "y", "z", "v"), [*by, "x", "y", "z"], "left")
+    return met.groupBy(*by, key).agg(F.when(F.count("v") == F.count("*"), F.sum(F.col("_w") * F.col("v"))).alias("v"))
+
+
+def oblique_projection(rays: DataFrame, grid: DataFrame, steps: int, mode: str = "max", by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """by, ray_id, v: max, min or mean of the samples along each ray (ox, oy, oz and a step dx, dy, dz); 0 without a hit."""
+    along = rays.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    points = along.select(*by, F.struct("ray_id", "_t").alias("at"), *((F.col(f"o{c}") + F.col("_t") * F.col(f"d{c}")).alias(f"p{c}") for c in "xyz"))
+    how = {"max": F.max, "min": F.min, "mean": F.avg}[mode]
+    return sample_trilinear(points, grid, by, "at").groupBy(*by, F.col("at.ray_id").alias("ray_id")).agg(F.coalesce(how("v"), F.lit(0.0)).alias("v"))
+
+
+def rasterize(contours: DataFrame, width: int, by: tuple[str, ...] = ("roi", "z")) -> DataFrame:
+    """by, x, y: pixels whose centre lies inside closed contours (contour, order, px, py), even-odd over all of one plane.
+
+    An edge meets the rows between its ends; the crossings of a row, sorted, pair up to spans."""
+    from pyspark.sql import Window
+
+    ring = Window.partitionBy(*by, "contour")
+    next_ = lambda c: F.coalesce(F.lead(c).over(ring.orderBy("order")), F.first(c).over(ring.orderBy("order")))
+    edges = contours.withColumn("qx", next_("px")).withColumn("qy", next_("py")).filter("py <> qy")
+    low, high = F.least("py", "qy"), F.greatest("py", "qy")
+    # A row's centre y crosses an edge where low <= y < high, so a vertex counts once.
+    rows = edges.withColumn("y", F.explode(F.when(F.ceil(low) <= F.ceil(high) - 1, F.sequence(F.ceil(low), F.ceil(high) - 1)))).withColumn("at", F.col("px") + (F.col("y") - F.col("py")) / (F.col("qy") - F.col("py")) * (F.col("qx") - F.col("px")))
+    row = Window.partitionBy(*by, "y").orderBy("at", "contour", "order")
+    spans = rows.withColumn("k", F.row_number().over(row)).withColumn("end", F.lead("at").over(row)).filter("k % 2 = 1 and end is not null")
+    first, last = F.greatest(F.ceil("at"), F.lit(0)), F.least(F.ceil("end") - 1, F.lit(width - 1))
+    return spans.withColumn("x", F.explode(F.when(first <= last, F.sequence(first, last)))).select(*by, "x", "y").distinct()
+
+
+def run_lengths(pixels: DataFrame, by: list[str], order: str, v: str = "v") -> DataFrame:
+    """by, start, length and value of runs of equal values in order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(order)
+    new = F.coalesce((F.col(v) != F.lag(v).over(w)).cast("int"), F.lit(1))
+    marked = pixels.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))
+    return marked.groupBy(*by, "_g").agg(F.min(order).alias("start"), F.count("*").alias("length"), F.first(v).alias("value")).drop("_g")

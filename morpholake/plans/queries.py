@@ -723,3 +723,60 @@ def border_distance(spark: S, d: str) -> D:
 @query("""SELECT channel, lo, hi FROM (SELECT channel, lo, list_sort(list(v))[CAST(ceil(count(*) * 0.99) AS INT)] AS hi FROM (SELECT *, avg((v <= lo + (top - lo) / 256)::INT) OVER (PARTITION BY channel) AS share FROM (SELECT *, min(v) OVER (PARTITION BY channel) AS lo, max(v) OVER (PARTITION BY channel) AS top FROM channels)) WHERE NOT (v <= lo + (top - lo) / 256 AND share > 0.2) GROUP BY 1, 2)""", "channels")
 def transfer_domain(spark: S, d: str) -> D:
     return voxels.tf_domain(domain(spark, d, "channels"), ["channel"])
+
+
+@query("""WITH voxels AS (SELECT series, x, y, z, v FROM (SELECT CAST(l_linenumber % 4 AS INT) AS series, CAST(l_partkey % 24 AS INT) AS x, CAST(l_suppkey % 20 AS INT) AS y, CAST(l_orderkey % 16 AS INT) AS z, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4)),
+  p AS (SELECT p_partkey AS id, CAST(p_partkey % 4 AS INT) AS series, (p_partkey % 90) / 4.0 AS px, (p_size % 36) / 2.0 AS py, CAST(p_size % 15 AS DOUBLE) AS pz FROM part),
+  s AS (SELECT id, series, CAST(floor(px) AS INT) + dx AS x, CAST(floor(py) AS INT) + dy AS y, CAST(pz AS INT) AS z, (CASE dx WHEN 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) * (CASE dy WHEN 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) AS w FROM p, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
+  SELECT series, id AS point_id, round(CASE WHEN count(v) = count(*) THEN sum(w * v) END, 6) AS v FROM s LEFT JOIN voxels USING (series, x, y, z) WHERE w > 0 GROUP BY 1, 2""")
+def trilinear_samples(spark: S, d: str) -> D:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    p = base(spark, d, "part").select(k.alias("point_id"), (k % 4).cast("int").alias("series"), (k % 90 / 4.0).alias("px"), (s % 36 / 2.0).alias("py"), (s % 15).cast("double").alias("pz"))
+    return voxels.sample_trilinear(p, domain(spark, d, "voxels")).withColumn("v", r6("v"))
+
+
+@query("""SELECT s.series, r.ray_id, coalesce(max(v), 0) AS v FROM (SELECT DISTINCT series FROM voxels) s JOIN (SELECT unnest(range(0, 24)) AS ray_id) r ON true LEFT JOIN voxels q ON q.series = s.series AND q.x = r.ray_id AND q.y = q.z AND q.z < 10 GROUP BY 1, 2""", "voxels")
+def diagonal_projection(spark: S, d: str) -> D:
+    v = domain(spark, d, "voxels")
+    rays = v.select("series").distinct().withColumn("ray_id", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    rays = rays.select("series", "ray_id", F.col("ray_id").cast("double").alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(1.0).alias("dy"), F.lit(1.0).alias("dz"))
+    return voxels.oblique_projection(rays, v, 10)
+
+
+@query("""SELECT p_partkey AS roi, CAST(0 AS INT) AS z, x, y FROM part, (SELECT unnest(range(0, 64)) AS x) a, (SELECT unnest(range(0, 64)) AS y) b WHERE p_partkey % 20 = 0 AND x >= p_size / 2.0 AND x < p_size / 2.0 + 10.5 AND y >= p_partkey % 30 AND y < p_partkey % 30 + 7 AND NOT (x >= p_size / 2.0 + 2 AND x < p_size / 2.0 + 5 AND y >= p_partkey % 30 + 2 AND y < p_partkey % 30 + 4)""")
+def contour_masks(spark: S, d: str) -> D:
+    x, y = F.col("p_size") / 2.0, (F.col("p_partkey") % 30).cast("double")
+    box = lambda k, x0, y0, x1, y1: [F.struct(F.lit(k).alias("contour"), F.lit(i).alias("order"), px.alias("px"), py.alias("py")) for i, (px, py) in enumerate(((x0, y0), (x1, y0), (x1, y1), (x0, y1)))]
+    corners = F.array(*box(0, x, y, x + 10.5, y + 7), *box(1, x + 2, y + 2, x + 5, y + 4))
+    contours = base(spark, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("roi"), F.lit(0).alias("z"), F.explode(corners).alias("c")).select("roi", "z", "c.*")
+    return voxels.rasterize(contours, 64)
+
+
+@query("""SELECT user_id, min(event_id) AS start, count(*) AS length, any_value(event_type) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS n FROM events)) GROUP BY user_id, g""")
+def run_lengths(spark: S, d: str) -> D:
+    return voxels.run_lengths(base(spark, d, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query("""SELECT p_type AS key, t.tier, t.arrival FROM (SELECT p_type, min(p_size % 4) AS tier FROM part GROUP BY 1) a JOIN (SELECT p_type AS k, p_size % 4 AS tier, min(p_partkey) AS arrival FROM part GROUP BY 1, 2) t ON t.k = a.p_type AND t.tier = a.tier""")
+def work_queue(spark: S, d: str) -> D:
+    p = base(spark, d, "part").select(F.col("p_type").alias("key"), (F.col("p_size") % 4).alias("tier"), F.col("p_partkey").alias("arrival"))
+    return ordered.work_queue(p, "key", "tier", "arrival")
+
+
+@query("""SELECT s_suppkey AS element, s_name AS name, CAST(5 AS INT) AS rule FROM supplier WHERE contains(lower(s_name), '00001')""")
+def find_structures(spark: S, d: str) -> D:
+    parts = base(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("element"), F.col("s_name").alias("name"), F.lit("FMA").alias("concept"))
+    out = filters.find_structures(parts, _term_members(spark, d), "00001")
+    return out.select(F.col("element").cast("bigint").alias("element"), "name", "rule")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'nifti' WHEN 1 THEN 'ome-tiff' WHEN 2 THEN 'tiff' ELSE 'unknown' END AS format FROM part""")
+def formats_by_name(spark: S, d: str) -> D:
+    ends = F.array(*(F.lit(e) for e in (".NII.gz", ".ome.tif", ".TIF", ".x")))
+    return base(spark, d, "part").select("p_partkey", filters.format_by_name(F.concat("p_name", F.get(ends, (F.col("p_partkey") % 4).cast("int")))).alias("format"))
+
+
+@query("""SELECT s_suppkey, CAST(i AS STRING) || '.' || x AS op FROM supplier, (SELECT unnest(range(1, 4)) AS i) a, (VALUES ('P'), ('X0')) b(x) WHERE i <= 1 + s_suppkey % 3""")
+def operator_products(spark: S, d: str) -> D:
+    text = F.format_string("(1-%d)(P,X0)", 1 + F.col("s_suppkey") % 3)
+    return base(spark, d, "supplier").select("s_suppkey", F.explode(joins.operator_products(text)).alias("c")).select("s_suppkey", F.array_join("c", ".").alias("op"))
