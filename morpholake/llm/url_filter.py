@@ -8,9 +8,11 @@ never block a host.  Sums of outcomes are all that is shuffled; a hot host is on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (host, path, verdict): the rules of the contract.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 LIMIT = 0.5
@@ -51,37 +53,41 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def _level(sums: DataFrame, key: str, parent: DataFrame, up: str) -> DataFrame:
-    """Posterior a, b of each group of a level.  sums: key, up, bad, n.  parent: up's key, a, b.
+def _weight(moments: Row) -> float:
+    """The prior's weight from c, v and e: sums over groups of m(1 - m) n, (share - m)^2 n and m(1 - m)."""
+    low, high = WEIGHTS
+    if moments["c"] is None or moments["c"] <= 0 or moments["v"] <= moments["e"]:
+        return high
+    return min(high, max(low, moments["c"] / (moments["v"] - moments["e"]) - 1))
+
+
+def _posterior(joined: DataFrame, *keys: str) -> DataFrame:
+    """keys, a and b of each group of a level.  joined: keys, bad, n and m, the parent's posterior mean.
 
-    The prior has the parent's posterior mean m; its weight w comes from all groups: with the groups' shares varying by v
-    around their parents, and m(1 - m)/n of that by chance, w = m(1 - m)/(v - chance) - 1, held to WEIGHTS."""
-    prior = parent.select(F.col(up).alias("_up"), (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    joined = sums.join(prior, sums[up] == prior["_up"]).drop("_up")
+    The prior's weight comes from all groups with more than one outcome: their shares vary around m, by chance alone with
+    m(1 - m)/n.  One row of sums comes to the driver."""
     spread, chance = F.pow(F.col("bad") / F.col("n") - F.col("m"), 2), F.col("m") * (1 - F.col("m"))
-    by = F.col("n") > 1
-    moments = joined.filter(by).agg(F.sum(chance * F.col("n")).alias("c"), F.sum(spread * F.col("n")).alias("v"), F.sum(chance).alias("e"))
-    excess = F.col("v") - F.col("e")
-    weight = moments.select(F.when(F.col("c").isNull() | (excess <= 0) | (F.col("c") <= 0), F.lit(WEIGHTS[1])).otherwise(F.least(F.lit(WEIGHTS[1]), F.greatest(F.lit(WEIGHTS[0]), F.col("c") / excess - 1))).alias("w"))
-    # One row: joined as a scalar, not as a product of tables.
-    return joined.withColumn("w", weight.scalar()).select(key, up, (F.col("bad") + F.col("w") * F.col("m")).alias("a"), (F.col("n") - F.col("bad") + F.col("w") * (1 - F.col("m"))).alias("b"))
+    moments = joined.filter("n > 1").agg(F.sum(chance * F.col("n")).alias("c"), F.sum(spread * F.col("n")).alias("v"), F.sum(chance).alias("e")).first()
+    w = F.lit(float(_weight(moments)))
+    return joined.select(*keys, (F.col("bad") + w * F.col("m")).alias("a"), (F.col("n") - F.col("bad") + w * (1 - F.col("m"))).alias("b"))
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """(host, mean, low): posterior mean and lower bound of the bad share of every host in outcomes.
 
     outcomes: host, bad (true, false, or null for a page without an outcome).  A host without outcomes has its domain's
-    posterior mean; without any outcome at all, every host has mean 1/2 and a bound below it."""
+    posterior mean; without any outcome at all, every host has mean 1/2 and a bound below it.  The sums of each level are
+    written to the shared folder: pages are read once, and each level joins the one above by its key."""
     hosts = outcomes.groupBy("host").agg(F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("bad"), F.count("bad").alias("n"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))).withColumn("root", F.lit("all"))
-    domains = hosts.groupBy("domain", "suffix", "root").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix", "root").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    root = suffixes.groupBy("root").agg((F.sum("bad") + 1).alias("a"), (F.sum("n") - F.sum("bad") + 1).alias("b"))
-    top = _level(suffixes, "suffix", root, "root")
-    mid = _level(domains, "domain", top, "suffix")
-    low = _level(hosts, "host", mid, "domain")
+    hosts = materialize(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "hosts")
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffixes")
+    whole = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    mean = F.col("a") / (F.col("a") + F.col("b"))
+    top = _posterior(suffixes.withColumn("m", F.lit((whole["bad"] + 1) / (whole["n"] + 2))), "suffix").select(F.col("suffix").alias("_up"), mean.alias("m"))
+    mid = _posterior(materialize(domains.join(top, F.col("suffix") == F.col("_up")), "domains"), "domain").select(F.col("domain").alias("_up"), mean.alias("m"))
+    low = _posterior(materialize(hosts.join(mid, F.col("domain") == F.col("_up")), "hosts"), "host")
     total = F.col("a") + F.col("b")
-    mean = F.col("a") / total
     return low.select("host", mean.alias("mean"), (mean - Z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))).alias("low"))
 
 
