@@ -155,3 +155,18 @@ def run_lengths(pixels: DataFrame, by: list[str], order: str, v: str = "v") -> D
     new = F.coalesce((F.col(v) != F.lag(v).over(w)).cast("int"), F.lit(1))
     marked = pixels.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))
     return marked.groupBy(*by, "_g").agg(F.min(order).alias("start"), F.count("*").alias("length"), F.first(v).alias("value")).drop("_g")
+
+
+def level_set(pixels: DataFrame, band: int = 2, by: tuple[str, ...] = ("tile",)) -> DataFrame:
+    """One pass of a two-mean level set over pixels (x, y, v, mask 0 or 1): pixels with one of the other side within the
+    band join the side whose mean is nearer, the inside on ties.  Where a side is empty or both means agree, all stays.
+
+    All pixels are judged by the mask as it was, so the result does not depend on an order."""
+    means = pixels.groupBy(*by).agg(F.avg(F.when(F.col("mask") == 1, F.col("v"))).alias("_in"), F.avg(F.when(F.col("mask") == 0, F.col("v"))).alias("_out"))
+    moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-band, band + 1) for dy in range(-band, band + 1)))
+    sent = pixels.withColumn("_m", F.explode(moves)).select(*by, (F.col("x") + F.col("_m.dx")).alias("x"), (F.col("y") + F.col("_m.dy")).alias("y"), "mask")
+    sides = sent.groupBy(*by, "x", "y").agg(F.min("mask").alias("_lo"), F.max("mask").alias("_hi"))
+    near = F.abs(F.col("v") - F.col("_in")) <= F.abs(F.col("v") - F.col("_out"))
+    moved = (F.col("_lo") != F.col("_hi")) & F.coalesce(F.col("_in") != F.col("_out"), F.lit(False))
+    joined = pixels.join(sides, [*by, "x", "y"]).join(means, list(by))
+    return joined.withColumn("mask", F.when(moved, near.cast("int")).otherwise(F.col("mask"))).drop("_in", "_out", "_lo", "_hi")
