@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from .common import pieces, texts
 
-SLICE_BYTES = 16_000_000
-CACHE_PARTS = 400_000
+SLICE_BYTES = 5_000_000
+CACHE_PARTS = 200_000
+SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 LONG_WORD = 400
 #: Split patterns under which a single space between other characters starts a match.
 GAPPED = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
@@ -45,20 +46,20 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.made: dict[int, int] = {}  # pair of ids -> rank of what it makes, -1 if nothing
 
     def pair_rank(self, a: int, b: int) -> int:
         r = self.made.get(key := a << 32 | b)
         if r is None:
-            if len(self.made) > 500_000:
+            if len(self.made) > 250_000:
                 self.made.clear()
             r = self.made[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return r
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pairs, at = np.unique(a << 32 | b, return_inverse=True)
-        return np.array([self.pair_rank(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], np.int64)[at]
+        pairs, at = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        return np.array([self.pair_rank(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], np.int32)[at]
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word.  A word that is itself a token takes that token without any merge."""
@@ -69,12 +70,12 @@ class Replay:
         size = np.array([len(words[k]) for k in rest])
         ends = np.cumsum(size)
         n, starts = int(ends[-1]), ends - size
-        word = np.repeat(np.arange(len(rest)), size)
+        word = np.repeat(np.arange(len(rest), dtype=np.int32), size)
         ids = self.byte_id[np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[ends - 1] = prv[starts] = -1
-        now = np.full(n, -1)  # rank of the pair that starts at a position
-        left = np.flatnonzero(nxt >= 0)
+        now = np.full(n, -1, np.int32)  # rank of the pair that starts at a position
+        left = np.flatnonzero(nxt >= 0).astype(np.int32)
         index: dict[int, list[np.ndarray]] = {}  # the inverted index: rank of a pair -> positions of its left parts
         heap: list[int] = []
 
@@ -102,9 +103,9 @@ class Replay:
             prv[k[more]] = i[more]
             now[i[~more]] = -1
             if more.any():
-                enter(i[more], self.pair_ranks(np.full(int(more.sum()), r), ids[k[more]]))
+                enter(i[more], self.pair_ranks(np.full(int(more.sum()), r, np.int32), ids[k[more]]))
             if len(h := h[h >= 0]):
-                enter(h, self.pair_ranks(ids[h], np.full(len(h), r)))
+                enter(h, self.pair_ranks(ids[h], np.full(len(h), r, np.int32)))
 
         enter(left, self.pair_ranks(ids[left], ids[nxt[left]]))
         while heap:
@@ -163,27 +164,47 @@ class Encoder:
         self.known: tuple[dict[str, tuple[int, ...]], ...] = ({}, {})  # of parts at the start of a text, and after a space
 
     def encode(self, docs: list[str]) -> list[list[int]]:
-        parts = [x.split(" ") for x in docs] if self.gapped else [[x] for x in docs]
-        odd = {p for ps in parts if len(ps) > 1 for p in ps if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            parts = [ps if len(ps) == 1 or odd.isdisjoint(ps) else regex.split(r"(?<=\S) (?=\S)", x) for ps, x in zip(parts, docs, strict=True)]
+        """Ids of each text.  Texts are cut twice, first for the parts that are new, then for the ids, so that the parts of
+        one text only are held at a time."""
         if sum(map(len, self.known)) > CACHE_PARTS:
             self.known = ({}, {})
         first, later = self.known
-        new = list({ps[0] for ps in parts} - first.keys())
-        new_later = list({p for ps in parts for p in ps[1:]} - later.keys())
+        new, new_later, odd = set(), set(), set()
+        for k, x in enumerate(docs):
+            parts = x.split(" ") if self.gapped else [x]
+            fresh = set(parts[1:]).difference(later)
+            if len(parts) > 1 and (_has_gap(parts[0]) or any(map(_has_gap, fresh))):
+                odd.add(k)
+                parts = SINGLE_SPACE.split(x)
+                fresh = set(parts[1:]).difference(later)
+            new_later |= fresh
+            if parts[0] not in first:
+                new.add(parts[0])
+        starts, rest = list(new), list(new_later)
         split = self.pattern.findall
-        words = [split(p) for p in new] + [split(" " + p) for p in new_later]
+        words = [split(p) for p in starts] + [split(" " + p) for p in rest]
         distinct = list({w for ws in words for w in ws})
         ids = dict(zip(distinct, self.replay.encode([w.encode() for w in distinct]), strict=True))
         made = [tuple([i for w in ws for i in ids[w]]) for ws in words]
-        first.update(zip(new, made, strict=False))
-        later.update(zip(new_later, made[len(new) :], strict=True))
-        return [[*first[ps[0]], *[i for p in ps[1:] for i in later[p]]] for ps in parts]
+        first.update(zip(starts, made, strict=False))
+        later.update(zip(rest, made[len(starts) :], strict=True))
+        out = []
+        for k, x in enumerate(docs):
+            parts = SINGLE_SPACE.split(x) if k in odd else x.split(" ") if self.gapped else [x]
+            own = list(first[parts[0]])
+            for p in parts[1:]:
+                own += later[p]
+            out.append(own)
+        return out
+
+
+def _has_gap(part: str) -> bool:
+    """Whether a space beside this part is not a single one between other characters."""
+    return not part or part[0].isspace() or part[-1].isspace()
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches of about SLICE_BYTES of text."""
+    """Batches of about SLICE_BYTES of text, one row at least."""
     for batch in batches:
         rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column(column).nbytes))
         yield from pieces(iter([batch]), rows)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     seen, seen_1 = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, doc, BUCKETS)
     share = seen / len(labels)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / labels.sum() + 1 / (len(labels) - labels.sum())))
+    del flat, doc
     often = (seen >= LEAST_TEXTS) & (np.abs(seen_1 / labels.sum() - (seen - seen_1) / (len(labels) - labels.sum())) > STANDARD_ERRORS * error)
     rows = [r[often[r]] for r in rows]
     model.v[often] = rng.normal(0, 0.01, (int(often.sum()), RANK))
@@ -123,7 +125,10 @@ def train(labelled: DataFrame, label: str = "toxic", text: str = "text", order:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([term_buckets(x, known) for x in texts(batch)], pa.list_(pa.int32())), batch.column("h")], names=schema.names)
 
     rows = sample.mapInArrow(run, schema).limit(2 * SAMPLE_ROWS).toArrow().sort_by("h")
-    return fit([np.asarray(x, np.int64) for x in rows.column("ids").to_pylist()], rows.column("label").to_numpy().astype(float))
+    # As flat arrays, not Python lists: the sample has millions of ids.
+    flat, size = pc.list_flatten(rows.column("ids")).to_numpy(), pc.list_value_length(rows.column("ids")).to_numpy()
+    labels = rows.column("label").to_numpy().astype(float)
+    return fit(np.split(flat, np.cumsum(size)[:-1]) if len(size) else [], labels)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
