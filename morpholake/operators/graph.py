@@ -128,15 +128,21 @@ def fill_holes(mask: DataFrame, width: int, height: int, by: tuple[str, ...] = (
     return comp.join(open_, "component", "left_anti").select("node.*")
 
 
+def _inner(mask: DataFrame, axes: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """Cells of the mask with a neighbour on either side of each axis: each cell votes for its neighbours, one shuffle."""
+    steps = F.array(*(F.struct(*((F.col(c) + (d if c == a else 0)).alias(c) for c in axes), F.lit(1).alias("vote")) for a in axes for d in (1, -1)), F.struct(*axes, F.lit(0).alias("vote")))
+    votes = mask.select(*by, F.explode(steps).alias("_s")).select(*by, "_s.*")
+    counted = votes.groupBy(*by, *axes).agg(F.sum("vote").alias("votes"), F.min("vote").alias("own"))
+    return counted.filter((F.col("own") == 0) & (F.col("votes") == 2 * len(axes))).select(*by, *axes)
+
+
 def border_distance(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = ("series",), most: int = 64) -> DataFrame:
     """Steps from each voxel of the mask to the nearest voxel outside, over faces: one erosion per step.
 
     What is left after `most` steps has distance most + 1."""
-    from .voxels import erode
-
     left, out, k = mask.select(*by, *axes), None, 0
     while k < most and not left.isEmpty():
-        inner = cut(erode(left, by))
+        inner = cut(_inner(left, axes, by))
         k += 1
         ring = left.join(inner, [*by, *axes], "left_anti").withColumn("distance", F.lit(k))
         out = ring if out is None else out.unionByName(ring)
