@@ -172,11 +172,11 @@ class Encoder:
         new, new_later, odd = set(), set(), set()
         for k, x in enumerate(docs):
             parts = x.split(" ") if self.gapped else [x]
-            fresh = set(parts[1:]).difference(later)
+            fresh = set(parts[1:]).difference(later, new_later)
             if len(parts) > 1 and (_has_gap(parts[0]) or any(map(_has_gap, fresh))):
                 odd.add(k)
                 parts = SINGLE_SPACE.split(x)
-                fresh = set(parts[1:]).difference(later)
+                fresh = set(parts[1:]).difference(later, new_later)
             new_later |= fresh
             if parts[0] not in first:
                 new.add(parts[0])
