@@ -5,8 +5,10 @@ most frequent words, an end and a rest symbol; log p(word) = log p(class | state
 of the rest is spread by its count: p(rest | state) * (c + 0.1) / (mass of the rest).  So every word has a probability, and
 the probabilities of all words and one unseen add up to one.
 
-The model is trained on a bounded sample (SAMPLE_TOKENS) by truncated backpropagation through WINDOW steps, states carried
-on.  Scoring packs the documents of a task into LANES lanes; a lane's state runs on across windows to the document's end,
+The model is trained on every row, whole, by truncated backpropagation through WINDOW steps, states carried on to the end
+of each text.  A hash deals the rows over ROUNDS; in a round each task goes on from the same network over its share of
+them, and the networks, weighted by the symbols that they learned from, are averaged chunk by chunk for the next round.
+Tables of under REPEAT_TOKENS are gone over twice.  Scoring packs the documents of a task into LANES lanes; a lane's state runs on across windows to the document's end,
 so each log-likelihood is of the complete text.  Counts of the HEAD most frequent words (up to HEAD_BYTES long) are
 broadcast; other words leave the task as (row, word, n) and meet their counts in a join, the only shuffle that grows.
 """
@@ -14,7 +16,7 @@ broadcast; other words leave the task as (row, word, n) and meet their counts in
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,17 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hashed_sample, materialize, pieces, texts
+from .common import materialize, pieces, texts
 
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES - 2
 HIDDEN = 16
 WINDOW = 16
 LANES = 256
-SAMPLE_TOKENS = 600_000
-SAMPLE_CHARS = 20_000
-SAMPLE_DOCS = 3_000
-EPOCHS = 2
+#: Bounds of the rounds among 16 shares of the rows: the first are short, so that tasks do not drift apart from the start.
+ROUNDS = (0, 1, 4, 8, 16)
+REPEAT_TOKENS = 2_000_000
+TRAIN_LANES = 128
+CHUNK = 1024
 RATE = 0.01
 HEAD = 200_000
 HEAD_BYTES = 64
@@ -130,71 +133,130 @@ def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray) -> np.nda
     return out
 
 
-def train_network(docs: list[np.ndarray], end: int, seed: int = 7, lanes: int = 64) -> Network:
-    """Truncated backpropagation with Adam.  docs: symbols of each text with its end."""
-    net = new_network(seed)
-    if not docs:
-        return net
-    rng = np.random.default_rng(seed)
-    moment = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
-    t = 0
-    for _ in range(EPOCHS):
-        flow = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
-        lanes_ = max(1, min(lanes, len(flow) // WINDOW))
-        steps = len(flow) // lanes_
-        target = flow[: steps * lanes_].reshape(lanes_, steps).T
-        given = np.vstack([np.full((1, lanes_), end), target[:-1]])
-        h = np.zeros((lanes_, HIDDEN), np.float32)
-        for at in range(0, steps, WINDOW):
-            seen, wanted = given[at : at + WINDOW], target[at : at + WINDOW]
-            states, kept = [], []
-            for k in range(len(seen)):
-                h = np.where((seen[k] == end)[:, None], np.float32(0), h)
-                new, *gates = step(net, net.x[seen[k]], h)
-                kept.append((h, *gates))
-                states.append(new)
-                h = new
-            grads = _backward(net, seen, wanted, np.stack(states), kept, end)
-            t += 1
-            for p, g, (m, v) in zip(net.parts(), grads, moment, strict=True):
-                g = g / np.float32(wanted.size) * 16
-                np.clip(g, -1, 1, out=g)
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= np.float32(RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)) * m / (np.sqrt(v) + np.float32(1e-6))
-    return net
-
-
-def _backward(net: Network, seen: np.ndarray, wanted: np.ndarray, states: np.ndarray, kept: list[tuple[np.ndarray, ...]], end: int) -> list[np.ndarray]:
-    """Gradients of the summed loss over one window."""
-    flat, target = states.reshape(-1, HIDDEN), wanted.reshape(-1)
+def network_of(flat: np.ndarray) -> Network:
+    """The network whose parts are views of a flat array."""
+    out, at = [], 0
+    for p in new_network().parts():
+        out.append(flat[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return Network(*out)
+
+
+def new_state(seed: int = 7) -> np.ndarray:
+    """What training carries on, flat: parameters, their first and second moments, and the number of steps."""
+    p = np.concatenate([x.ravel() for x in new_network(seed).parts()])
+    return np.concatenate([p, np.zeros(2 * len(p) + 1, np.float32)])
+
+
+def windows(docs: Iterable[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lanes that go on, block of WINDOW by those lanes): where a text ends, its lane takes up the next one.
+
+    Every symbol of docs is in one block.  Once no text is left, -1 fills up a lane, and it does not go on."""
+    coming = iter(docs)
+    held = [np.zeros(0, np.int16)] * lanes
+    more = True
+    while True:
+        for k in range(len(held)):
+            while more and len(held[k]) < WINDOW:
+                if (x := next(coming, None)) is None:
+                    more = False
+                else:
+                    held[k] = np.concatenate([held[k], x])
+        live = np.array([len(x) > 0 for x in held], bool)
+        held = [x for x in held if len(x)]
+        if not held:
+            return
+        block = np.full((WINDOW, len(held)), -1, np.int64)
+        for k, x in enumerate(held):
+            block[: min(WINDOW, len(x)), k] = x[:WINDOW]
+            held[k] = x[WINDOW:]
+        yield live, block
+
+
+def learn(state: np.ndarray, docs: Iterable[np.ndarray], end: int, lanes: int = TRAIN_LANES) -> int:
+    """One pass of truncated backpropagation with Adam over docs (symbols of each text with its end); changes state.
+
+    Returns the number of symbols learned from, which is that of all docs."""
+    n = len(state) // 3
+    p, m, v = state[:n], state[n : 2 * n], state[2 * n : 3 * n]
+    g = np.empty_like(p)
+    net, grads = network_of(p), network_of(g)
+    h, last, t, learned = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, end), int(state[-1]), 0
+    for live, block in windows(docs, lanes):
+        h, last = h[live], last[live]
+        seen = np.vstack([last[None], block[:-1]])
+        last = block[-1]
+        states, kept = [], []
+        for k in range(len(seen)):
+            h = np.where((seen[k] == end)[:, None], np.float32(0), h)
+            new, *gates = step(net, net.x[seen[k]], h)
+            kept.append((h, *gates))
+            states.append(new)
+            h = new
+        g[:] = 0
+        _backward(net, grads, seen, block, np.stack(states), kept, end)
+        learned += int((block >= 0).sum())
+        t += 1
+        # Every symbol weighs the same, also where few lanes are left.
+        np.clip(g * np.float32(16 / (WINDOW * lanes)), -1, 1, out=g)
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.001) * (g * g - v)
+        p -= np.float32(RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)) * m / (np.sqrt(v) + np.float32(1e-6))
+    state[-1] = t
+    return learned
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _backward(net: Network, g: Network, seen: np.ndarray, wanted: np.ndarray, states: np.ndarray, kept: list[tuple[np.ndarray, ...]], end: int) -> None:
+    """Gradients of the summed loss over one window, into g (zeros); a wanted symbol under 0 is none."""
+    real = np.flatnonzero(wanted.reshape(-1) >= 0)
+    target = wanted.reshape(-1)[real]
+    order = np.argsort(target // CLASSES, kind="stable")
+    real, target = real[order], target[order]
     kind, member, rows = target // CLASSES, target % CLASSES, np.arange(len(target))
-    g = [np.zeros_like(p) for p in net.parts()]
-    pc = np.exp(log_softmax(flat @ net.wc + net.bc))
+    flat = states.reshape(-1, HIDDEN)[real]
+    pc = _softmax(flat @ net.wc + net.bc)
     pc[rows, kind] -= 1
-    g[2] += flat.T @ pc
-    g[3] += pc.sum(axis=0)
-    dh = pc @ net.wc.T
-    for k in np.unique(kind):
-        at = np.flatnonzero(kind == k)
-        pw = np.exp(log_softmax(flat[at] @ net.wo[k] + net.bo[k]))
-        pw[np.arange(len(at)), member[at]] -= 1
-        g[4][k] += flat[at].T @ pw
-        g[5][k] += pw.sum(axis=0)
-        dh[at] += pw @ net.wo[k].T
+    g.wc[:] = flat.T @ pc
+    g.bc[:] = pc.sum(axis=0)
+    d_flat = pc @ net.wc.T
+    cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    for k in range(CLASSES):
+        a, b = cut[k], cut[k + 1]
+        if a == b:
+            continue
+        pw = _softmax(flat[a:b] @ net.wo[k] + net.bo[k])
+        pw[rows[: b - a], member[a:b]] -= 1
+        g.wo[k] = flat[a:b].T @ pw
+        g.bo[k] = pw.sum(axis=0)
+        d_flat[a:b] += pw @ net.wo[k].T
+    dh = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
+    dh[real] = d_flat
     dh = dh.reshape(states.shape)
-    carry = np.zeros_like(dh[0])
+    dx, da = np.empty((*seen.shape, 3 * HIDDEN), np.float32), np.empty((*seen.shape, 3 * HIDDEN), np.float32)
+    carry, back = np.zeros_like(dh[0]), net.u.T.copy()
+    h, z, r, c, p = (np.stack(x) for x in zip(*kept, strict=True))
+    by_c, by_z, by_r = z * (1 - c * c), (c - h) * z * (1 - z), p * r * (1 - r)
+    stay, goes = 1 - z, (seen != end)[:, :, None].astype(np.float32)
     for k in range(len(seen) - 1, -1, -1):
-        h, z, r, c, p = kept[k]
         d = dh[k] + carry
-        dz, dc = d * (c - h) * z * (1 - z), d * z * (1 - c * c)
-        dr = dc * p * r * (1 - r)
-        dx = np.concatenate([dz, dr, dc], axis=1)
-        da = np.concatenate([dz, dr, dc * r], axis=1)
-        g[1] += h.T @ da
-        np.add.at(g[0], seen[k], dx)
-        carry = (d * (1 - z) + da @ net.u.T) * (seen[k] != end)[:, None]
-    return g
+        dc = d * by_c[k]
+        x, a = dx[k], da[k]
+        x[:, :HIDDEN] = d * by_z[k]
+        x[:, HIDDEN : 2 * HIDDEN] = dc * by_r[k]
+        x[:, 2 * HIDDEN :] = dc
+        a[:] = x
+        a[:, 2 * HIDDEN :] *= r[k]
+        carry = (d * stay[k] + a @ back) * goes[k]
+    g.u[:] = h.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+    who = seen.reshape(-1)
+    order = np.argsort(who, kind="stable")
+    first = np.flatnonzero(np.diff(who[order], prepend=-2))
+    g.x[who[order[first]]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
 
 
 def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -263,6 +325,7 @@ class Model:
     total: int  # training tokens, ends included
     distinct: int
     ends: int
+    learned: int  # symbols that the network learned from, each pass counted
 
 
 def frequent(counts: DataFrame) -> DataFrame:
@@ -281,6 +344,47 @@ def frequent(counts: DataFrame) -> DataFrame:
     return short.filter(F.col("step") >= cut).select("word", "c")
 
 
+def learn_round(rows: DataFrame, state: np.ndarray, symbols: dict[bytes, int], end: int, rest: int, lanes: int) -> tuple[np.ndarray, int]:
+    """(state after learning from all texts of rows, symbols learned from).
+
+    Each task goes over its own rows; the sums of its chunks meet at their number, so no task gathers whole states."""
+    schema = T.StructType([T.StructField("chunk", T.IntegerType(), False), T.StructField("n", T.LongType(), False), T.StructField("x", T.BinaryType(), False)])
+    shared = rows.sparkSession.sparkContext.broadcast((state, symbols))
+
+    def batch(chunks: list[int], ns: list[int], xs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(ns, pa.int64()), pa.array(xs, pa.binary())], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = shared.value
+        own = own.copy()
+
+        def coming() -> Iterator[np.ndarray]:
+            for some in pieces(batches, 512):
+                for x in texts(some):
+                    yield np.array([known.get(w, rest) for w in tokens(x)] + [end], np.int16)
+
+        if n := learn(own, coming(), end, lanes):
+            cuts = range(0, len(own), CHUNK)
+            yield batch(list(range(len(cuts))), [n] * len(cuts), [own[at : at + CHUNK].tobytes() for at in cuts])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for some in batches:
+            for k, n, x in zip(*(some.column(c).to_pylist() for c in range(3)), strict=True):
+                m, held = sums.get(k, (0, 0.0))
+                sums[k] = (m + n, held + n * np.frombuffer(x, np.float32).astype(np.float64))
+        if sums:
+            yield batch(list(sums), [n for n, _ in sums.values()], [x.tobytes() for _, x in sums.values()])
+
+    sums = rows.select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).toArrow().to_pylist()
+    shared.unpersist()
+    out, learned = state.copy(), 0
+    for r in sums:
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["x"]) / r["n"]
+        learned = r["n"]
+    return out, learned
+
+
 def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: DataFrame | None = None) -> tuple[Model, DataFrame]:
     """(model, counts): counts is the written table of word_counts over docs, which score() joins."""
     counts = materialize(word_counts(docs, text), "word-counts") if counts is None else counts
@@ -295,16 +399,13 @@ def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: Da
     symbols = {w: k for k, w in enumerate(words[:VOCABULARY])}
     known = sum(c[:VOCABULARY]) + n_docs
     mass = (total - known) + ALPHA * (distinct - len(symbols) - (n_docs > 0) + 1)
-    short = docs.select(F.col(text).alias("text"), F.col(order).alias("o")).filter(F.length("text") <= SAMPLE_CHARS)
-    sample = hashed_sample(short, SAMPLE_DOCS, ["o", "text"]).limit(2 * SAMPLE_DOCS).orderBy(F.xxhash64("o", "text"), "o").select("text").toArrow().column("text").to_pylist()
-    rows, seen = [], 0
-    for x in sample:
-        row = np.array([symbols.get(w, rest) for w in tokens(x)] + [end])
-        rows.append(row[: SAMPLE_TOKENS - seen])
-        seen += len(rows[-1])
-        if seen >= SAMPLE_TOKENS:
-            break
-    return Model(train_network(rows, end), symbols, end, rest, float(mass), head, total, distinct, n_docs), counts
+    rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(order), F.col(text)), F.lit(ROUNDS[-1])).alias("share"))
+    lanes = max(16, min(TRAIN_LANES, total // 20_000))
+    state, learned = new_state(), 0
+    for low, high in [*zip(ROUNDS, ROUNDS[1:])] * (2 if total < REPEAT_TOKENS else 1):
+        state, n = learn_round(rows.filter((F.col("share") >= low) & (F.col("share") < high)), state, symbols, end, rest, lanes)
+        learned += n
+    return Model(network_of(state[: len(state) // 3].copy()), symbols, end, rest, float(mass), head, total, distinct, n_docs, learned), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

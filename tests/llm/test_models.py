@@ -133,3 +133,26 @@ def test_language_model_odd_rows(odd, empty):
     rows = gru_lm.score(odd.drop("score"), model, counts, ["doc_id"]).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in rows)
     assert gru_lm.score(empty, model, counts, ["doc_id"]).count() == 0
+
+
+def test_network_learns_from_whole_long_texts(spark):
+    """All training rows are one long text: only a network that has read it foresees its words."""
+    long = spark.createDataFrame([(1, "left right " * 6_000)], "doc_id long, text string")
+    model, counts = gru_lm.train(long)
+    (row,) = gru_lm.score(long, model, counts, ["doc_id"]).collect()
+    assert model.learned == 2 * model.total == 2 * 12_001  # a small table is gone over twice
+    assert row.score > row.base_score / 2
+
+
+def test_windows_hold_every_symbol_once():
+    rng = np.random.default_rng(0)
+    docs = [np.append(rng.integers(0, 9, n), 9).astype(np.int16) for n in (0, 700, 3, 16, 15, 41, 2_000)]
+    held: list[list[int]] = [[] for _ in range(3)]
+    done = []
+    for live, block in gru_lm.windows(docs, 3):
+        done += [x for x, goes_on in zip(held, live, strict=True) if not goes_on]
+        held = [x for x, goes_on in zip(held, live, strict=True) if goes_on]
+        for x, lane in zip(held, block.T, strict=True):
+            x += lane[lane >= 0].tolist()
+    split = lambda lanes: sorted(part for lane in lanes for part in "".join(map(str, lane)).split("9"))
+    assert split(done + held) == sorted([*("".join(map(str, d[:-1])) for d in docs), *[""] * 3])
