@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rounds whose results become one table, so that long iterations do not grow the plan.
+FOLD = 32
+
+
 def _shared(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -26,20 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ancestors(edges: DataFrame, depth: int = 32) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) over parent edges (node, parent), itself at 0; a cycle ends where it would repeat a node.
 
-    Each round joins the frontier with the edges; it ends when no node has a further parent."""
+    Each round joins the frontier with the edges, however deep the tree; it ends when no node has a further parent."""
     nodes = edges.select("node").union(edges.select(F.col("parent").alias("node"))).filter("node is not null").distinct()
     frontier = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), F.array("node").alias("_path"))
     out = frontier
     up = edges.filter("parent is not null").select(F.col("node").alias("_n"), "parent").distinct()
-    for _ in range(depth):
+    for k in count(1):
         frontier = frontier.join(up, frontier["ancestor"] == up["_n"]).filter(~F.array_contains("_path", F.col("parent")))
         frontier = cut(frontier.select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("_path", F.array("parent")).alias("_path")))
         if frontier.isEmpty():
             break
         out = out.unionByName(frontier)
+        if k % FOLD == 0:
+            out = cut(out)
     return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 

@@ -106,6 +106,11 @@ def test_components_of_a_path_and_a_cycle(spark):
     assert all(out[k] == 0 for k in range(40)) and all(out[k] == 40 for k in (40, 41, 42)) and all(out[k] == k for k in range(43, 60))
 
 
+def test_ancestors_of_a_deep_chain(spark):
+    rows = graph.ancestors(spark.createDataFrame([(k, k + 1) for k in range(35)], "node int, parent int")).collect()
+    assert {(r.node, r.ancestor): r.depth for r in rows} == {(a, b): b - a for a in range(36) for b in range(a, 36)}
+
+
 def test_ancestors_stop_at_cycles(spark):
     rows = graph.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", None)], "node string, parent string")).collect()
     assert sorted((r.ancestor, r.depth) for r in rows if r.node == "a") == [("a", 0), ("b", 1), ("c", 2)] and len([r for r in rows if r.node == "d"]) == 1
