@@ -143,19 +143,19 @@ def _inner(mask: DataFrame, axes: tuple[str, ...], by: tuple[str, ...]) -> DataF
     return counted.filter((F.col("own") == 0) & (F.col("votes") == 2 * len(axes))).select(*by, *axes)
 
 
-def border_distance(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = ("series",), most: int = 64) -> DataFrame:
-    """Steps from each voxel of the mask to the nearest voxel outside, over faces: one erosion per step.
-
-    What is left after `most` steps has distance most + 1."""
-    left, out, k = mask.select(*by, *axes), None, 0
-    while k < most and not left.isEmpty():
+def border_distance(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Steps from each voxel of the mask to the nearest voxel outside, over faces: one erosion per step, until nothing is left."""
+    left, k = mask.select(*by, *axes), 0
+    out = left.limit(0).withColumn("distance", F.lit(0))
+    while not left.isEmpty():
         inner = cut(_inner(left, axes, by))
         k += 1
         ring = left.join(inner, [*by, *axes], "left_anti").withColumn("distance", F.lit(k))
-        out = ring if out is None else out.unionByName(ring)
+        out = out.unionByName(ring)
+        if k % FOLD == 0:
+            out = cut(out)
         left = inner
-    rest = left.withColumn("distance", F.lit(most + 1))
-    return rest if out is None else out.unionByName(rest)
+    return out
 
 
 def largest_component(comp: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .graph import border_distance, components, cut, grid_edges
 
 
-def split(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = ("series",), most: int = 64) -> DataFrame:
+def split(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = ("series",)) -> DataFrame:
     """by, axes and basin of each voxel of the mask; basin is the place of its founder, null on the lines where basins meet.
 
     Levels of border_distance are flooded from the inside out.  On a level, basins spread by a ring a round: a voxel that
@@ -20,7 +20,7 @@ def split(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by: tuple[st
     Rounds depend on the width of the shapes, not on how many volumes there are.  Each ring is written to the shared
     folder; a level's rings become one table at its end."""
     voxels = mask.select(*by, *axes).distinct()
-    cells = cut(border_distance(voxels, axes, by, most).select(F.struct(*by, *axes).alias("node"), *by, *axes, "distance"))
+    cells = cut(border_distance(voxels, axes, by).select(F.struct(*by, *axes).alias("node"), *by, *axes, "distance"))
     one_way = grid_edges(cells, "node", axes, by)
     edges = cut(one_way.union(one_way.select("b", "a")))
     done = cells.select("node", F.col("node").alias("basin")).limit(0)

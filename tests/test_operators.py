@@ -116,6 +116,12 @@ def test_ancestors_stop_at_cycles(spark):
     assert sorted((r.ancestor, r.depth) for r in rows if r.node == "a") == [("a", 0), ("b", 1), ("c", 2)] and len([r for r in rows if r.node == "d"]) == 1
 
 
+def test_border_distance_has_no_bound(spark):
+    line = spark.range(135).selectExpr("0 AS series", "cast(id AS int) AS x")
+    out = {r.x: r.distance for r in graph.border_distance(line, ("x",)).collect()}
+    assert out == {x: min(x + 1, 135 - x) for x in range(135)}  # 68 in the middle
+
+
 def test_morphology_properties(spark):
     import random
 
