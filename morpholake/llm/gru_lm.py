@@ -8,13 +8,16 @@ the probabilities of all words and one unseen add up to one.
 The model is trained on every row, whole, by truncated backpropagation through WINDOW steps, states carried on to the end
 of each text.  A hash deals the rows over ROUNDS; in a round each task goes on from the same network over its share of
 them, and the networks, weighted by the symbols that they learned from, are averaged chunk by chunk for the next round.
-Tables of under REPEAT_TOKENS are gone over twice.  Scoring packs the documents of a task into LANES lanes; a lane's state runs on across windows to the document's end,
-so each log-likelihood is of the complete text.  Counts of the HEAD most frequent words (up to HEAD_BYTES long) are
-broadcast; other words leave the task as (row, word, n) and meet their counts in a join, the only shuffle that grows.
+Tables of under REPEAT_TOKENS are gone over twice.  Scoring packs the documents of a task into LANES lanes; a lane's state
+runs on across windows to the document's end, so each log-likelihood is of the complete text.  Counts of the HEAD most
+frequent words are broadcast; other words leave the task as (row, word, n) and meet their counts in a join, the only
+shuffle that grows.  A word of over KEY_BYTES goes by its SHA-256, so that the head is bounded in bytes whatever its words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,7 +33,7 @@ from .common import materialize, pieces, texts
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES - 2
 HIDDEN = 16
-WINDOW = 16
+WINDOW = 32
 LANES = 256
 #: Bounds of the rounds among 16 shares of the rows: the first are short, so that tasks do not drift apart from the start.
 ROUNDS = (0, 1, 4, 8, 16)
@@ -39,15 +42,18 @@ TRAIN_LANES = 128
 CHUNK = 1024
 RATE = 0.01
 HEAD = 200_000
-HEAD_BYTES = 64
+KEY_BYTES = 64
 POOL_TOKENS = 3_000_000
 COUNT_WORDS = 400_000
 ALPHA = 0.1
 
 
 def tokens(text: str) -> list[bytes]:
-    """Words between ASCII gaps, A-Z lower-cased."""
-    return text.encode().lower().split()
+    """Words between ASCII gaps, A-Z lower-cased; a long word's key stands for it."""
+    words = text.encode().lower().split()
+    if words and max(map(len, words)) > KEY_BYTES:
+        words = [w if len(w) <= KEY_BYTES else b"\0" + hashlib.sha256(w).digest() for w in words]
+    return words
 
 
 # ---- counts
@@ -82,7 +88,10 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Network:
-    """x: input rows of all symbols (already times the input weights), u: state weights, wc and wo: class and word outputs."""
+    """x: input columns of all symbols (already times the input weights), u: state weights, wc and wo: class and word outputs.
+
+    The last axis of every array that runs through the network is that of lanes or positions, so that gates are whole
+    blocks of memory and softmax adds up whole rows."""
 
     x: np.ndarray
     u: np.ndarray
@@ -98,38 +107,45 @@ class Network:
 def new_network(seed: int = 7) -> Network:
     rng, n = np.random.default_rng(seed), CLASSES * CLASSES
     r = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    return Network(r(n, 3 * HIDDEN), r(HIDDEN, 3 * HIDDEN), r(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32), r(CLASSES, HIDDEN, CLASSES), np.zeros((CLASSES, CLASSES), np.float32))
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return Network(r(3 * HIDDEN, n), r(3 * HIDDEN, HIDDEN), r(CLASSES, HIDDEN), np.zeros((CLASSES, 1), np.float32), r(CLASSES, CLASSES, HIDDEN), np.zeros((CLASSES, CLASSES, 1), np.float32))
 
 
 def step(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One GRU step: (new state, update gate, reset gate, candidate, state part of the candidate)."""
-    a = h @ net.u
-    zr = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    p = a[:, 2 * HIDDEN :]
-    c = np.tanh(x[:, 2 * HIDDEN :] + r * p)
-    return h + z * (c - h), z, r, c, p
+    """One GRU step: (new state, update and reset gates, candidate, state part of the candidate)."""
+    a = net.u @ h
+    zr = x[: 2 * HIDDEN] + a[: 2 * HIDDEN]
+    zr *= np.float32(0.5)  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, which cannot overflow
+    np.tanh(zr, out=zr)
+    zr *= np.float32(0.5)
+    zr += np.float32(0.5)
+    p = a[2 * HIDDEN :]
+    c = zr[HIDDEN:] * p
+    c += x[2 * HIDDEN :]
+    np.tanh(c, out=c)
+    new = c - h
+    new *= zr[:HIDDEN]
+    new += h
+    return new, zr, c, p
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Over the first axis."""
+    x = x - x.max(axis=0)
+    return x - np.log(np.exp(x).sum(axis=0))
 
 
 def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log p of each target symbol given its state: its class, then it among its class."""
-    kind, member = target // CLASSES, target % CLASSES
-    out = log_softmax(h @ net.wc + net.bc)[np.arange(len(target)), kind]
-    order = np.argsort(kind, kind="stable")
-    cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[cut[k] : cut[k + 1]]
-        if len(at):
-            out[at] += log_softmax(h[at] @ net.wo[k] + net.bo[k])[np.arange(len(at)), member[at]]
+    """Natural log p of each target symbol given its state (a column of h): its class, then it among its class."""
+    order = np.argsort(target.astype(np.int16), kind="stable")
+    kind, member, h = target[order] // CLASSES, target[order] % CLASSES, h[:, order]
+    rows = np.arange(len(target))
+    log_p = log_softmax(net.wc @ h + net.bc)[kind, rows]
+    cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        if a < b:
+            log_p[a:b] += log_softmax(net.wo[k] @ h[:, a:b] + net.bo[k])[member[a:b], rows[: b - a]]
+    out = np.empty_like(log_p)
+    out[order] = log_p
     return out
 
 
@@ -149,9 +165,11 @@ def new_state(seed: int = 7) -> np.ndarray:
 
 
 def windows(docs: Iterable[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(lanes that go on, block of WINDOW by those lanes): where a text ends, its lane takes up the next one.
+    """(lanes that go on, block of steps by those lanes): where a text ends, its lane takes up the next one.
 
-    Every symbol of docs is in one block.  Once no text is left, -1 fills up a lane, and it does not go on."""
+    A block has WINDOW steps, and more of them once lanes are idle, so that the end of a long text costs no more steps of
+    the optimizer than any other symbols.  Every symbol of docs is in one block.  Once no text is left, -1 fills up a
+    lane, and it does not go on."""
     coming = iter(docs)
     held = [np.zeros(0, np.int16)] * lanes
     more = True
@@ -166,11 +184,12 @@ def windows(docs: Iterable[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray
         held = [x for x in held if len(x)]
         if not held:
             return
-        block = np.full((WINDOW, len(held)), -1, np.int64)
+        steps = WINDOW if more else min(max(map(len, held)), WINDOW * (lanes // len(held)))
+        block = np.full((len(held), steps), -1, np.int16)
         for k, x in enumerate(held):
-            block[: min(WINDOW, len(x)), k] = x[:WINDOW]
-            held[k] = x[WINDOW:]
-        yield live, block
+            block[k, : len(x)] = x[:steps]
+            held[k] = x[steps:]
+        yield live, np.ascontiguousarray(block.T)
 
 
 def learn(state: np.ndarray, docs: Iterable[np.ndarray], end: int, lanes: int = TRAIN_LANES) -> int:
@@ -181,24 +200,19 @@ def learn(state: np.ndarray, docs: Iterable[np.ndarray], end: int, lanes: int =
     p, m, v = state[:n], state[n : 2 * n], state[2 * n : 3 * n]
     g = np.empty_like(p)
     net, grads = network_of(p), network_of(g)
-    h, last, t, learned = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, end), int(state[-1]), 0
+    h, last, t, learned = np.zeros((HIDDEN, lanes), np.float32), np.full(lanes, end, np.int16), int(state[-1]), 0
     for live, block in windows(docs, lanes):
-        h, last = h[live], last[live]
+        if not live.all():
+            h, last = h[:, live], last[live]
         seen = np.vstack([last[None], block[:-1]])
         last = block[-1]
-        states, kept = [], []
-        for k in range(len(seen)):
-            h = np.where((seen[k] == end)[:, None], np.float32(0), h)
-            new, *gates = step(net, net.x[seen[k]], h)
-            kept.append((h, *gates))
-            states.append(new)
-            h = new
         g[:] = 0
-        _backward(net, grads, seen, block, np.stack(states), kept, end)
+        h = _window(net, grads, seen, block, h, end)
         learned += int((block >= 0).sum())
         t += 1
         # Every symbol weighs the same, also where few lanes are left.
-        np.clip(g * np.float32(16 / (WINDOW * lanes)), -1, 1, out=g)
+        g *= np.float32(16 / (WINDOW * lanes))
+        np.clip(g, -1, 1, out=g)
         m += np.float32(0.1) * (g - m)
         v += np.float32(0.001) * (g * g - v)
         p -= np.float32(RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)) * m / (np.sqrt(v) + np.float32(1e-6))
@@ -207,56 +221,78 @@ def learn(state: np.ndarray, docs: Iterable[np.ndarray], end: int, lanes: int =
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def _backward(net: Network, g: Network, seen: np.ndarray, wanted: np.ndarray, states: np.ndarray, kept: list[tuple[np.ndarray, ...]], end: int) -> None:
-    """Gradients of the summed loss over one window, into g (zeros); a wanted symbol under 0 is none."""
-    real = np.flatnonzero(wanted.reshape(-1) >= 0)
-    target = wanted.reshape(-1)[real]
-    order = np.argsort(target // CLASSES, kind="stable")
-    real, target = real[order], target[order]
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+def _window(net: Network, g: Network, seen: np.ndarray, wanted: np.ndarray, h: np.ndarray, end: int) -> np.ndarray:
+    """The states after one window that begins with h; gradients of its summed loss are added to g (zeros).
+
+    seen, wanted: (steps, lanes).  A state starts anew where an end was seen; a wanted symbol under 0 is none."""
+    steps, lanes = seen.shape
+    starts = seen == end
+    some = starts.any(axis=1).tolist()
+    goes = np.logical_not(starts).astype(np.float32)
+    x_in = np.ascontiguousarray(np.take(np.ascontiguousarray(net.x.T), seen, axis=0).transpose(0, 2, 1))
+    before = np.empty((steps, HIDDEN, lanes), np.float32)
+    gates = np.empty((steps, 2 * HIDDEN, lanes), np.float32)
+    cand, part, states = np.empty_like(before), np.empty_like(before), np.empty((HIDDEN, steps, lanes), np.float32)
+    for k in range(steps):
+        before[k] = h * goes[k] if some[k] else h
+        h, gates[k], cand[k], part[k] = step(net, x_in[k], before[k])
+        states[:, k] = h
+    # Losses and their gradients, the positions in order of their symbols.
+    target = wanted.reshape(-1)
+    order = np.argsort(target, kind="stable")
+    order = order[np.searchsorted(target[order], 0) :]
+    target = target[order].astype(np.int64)
     kind, member, rows = target // CLASSES, target % CLASSES, np.arange(len(target))
-    flat = states.reshape(-1, HIDDEN)[real]
-    pc = _softmax(flat @ net.wc + net.bc)
-    pc[rows, kind] -= 1
-    g.wc[:] = flat.T @ pc
-    g.bc[:] = pc.sum(axis=0)
-    d_flat = pc @ net.wc.T
+    flat = np.take(states.reshape(HIDDEN, -1), order, axis=1)
+    pc = _softmax(net.wc @ flat + net.bc)
+    pc[kind, rows] -= 1
+    g.wc[:] = pc @ flat.T
+    g.bc[:, 0] = pc.sum(axis=1)
+    d_flat = np.zeros((HIDDEN, len(target) + 1), np.float32)  # its last column is that of positions without a loss
+    d_flat[:, :-1] = net.wc.T @ pc
+    place = np.full(steps * lanes, len(target))
+    place[order] = rows
     cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-    for k in range(CLASSES):
-        a, b = cut[k], cut[k + 1]
+    for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
         if a == b:
             continue
-        pw = _softmax(flat[a:b] @ net.wo[k] + net.bo[k])
-        pw[rows[: b - a], member[a:b]] -= 1
-        g.wo[k] = flat[a:b].T @ pw
-        g.bo[k] = pw.sum(axis=0)
-        d_flat[a:b] += pw @ net.wo[k].T
-    dh = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
-    dh[real] = d_flat
-    dh = dh.reshape(states.shape)
-    dx, da = np.empty((*seen.shape, 3 * HIDDEN), np.float32), np.empty((*seen.shape, 3 * HIDDEN), np.float32)
-    carry, back = np.zeros_like(dh[0]), net.u.T.copy()
-    h, z, r, c, p = (np.stack(x) for x in zip(*kept, strict=True))
-    by_c, by_z, by_r = z * (1 - c * c), (c - h) * z * (1 - z), p * r * (1 - r)
-    stay, goes = 1 - z, (seen != end)[:, :, None].astype(np.float32)
-    for k in range(len(seen) - 1, -1, -1):
-        d = dh[k] + carry
-        dc = d * by_c[k]
+        own = flat[:, a:b]
+        pw = _softmax(net.wo[k] @ own + net.bo[k])
+        pw[member[a:b], rows[: b - a]] -= 1
+        g.wo[k] = pw @ own.T
+        g.bo[k, :, 0] = pw.sum(axis=1)
+        d_flat[:, a:b] += net.wo[k].T @ pw
+    dh = np.take(d_flat, place, axis=1)
+    # Back through the steps.  dx: gradients of the input columns, da: of the state parts.
+    dx, da = np.empty((steps, 3 * HIDDEN, lanes), np.float32), np.empty((steps, 3 * HIDDEN, lanes), np.float32)
+    z, r, c = gates[:, :HIDDEN], gates[:, HIDDEN:], cand
+    by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * (1 - z), part * r * (1 - r)
+    stay, back = 1 - z, np.ascontiguousarray(net.u.T)
+    carry = np.zeros((HIDDEN, lanes), np.float32)
+    for k in range(steps - 1, -1, -1):
+        d = dh[:, k * lanes : (k + 1) * lanes] + carry
         x, a = dx[k], da[k]
-        x[:, :HIDDEN] = d * by_z[k]
-        x[:, HIDDEN : 2 * HIDDEN] = dc * by_r[k]
-        x[:, 2 * HIDDEN :] = dc
-        a[:] = x
-        a[:, 2 * HIDDEN :] *= r[k]
-        carry = (d * stay[k] + a @ back) * goes[k]
-    g.u[:] = h.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+        np.multiply(d, by_c[k], out=x[2 * HIDDEN :])
+        np.multiply(d, by_z[k], out=x[:HIDDEN])
+        np.multiply(x[2 * HIDDEN :], by_r[k], out=x[HIDDEN : 2 * HIDDEN])
+        a[: 2 * HIDDEN] = x[: 2 * HIDDEN]
+        np.multiply(x[2 * HIDDEN :], r[k], out=a[2 * HIDDEN :])
+        d *= stay[k]
+        d += back @ a
+        carry = d * goes[k] if some[k] else d
+    g.u[:] = np.matmul(da, before.transpose(0, 2, 1)).sum(axis=0)
     who = seen.reshape(-1)
     order = np.argsort(who, kind="stable")
+    order = order[np.searchsorted(who[order], 0) :]  # a lane that has ended sees -1
     first = np.flatnonzero(np.diff(who[order], prepend=-2))
-    g.x[who[order[first]]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    g.x[:, who[order[first]]] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0).T
+    return h
 
 
 def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -267,47 +303,42 @@ def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarra
         return np.zeros(0)
     size = np.array([len(d) for d in docs])
     lanes = min(LANES, len(docs))
-    order = np.argsort(-size, kind="stable")
-    load = [0] * lanes
     lane_docs: list[list[int]] = [[] for _ in range(lanes)]
-    import heapq
-
     heap = [(0, k) for k in range(lanes)]
-    for i in order.tolist():
-        n, k = heapq.heappop(heap)
+    for i in np.argsort(-size, kind="stable").tolist():
+        n, k = heap[0]
         lane_docs[k].append(i)
-        load[k] = n + int(size[i])
-        heapq.heappush(heap, (load[k], k))
+        heapq.heapreplace(heap, (n + int(size[i]), k))
+    load = [int(size[own].sum()) for own in lane_docs]
     by_load = sorted(range(lanes), key=lambda k: -load[k])
-    steps = load[by_load[0]]
     flows = [np.concatenate([docs[i] for i in lane_docs[k]]) for k in by_load]
     owner = [np.repeat(lane_docs[k], size[lane_docs[k]]) for k in by_load]
     length = np.array([len(f) for f in flows])
     out = np.zeros(len(docs))
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    last = np.full(lanes, end)
+    h, last = np.zeros((HIDDEN, lanes), np.float32), np.full(lanes, end)
     span = max(1, 65_536 // lanes)
-    for at in range(0, steps, span):
+    for at in range(0, int(length[0]), span):
         live = int(np.searchsorted(-length, -at, side="left"))  # lanes that go on, all in front
-        h, last = h[:live], last[:live]
-        n = min(span, steps - at)
-        block = np.full((n, live), -1, np.int64)
-        who = np.zeros((n, live), np.int64)
+        h, last = h[:, :live], last[:live]
+        n = min(span, int(length[0]) - at)
+        block, who = np.full((live, n), -1, np.int64), np.zeros((live, n), np.int64)
         for k in range(live):
             part = flows[k][at : at + n]
-            block[: len(part), k] = part
-            who[: len(part), k] = owner[k][at : at + n]
-        states = np.empty((n, live, HIDDEN), np.float32)
+            block[k, : len(part)] = part
+            who[k, : len(part)] = owner[k][at : at + n]
+        block = np.ascontiguousarray(block.T)
+        seen = np.vstack([last[None], block[:-1]])
+        seen[seen < 0] = end
+        last = block[-1]
+        starts = seen == end
+        some, goes = starts.any(axis=1).tolist(), np.logical_not(starts).astype(np.float32)
+        states = np.empty((HIDDEN, n, live), np.float32)
         for t in range(n):
-            fresh = last == end
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            h = step(net, net.x[last], h)[0]
-            states[t] = h
-            last = np.where(block[t] < 0, end, block[t])
+            h = step(net, net.x[:, seen[t]], h * goes[t] if some[t] else h)[0]
+            states[:, t] = h
         real = block >= 0
-        logp = log_probabilities(net, states[real], block[real])
-        np.add.at(out, who[real], logp)
+        logp = log_probabilities(net, states[:, real], block[real])
+        out += np.bincount(who.T[real], logp, len(docs))
     return out
 
 
@@ -329,19 +360,19 @@ class Model:
 
 
 def frequent(counts: DataFrame) -> DataFrame:
-    """The words of up to HEAD_BYTES that occur at least so often that at most HEAD words do.
+    """The words that occur at least so often that at most HEAD words do.
 
     Counts fall into steps of a sixteenth of a doubling; the steps' sizes (under a thousand rows) tell where to cut, so no
     task sorts or gathers more than the head."""
-    short = counts.filter(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("c") * 16))
-    steps = short.groupBy("step").agg(F.count("*").alias("n")).collect()
+    placed = counts.withColumn("step", F.floor(F.log2("c") * 16))
+    steps = placed.groupBy("step").agg(F.count("*").alias("n")).collect()
     cut, held = 1 << 30, 0
     for r in sorted(steps, key=lambda r: -r["step"]):
         held += r["n"]
         if held > HEAD:
             break
         cut = r["step"]
-    return short.filter(F.col("step") >= cut).select("word", "c")
+    return placed.filter(F.col("step") >= cut).select("word", "c")
 
 
 def learn_round(rows: DataFrame, state: np.ndarray, symbols: dict[bytes, int], end: int, rest: int, lanes: int) -> tuple[np.ndarray, int]:
@@ -421,7 +452,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
     open_words = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([*(source.schema[c] for c in keep), *made, T.StructField("_open", open_words)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    arrow = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -438,29 +468,35 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
             at = 0
             for cols, n_tokens, n_known, base, more, opened in held:
                 k = len(n_tokens)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([m.total] * k, pa.int64()), pa.array(base, pa.float64()), pa.array(logp[at : at + k] + np.array(more), pa.float64()), pa.array(opened, arrow)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([m.total] * k, pa.int64()), pa.array(base, pa.float64()), pa.array(logp[at : at + k] + np.array(more), pa.float64()), opened], names=schema.names)
                 at += k
             held.clear()
             pool.clear()
 
         pooled = 0
         for batch in pieces(batches, 512):
-            n_tokens, n_known, base, more, opened = [], [], [], [], []
+            n_tokens, n_known, base, more = [], [], [], []
+            missing, times, ends = [], [], [0]
             for x in texts(batch, "_text"):
                 ws = tokens(x)
-                at = np.fromiter((place.get(w, -1) for w in ws), np.int64, len(ws))
+                at = np.array([place.get(w, -1) for w in ws], np.int64)
                 # Symbols are the first ranks of the head.
-                pool.append(np.append(np.where((at >= 0) & (at < len(m.symbols)), at, m.rest), m.end).astype(np.int32))
+                known = at < len(m.symbols)
+                pool.append(np.append(np.where(known & (at >= 0), at, m.rest), m.end).astype(np.int16))
                 headed = at[at >= 0]
-                missing = Counter(ws[i] for i in np.flatnonzero(at < 0).tolist())
+                if len(headed) < len(at):
+                    opened = Counter([ws[i] for i in np.flatnonzero(at < 0).tolist()])
+                    missing += opened.keys()
+                    times += opened.values()
+                ends.append(len(missing))
                 own = logs[headed]
                 n_tokens.append(len(ws) + 1)
                 n_known.append(len(headed) + (m.ends > 0))
                 base.append(float(own.sum() - scale * len(headed) + base_end))
                 beyond = headed >= len(m.symbols)
                 more.append(float(own[beyond].sum() - rest_log * beyond.sum()))
-                opened.append([{"w": w, "n": n} for w, n in missing.items()])
-            held.append(([batch.column(c) for c in keep], n_tokens, n_known, base, more, opened))
+            words = pa.StructArray.from_arrays([pa.array(missing, pa.binary()), pa.array(times, pa.int64())], names=["w", "n"])
+            held.append(([batch.column(c) for c in keep], n_tokens, n_known, base, more, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)))
             pooled += sum(n_tokens)
             if pooled > POOL_TOKENS:
                 yield from flush()
