@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -56,11 +57,40 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores before it until no taken name equals it (Spark's names do not heed case)."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name = f"_{name}"
+    return name
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id belongs to no held-out fold (-1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(-1))
 
 
+def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; when its task ends, the worker hands free memory back to the system.
+
+    Spark keeps a worker for the next task, maybe of another stage, and else what one stage took adds to the next one's."""
+
+    def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+                trim(0)
+
+    return ran
+
+
 def hashed_sample(rows: DataFrame, most: int, key: list[str]) -> DataFrame:
     """About `most` rows, chosen by a hash of key columns: all rows of a table of at most that many.
 

@@ -34,7 +34,9 @@ CLASSES = 32
 VOCABULARY = CLASSES * CLASSES - 2
 HIDDEN = 16
 WINDOW = 32
-LANES = 256
+LANES = 128
+#: Symbols that are scored at once, so that their states stay in a core's cache.
+BLOCK = 16_384
 #: Bounds of the rounds among 16 shares of the rows: the first are short, so that tasks do not drift apart from the start.
 ROUNDS = (0, 1, 4, 8, 16)
 REPEAT_TOKENS = 2_000_000
@@ -129,9 +131,10 @@ def step(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis."""
-    x = x - x.max(axis=0)
-    return x - np.log(np.exp(x).sum(axis=0))
+    """Over the first axis; x is changed."""
+    x -= x.max(axis=0)
+    x -= np.log(np.exp(x).sum(axis=0))
+    return x
 
 
 def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -316,7 +319,8 @@ def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarra
     length = np.array([len(f) for f in flows])
     out = np.zeros(len(docs))
     h, last = np.zeros((HIDDEN, lanes), np.float32), np.full(lanes, end)
-    span = max(1, 65_536 // lanes)
+    span = max(1, BLOCK // lanes)
+    columns = np.ascontiguousarray(net.x.T)
     for at in range(0, int(length[0]), span):
         live = int(np.searchsorted(-length, -at, side="left"))  # lanes that go on, all in front
         h, last = h[:, :live], last[:live]
@@ -334,7 +338,7 @@ def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarra
         some, goes = starts.any(axis=1).tolist(), np.logical_not(starts).astype(np.float32)
         states = np.empty((HIDDEN, n, live), np.float32)
         for t in range(n):
-            h = step(net, net.x[:, seen[t]], h * goes[t] if some[t] else h)[0]
+            h = step(net, np.take(columns, seen[t], axis=0).T, h * goes[t] if some[t] else h)[0]
             states[:, t] = h
         real = block >= 0
         logp = log_probabilities(net, states[:, real], block[real])
@@ -431,7 +435,7 @@ def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: Da
     known = sum(c[:VOCABULARY]) + n_docs
     mass = (total - known) + ALPHA * (distinct - len(symbols) - (n_docs > 0) + 1)
     rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(order), F.col(text)), F.lit(ROUNDS[-1])).alias("share"))
-    lanes = max(16, min(TRAIN_LANES, total // 20_000))
+    lanes = max(1, min(TRAIN_LANES, total // 20_000))
     state, learned = new_state(), 0
     for low, high in [*zip(ROUNDS, ROUNDS[1:])] * (2 if total < REPEAT_TOKENS else 1):
         state, n = learn_round(rows.filter((F.col("share") >= low) & (F.col("share") < high)), state, symbols, end, rest, lanes)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -15,21 +16,38 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
 
 
+def encoded(encoder, texts):
+    ids, ends = encoder.encode(texts)
+    return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+
+
 def test_replay_equals_the_library(library):
     encoder, rng = bpe.Encoder(PATH, P.PATTERN), random.Random(3)
     alphabets = ("aaab", "ab  \n\t'stré.!", "etaoin shrdlu", " \u3000\x85\x1c\u00a0x", "漢字🙂éß01９")
     for k in range(1500):
         text = "".join(rng.choice(alphabets[k % len(alphabets)]) for _ in range(rng.randint(0, 200)))
-        assert encoder.encode([text])[0] == library.encode_ordinary(text), repr(text)
+        assert encoded(encoder, [text])[0] == library.encode_ordinary(text), repr(text)
     for text in ("a" * 5000, "ab" * 3000 + " x", "", "don't  stop\n\n now "):
-        assert encoder.encode([text])[0] == library.encode_ordinary(text)
+        assert encoded(encoder, [text])[0] == library.encode_ordinary(text)
 
 
 def test_parts_need_the_known_pattern(library):
     encoder = bpe.Encoder(PATH, P.PATTERN)
     encoder.gapped = False
     text = "Two  words, one\ttab and 'll."
-    assert encoder.encode([text])[0] == library.encode_ordinary(text)
+    assert encoded(encoder, [text])[0] == library.encode_ordinary(text)
+
+
+def test_slices_and_forgetting_do_not_matter(library, monkeypatch):
+    """Texts together, one by one and with a cache that is emptied again and again have the same ids."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2_000)
+    encoder, rng = bpe.Encoder(PATH, P.PATTERN), random.Random(5)
+    alphabet = [" ", "  ", "\n", " \n", "foo", "bar\n", "é", "don't", "x" * 500, "\u2003", "12", ",", ""]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    want = [library.encode_ordinary(x) for x in texts]
+    assert encoded(encoder, texts) == want
+    assert [encoded(encoder, [x])[0] for x in texts] == want
+    assert encoded(encoder, texts[:200]) + encoded(encoder, []) + encoded(encoder, texts[200:]) == want
 
 
 def test_query(spark, sf, library):

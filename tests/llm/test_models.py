@@ -78,16 +78,70 @@ def test_toxicity_odd_rows(spark, odd, empty):
 
 def test_network_is_a_distribution():
     net = gru_lm.new_network()
-    h = np.random.default_rng(0).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32)
+    h = np.random.default_rng(0).normal(size=(gru_lm.HIDDEN, 1)).astype(np.float32)
     n = gru_lm.CLASSES**2
-    p = np.exp(gru_lm.log_probabilities(net, np.repeat(h, n, 0), np.arange(n)))
+    p = np.exp(gru_lm.log_probabilities(net, np.repeat(h, n, 1), np.arange(n)))
     assert abs(p.sum() - 1) < 1e-4
 
 
-def test_lanes_and_windows_do_not_matter(monkeypatch):
-    rng, net, end = np.random.default_rng(1), gru_lm.new_network(), gru_lm.VOCABULARY
+def plain_log_likelihood(parts, doc, end):
+    """Symbol by symbol, in double precision, from the equations."""
+    x, u, wc, bc, wo, bo = (p.astype(float) for p in parts)
+    n, h, last, total = gru_lm.HIDDEN, np.zeros(gru_lm.HIDDEN), end, 0.0
+    soft = lambda v: v - v.max() - np.log(np.exp(v - v.max()).sum())
+    for s in doc:
+        if last == end:
+            h = np.zeros(n)
+        i, a = x[:, last], u @ h
+        z, r = 1 / (1 + np.exp(-(i + a)[:n])), 1 / (1 + np.exp(-(i + a)[n : 2 * n]))
+        h = h + z * (np.tanh(i[2 * n :] + r * a[2 * n :]) - h)
+        k, m = divmod(int(s), gru_lm.CLASSES)
+        total += soft(wc @ h + bc[:, 0])[k] + soft(wo[k] @ h + bo[k, :, 0])[m]
+        last = s
+    return total
+
+
+def rough_network(seed):
+    rng, net = np.random.default_rng(seed), gru_lm.new_network()
     for p in net.parts():
         p += rng.normal(0, 0.3, p.shape).astype(np.float32)
+    return rng, net
+
+
+def test_scores_equal_the_equations():
+    rng, net = rough_network(2)
+    end = gru_lm.VOCABULARY
+    docs = [np.append(rng.integers(0, end, n), end) for n in (0, 1, 90, 300)]
+    assert np.allclose(gru_lm.score_documents(net, docs, end), [plain_log_likelihood(net.parts(), d, end) for d in docs], rtol=1e-4)
+
+
+def test_gradients_equal_differences():
+    """Along random directions, one part of the network at a time; the window holds an end and two lanes of unequal length."""
+    rng, net = rough_network(3)
+    end = gru_lm.VOCABULARY
+    lanes = [np.concatenate([rng.integers(0, end, 9), [end], rng.integers(0, end, 10)]), rng.integers(0, end, 13)]
+    wanted = np.full((20, 2), -1, np.int16)
+    for k, x in enumerate(lanes):
+        wanted[: len(x), k] = x
+    seen = np.vstack([np.full((1, 2), end, np.int16), wanted[:-1]])
+    grads = gru_lm.network_of(np.zeros(sum(p.size for p in net.parts()), np.float32))
+    gru_lm._window(net, grads, seen, wanted, np.zeros((gru_lm.HIDDEN, 2), np.float32), end)
+    loss = lambda parts: -sum(plain_log_likelihood(parts, x, end) for x in lanes)
+    parts = [p.astype(float) for p in net.parts()]
+    for k, g in enumerate(grads.parts()):
+        way = rng.normal(size=g.shape)
+        up, down = ([p + s * 1e-4 * way if i == k else p for i, p in enumerate(parts)] for s in (1, -1))
+        assert np.isclose((g * way).sum(), (loss(up) - loss(down)) / 2e-4, rtol=2e-3, atol=2e-3), k
+
+
+def test_long_words_have_keys():
+    long = "w" * 65
+    a, b, c = gru_lm.tokens(f"{long} {long}x {'W' * 64}")
+    assert len({a, b, c}) == 3 and len(a) == len(b) == 33 and c == b"w" * 64 and gru_lm.tokens(long) == [a]
+
+
+def test_lanes_and_windows_do_not_matter(monkeypatch):
+    (rng, net), end = rough_network(1), gru_lm.VOCABULARY
     docs = [np.append(rng.integers(0, end, n), end) for n in (0, 3, 700, 41, 5)]
     whole = gru_lm.score_documents(net, docs, end)
     alone = [gru_lm.score_documents(net, [d], end)[0] for d in docs]
