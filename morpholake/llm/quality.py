@@ -1,10 +1,15 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Every text gets its measures in one scan: shares of symbols, repeated lines and repeated words, and the mean word length.
-Thresholds are fences around the middle half of each measure, per language and source, from Spark's mergeable quantile
-sketches (percentile_approx): partial sketches per task, one row per group after the shuffle, so a hot source costs no
-more than a small one.  Sketches of languages and of all texts, merged the same way, stand behind groups too small to
-set a fence.  The fences then join the measures, and what lies outside is dropped.
+Every text gets its measures in one scan: how many symbols, repeated lines and repeated words it has, and the mean length
+of its words.  Thresholds come from Spark's mergeable quantile sketches (percentile_approx) per language and source:
+partial sketches per task, one row per group after the shuffle, so a hot source costs no more than a small one.  Each
+group's threshold is shrunk towards its language's, that towards the whole corpus's, by the number of texts behind it, so
+a small group leans on the larger one.  The thresholds then join the measures, and what lies outside is dropped.
+
+Word length has a middle half, so its fences are quartiles widened by their distance.  Shares are zero in most texts: the
+fence is the group's LEVEL quantile, and no lower than one event in its median text.  Junk must not raise the fences that
+should stop it, so quantiles of shares are taken over the texts whose word length is inside.  A text is outside where it
+has more events than chance explains at the fence's rate (Z standard deviations of a Poisson number of events).
 """
 
 from __future__ import annotations
@@ -17,10 +22,13 @@ from .common import GAP_CHARS, WORD_GAP, materialize
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 ACCURACY = 10_000
+LEVEL = 0.95
 FENCE = 3.0
-LEAST_GROUP = 50
-#: Measure -> (slack added beyond the fences, which fences bind).  The slack keeps a group of equal values from dropping a text over a trifle.
-MEASURES = {"symbol_share": (0.05, "high"), "dup_line_share": (0.50, "high"), "repeat_share": (0.30, "high"), "word_length": (2.0, "both")}
+Z = 3.0
+#: So many texts count as much as the parent's threshold does.  Behind the whole corpus stand half and twice its median word length, and a share of one.
+PRIOR = 200
+#: Share -> (count, out of, what one event counts: two windows for words, as a repeated window is there twice).
+SHARES = {"symbol_share": ("n_symbols", "n_words", 1), "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", 2 * WINDOW)}
 
 
 def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -52,46 +60,69 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def ratios(measured: DataFrame) -> DataFrame:
-    """Adds the MEASURES as shares; null for a text without words."""
-    words = F.when(F.col("n_words") > 0, F.col("n_words"))
-    return measured.withColumns({"symbol_share": F.col("n_symbols") / words, "dup_line_share": F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines")), "repeat_share": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words})
+    """Adds the SHARES and word_length; null for a text without words."""
+    made = {share: F.col(k) / F.when(F.col(n) > 0, F.col(n)) for share, (k, n, _) in SHARES.items()}
+    return measured.withColumns(made | {"word_length": F.col("word_chars") / F.when(F.col("n_words") > 0, F.col("n_words"))})
+
+
+def shrunk(rated: DataFrame, n: Column, own: dict[str, Column], whole: dict[str, Column], by: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """by columns and own's thresholds of every group: (n * own + PRIOR * parent) / (n + PRIOR), from the corpus down.
+
+    n, own: aggregates over a group's rows; whole: what stands behind the corpus, in terms of own's names and aggregates'.
+    One pass over the rows makes all three levels; a group whose n is 0 has its parent's thresholds."""
+    upper, lower = by
+    levels = materialize(rated.rollup(upper, lower).agg(F.grouping_id().alias("_level"), n.alias("_n"), *(x.alias(k) for k, x in own.items())), "levels")
+
+    def blend(at: str, parent: dict[str, Column]) -> list[Column]:
+        size = F.col(f"{at}._n")
+        return [F.coalesce((size * F.col(f"{at}.{k}") + PRIOR * parent[k]) / (size + PRIOR), parent[k]).alias(k) for k in whole]
+
+    top = levels.filter("_level = 3").alias("t").select(*blend("t", whole)).first()  # one row of bounded size
+    if top is None:
+        return levels.select(upper, lower, *whole)
+    middle = levels.filter("_level = 1").alias("m").select(F.col(f"m.{upper}").alias("_up"), *blend("m", {k: F.lit(top[k]) for k in whole}))
+    low = levels.filter("_level = 0").alias("l").join(middle.alias("m"), F.col(f"l.{upper}").eqNullSafe(F.col("m._up")))
+    return low.select(f"l.{upper}", f"l.{lower}", *blend("l", {k: F.col(f"m.{k}") for k in whole}))
+
+
+def with_thresholds(rated: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """rated with the threshold columns of its language and source."""
+    named = thresholds.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    return rated.join(named, rated["lang"].eqNullSafe(named["_lang"]) & rated["source"].eqNullSafe(named["_source"]), "left").drop("_lang", "_source")
+
+
+def length_fences(rated: DataFrame) -> DataFrame:
+    """lang, source, low, high: fences of word_length from the quartiles of the texts that pass the base rule."""
+    value = F.when(~F.col("base_failed"), F.col("word_length"))
+    q = F.percentile_approx(value, [0.25, 0.5, 0.75], ACCURACY)
+    wide = FENCE * (F.get(q, 2) - F.get(q, 0))
+    own = {"low": F.get(q, 0) - wide, "high": F.get(q, 2) + wide, "middle": F.get(q, 1)}
+    return shrunk(rated, F.count(value), own, {"low": F.col("t.middle") / 2, "high": F.col("t.middle") * 2})
 
 
-def fences(rated: DataFrame, by: list[str]) -> DataFrame:
-    """by columns, n, and low and high of each measure: quartiles widened by FENCE times their distance, plus the slack."""
-    sketches = [F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(f"q_{m}") for m in MEASURES]
-    grouped = rated.groupBy(*by).agg(F.count("symbol_share").alias("n"), *sketches)
-    out = [*by, "n"]
-    for m, (slack, _) in MEASURES.items():
-        low, high = F.get(f"q_{m}", 0), F.get(f"q_{m}", 1)
-        out += [(low - FENCE * (high - low) - slack).alias(f"low_{m}"), (high + FENCE * (high - low) + slack).alias(f"high_{m}")]
-    return grouped.select(*out)
+def share_fences(rated: DataFrame) -> DataFrame:
+    """lang, source and a fence of each share, from the texts that pass the base rule and whose word length is inside."""
+    fit = ~F.col("base_failed") & F.col("length_inside")
+    own = {}
+    for share, (_, n, event) in SHARES.items():
+        own[share] = F.greatest(F.percentile_approx(F.when(fit, F.col(share)), LEVEL, ACCURACY), event / F.percentile_approx(F.when(fit, F.col(n)), 0.5, ACCURACY))
+    return shrunk(rated, F.count(F.when(fit, F.col("word_length"))), own, {share: F.lit(1.0) for share in SHARES})
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept: one row per row of docs.
 
-    base_failed: under 20 words, or over 30 % of words in repeated windows.  kept: not base_failed and inside the fences of
-    its language and source (LEAST_GROUP texts with words at least; else of its language; else of all texts; with fewer
-    than that in all, no fence binds).  A null language or source is a group of its own.  Null and empty texts fail the
+    base_failed: under 20 words, or over 30 % of words in repeated windows.  kept: not base_failed and inside the four
+    thresholds of its language and source.  A null language or source is a group of its own.  Null and empty texts fail the
     base rule.  Repeated rows each count; an empty table gives an empty result.  Other columns are not read."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    rated = ratios(materialize(measures(named, ["doc_id", "lang", "source"]), "measures"))
-    levels = {"own": fences(rated, ["lang", "source"]), "lang": fences(rated, ["lang"]), "all": fences(rated, [])}
-    joined = rated.alias("r")
-    for name, by in (("own", ["lang", "source"]), ("lang", ["lang"])):
-        level = levels[name].filter(F.col("n") >= LEAST_GROUP).select(*(F.col(c).alias(f"{name}_{c}") for c in levels[name].columns))
-        on = F.lit(True)
-        for c in by:
-            on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"{name}_{c}"))
-        joined = joined.join(level, on, "left")
-    whole = levels["all"].filter(F.col("n") >= LEAST_GROUP).first()  # one row of bounded size
-    inside = F.lit(True)
-    for m, (_, binds) in MEASURES.items():
-        def bound(side: str) -> Column:
-            return F.coalesce(F.col(f"own_{side}_{m}"), F.col(f"lang_{side}_{m}"), F.lit(whole[f"{side}_{m}"] if whole else None).cast("double"))
-        inside = inside & F.coalesce(F.col(m) <= bound("high"), F.lit(True))
-        if binds == "both":
-            inside = inside & F.coalesce(F.col(m) >= bound("low"), F.lit(True))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    rated = ratios(materialize(measures(named, ["doc_id", "lang", "source"]), "measures")).withColumn("base_failed", failed)
+    inside = F.col("word_length").between(F.col("low"), F.col("high"))
+    rated = with_thresholds(rated, length_fences(rated)).withColumn("length_inside", F.coalesce(inside, F.lit(False)))
+    fences = share_fences(rated).withColumnsRenamed({share: f"most_{share}" for share in SHARES})
+    kept = ~F.col("base_failed") & F.col("length_inside")
+    for share, (k, n, event) in SHARES.items():
+        expected = F.col(n) * F.col(f"most_{share}")
+        kept = kept & (F.col(k) <= expected + Z * F.sqrt(event * expected))
+    return with_thresholds(rated, fences).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -1,5 +1,6 @@
 """The operators that run on DataFrame functions only."""
 
+import math
 import re
 from collections import Counter
 
@@ -112,11 +113,87 @@ def test_measures(spark, sf):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(dict(texts)[r.doc_id]), r.doc_id
 
 
-def test_fences(spark):
-    clean = [(k, f"{'several plain words in a row make this sentence ' * (3 + k % 2)} number {k} of its own kind and nothing else", "en", "s") for k in range(200)]
-    junk = [(1000 + k, " ".join(f"w{k}{j}###" for j in range(40)), "en", "s") for k in range(10)]
-    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(a, b.replace("several plain words in a row make this sentence ", f"s{a} p{a} words in a row make this sentence ", 1), c, d) for a, b, c, d in clean if False] + [(k, " ".join(f"{w}{(k * 7 + j) % 97}" for j, w in enumerate(WORDS * 2)), "en", "s") for k in range(200)] + junk, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(rows[k].kept for k in range(200)) and not any(rows[1000 + k].kept for k in range(10))
+def near_quantile(values, p):
+    """What percentile_approx gives where its sketch is exact."""
+    v = sorted(values)
+    return v[max(0, math.ceil(p * len(v)) - 1)]
+
+
+def plain_shrunk(groups, own, parent_of_all):
+    """own thresholds of (lang, source) -> rows, shrunk level by level."""
+    def level(rows, parent):
+        n, mine = own(rows)
+        return [(n * m + quality.PRIOR * p) / (n + quality.PRIOR) for m, p in zip(mine, parent, strict=True)] if n else parent
+
+    every = [r for rows in groups.values() for r in rows]
+    top, out = level(every, parent_of_all(every)), {}
+    for lang in {k[0] for k in groups}:
+        middle = level([r for k, rows in groups.items() if k[0] == lang for r in rows], top)
+        out |= {k: level(rows, middle) for k, rows in groups.items() if k[0] == lang}
+    return out
+
+
+def plain_kept(docs):
+    """doc_id -> kept, row by row; docs: (doc_id, text, lang, source)."""
+    groups, measured = {}, {}
+    for i, text, lang, source in docs:
+        n, chars, symbols, dups, repeats = plain_measures(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        measured[i] = r = {"n": n, "length": chars / n if n else None, "shares": [(symbols, n, 1), (dups, lines, 1), (repeats, n, 2 * quality.WINDOW)], "failed": n < 20 or 100 * repeats > 30 * n, "group": (lang, source)}
+        groups.setdefault((lang, source), []).append(r)
+
+    def lengths(rows):
+        v = [r["length"] for r in rows if not r["failed"]]
+        if not v:
+            return 0, [0, 0]
+        a, b = near_quantile(v, 0.25), near_quantile(v, 0.75)
+        return len(v), [a - quality.FENCE * (b - a), b + quality.FENCE * (b - a)]
+
+    middle = lambda rows: near_quantile([r["length"] for r in rows if not r["failed"]], 0.5)
+    fences = plain_shrunk(groups, lengths, lambda rows: [middle(rows) / 2, middle(rows) * 2])
+    for r in measured.values():
+        low, high = fences[r["group"]]
+        r["inside"] = not r["failed"] and low <= r["length"] <= high
+
+    def shares(rows):
+        rows = [r for r in rows if r["inside"]]
+        if not rows:
+            return 0, [0, 0, 0]
+        return len(rows), [max(near_quantile([r["shares"][k][0] / r["shares"][k][1] for r in rows], quality.LEVEL), rows[0]["shares"][k][2] / near_quantile([r["shares"][k][1] for r in rows], 0.5)) for k in range(3)]
+
+    most = plain_shrunk(groups, shares, lambda rows: [1.0] * 3)
+    return {i: r["inside"] and all(k <= n * f + quality.Z * math.sqrt(e * n * f) for (k, n, e), f in zip(r["shares"], most[r["group"]], strict=True)) for i, r in measured.items()}
+
+
+def test_kept_equals_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(9001, None, "en", None), (9002, "few words", None, "s"), (9003, " ".join(WORDS * 2), None, None)]
+    want = plain_kept(docs)
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == want and 0 < sum(got.values()) < len(got)
+
+
+def plain_text(k, words=60):
+    return " ".join(f"{WORDS[(7 * k + j) % 20]}{10_000 + k * 31 + j}" for j in range(words))
+
+
+def test_each_threshold_drops_a_text(spark):
+    rows = [(k, "\n".join(plain_text(k + 250 * j, 30) for j in range(4)), "en", "s") for k in range(900)]
+    lines = "\n".join(f"{plain_text(j, 9)}\nsame line" for j in range(60))
+    long = plain_text(4, 3000).split()
+    junk = [plain_text(1) + " ###" * 10, lines, " ".join(f"{w}{'x' * 12}" for w in plain_text(3).split()), " ".join(long[:400] + long)]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows + [(9000 + k, x, "en", "s") for k, x in enumerate(junk)], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(found[k].kept for k in range(900))
+    assert not any(found[9000 + k].base_failed or found[9000 + k].kept for k in range(4))
+
+
+def test_sources_differ_in_what_they_allow(spark):
+    """The same text is usual in one source and junk in another."""
+    odd = plain_text(7) + " a = b & c | d < e $f #g" * 3
+    rows = [(k, f"{plain_text(k)} x < {k} & y | z #t $u" + " & *" * (k % 5), "en", "code") for k in range(600)] + [(1000 + k, plain_text(k), "en", "prose") for k in range(600)]
+    found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame([*rows, (5000, odd, "en", "code"), (5001, odd, "en", "prose")], "doc_id long, text string, lang string, source string")).collect()}
+    assert found[5000] and not found[5001]
+    assert all(found[k] for k in range(1000, 1600))
 
 
 def test_quality_odd_rows(odd, empty):
