@@ -189,7 +189,7 @@ def test_each_threshold_drops_a_text(spark):
 
 def test_sources_differ_in_what_they_allow(spark):
     """The same text is usual in one source and junk in another."""
-    odd = plain_text(7) + " a = b & c | d < e $f #g" * 3
+    odd = f"{plain_text(7)} x < 7 & y | z #t $u" + " & *" * 4
     rows = [(k, f"{plain_text(k)} x < {k} & y | z #t $u" + " & *" * (k % 5), "en", "code") for k in range(600)] + [(1000 + k, plain_text(k), "en", "prose") for k in range(600)]
     found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame([*rows, (5000, odd, "en", "code"), (5001, odd, "en", "prose")], "doc_id long, text string, lang string, source string")).collect()}
     assert found[5000] and not found[5001]
