@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column, handing_back, pieces, texts
+from .common import column, map_batches, pieces, texts
 
 SLICE_BYTES = 4_000_000
 CACHE_BYTES = 24_000_000
@@ -333,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
                     cols.append(pa.array([digest(bytes_of(x)) for x in each], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return source.mapInArrow(handing_back(run), schema)
+    return map_batches(source, run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
@@ -347,4 +347,4 @@ def decode_documents(encoded: DataFrame, path: str, keep: list[str], ids: str =
             out = [None if x is None else b"".join([token[i] for i in x]).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=schema.names)
 
-    return source.mapInArrow(handing_back(run), schema)
+    return map_batches(source, run, schema)

@@ -3,80 +3,130 @@
 A mask names the positions of a window that count; the others are ignored, so a changed word there does not hide a copy.
 Each window of a document and of a benchmark item is hashed once per mask; equal hashes join, and around each hit the
 words of document and item are compared position by position: a stretch of VERIFY words (a shorter item: the whole)
-with at least SHARE of them equal is a leak.  Items shorter than the masks are sought as a whole.
+with at least SHARE of them equal is a leak.  Items of under SHORTEST words leak where a document is nothing else.
 
-Hashes of the benchmark are counted first: up to BROADCAST_SEEDS they are broadcast (a row is some 40 bytes), and the
-documents' windows stream past without a shuffle; beyond, both sides are dealt by hash and joined by sorting.
+The masks miss nothing that the comparison accepts: of any VERIFY words of which at most two differ, one of MASKS fits
+somewhere; a shorter item of which k words may differ has masks of its own, each leaving out k of k + 2 interleaved
+groups of positions.  Tests enumerate all substitutions.  Letters of scripts without spaces count as words.
+
+What surrounds a window in an item is a passage: equal passages of several items are compared once, and their items are
+looked up afterwards, so wording that all items share costs no more than wording of one.  Hashes of the benchmark are
+counted first: up to BROADCAST_SEEDS they are broadcast (a row is some 40 bytes), and the documents' windows stream past
+without a shuffle.  Beyond, documents are written as numbered arrays of words; only (row, position, hash) goes to the
+join, hits are made distinct, and words are fetched by row for the hits alone.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 8))
-SPAN = 9
+from .common import column, free_name, materialize
+
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 7, 8))
 VERIFY = 13
 SHARE = 0.8
 SHORTEST = 3
 BROADCAST_SEEDS = 2_000_000
-BROADCAST_WORDS = 4_000_000
+BROADCAST_WORDS = 8_000_000
+#: Letters that stand for themselves, as their scripts put no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; a null text has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased runs of letters and digits, letters of UNSPACED scripts one by one; a null text has none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def masks_for(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n words, under VERIFY: k words may differ, and one mask at least leaves them out."""
+    may_differ = next(k for k in range(n, -1, -1) if (n - k) / n >= SHARE)
+    groups = may_differ + 2 if may_differ else 1
+    return [tuple(p for p in range(n) if p % groups not in out) for out in combinations(range(groups), may_differ)]
+
 
+def all_masks(short: list[int]) -> list[tuple[int | None, tuple[int, ...]]]:
+    """(length of item or None for VERIFY words and more, mask)."""
+    return [(None, m) for m in MASKS] + [(n, m) for n in short for m in masks_for(n)]
 
-def seeds(words: DataFrame, masks: list[tuple[int, ...]], *carry: str) -> DataFrame:
-    """carry columns, at (the window's first word) and seed, for words: array column `words`."""
+
+def seeds(words: DataFrame, masks: list[tuple[int | None, tuple[int, ...]]], items: bool, *carry: str) -> DataFrame:
+    """carry columns, words, at (the window's first word) and seed, for words: array column `words`.
+
+    An item has the masks of its own length only; a text of under SHORTEST words is one seed as a whole."""
     # The words of a text are an array once made: the windows only point into it.
+    size, at = F.size("words"), F.col("at")
     windows = words.select(*carry, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-    hashes = [F.when(F.col("at") + mask[-1] < F.size("words"), F.xxhash64(F.lit(n), *(F.get("words", F.col("at") + k) for k in mask))) for n, mask in enumerate(masks)]
-    return windows.select(*carry, "words", "at", F.explode(F.array(*hashes)).alias("seed"))
+    hashes = [F.when((size < SHORTEST) & (at == 0), F.xxhash64(F.lit(-1), F.get("words", F.lit(0)), F.coalesce(F.get("words", F.lit(1)), F.lit(""))))]
+    for k, (n, mask) in enumerate(masks):
+        fits = at + mask[-1] < size if n is None else at + n <= size
+        if items:
+            fits = fits & (size >= VERIFY if n is None else size == n)
+        hashes.append(F.when(fits, F.xxhash64(F.lit(k), *(F.get("words", at + p) for p in mask))))
+    return windows.select(*carry, "words", "at", F.explode(F.array(*hashes)).alias("seed")).filter("seed is not null")
+
+
+def around(words: Column, at: Column) -> tuple[Column, Column]:
+    """(words that a stretch over the window at this place can reach, place of the window among them)."""
+    off = F.least(at, F.lit(VERIFY - 1))
+    return F.slice(words, at - off + 1, off + 2 * VERIFY), off
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched): each leak, matched being the largest share of equal words in a stretch.
 
-    Null and empty texts leak nothing, nor do items of under SHORTEST words; a null item_id or doc_id is kept as a key of
-    its own.  Rows that repeat an id count as one document (or item): the largest share of any of them.  Empty tables
-    give an empty result.  Only the named columns are read, so other columns' names cannot clash."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("words")).filter(F.size("words") >= SHORTEST)
+    Null and empty texts, and texts without a letter or digit, leak nothing and are not sought; a null item_id or doc_id
+    is kept as a key of its own.  Rows that repeat an id count as one document (or item): the largest share of any of
+    them.  Empty tables give an empty result.  Only the named columns are read, so other columns' names cannot clash."""
+    items = benchmark.select(column(item_id).alias("item_id"), words_of(column(text)).alias("words")).filter(F.size("words") > 0)
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
-    size = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.array_sort(F.collect_set(F.when(F.size("words") < SPAN, F.size("words")))).alias("short")).first()
-    masks = [*MASKS, *(tuple(range(n)) for n in size["short"])]
-    item_seeds = seeds(items, masks, "item").filter("seed is not null").select("seed", "item", F.col("at").alias("item_at")).distinct()
-    texts = items.select("item", "item_id", F.col("words").alias("item_words"))
-    if len(masks) * size["words"] <= BROADCAST_SEEDS:
-        item_seeds = F.broadcast(item_seeds)
-    if size["words"] <= BROADCAST_WORDS:
-        texts = F.broadcast(texts)
-    source = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words")).filter(F.size("words") >= SHORTEST)
-    # Only the words around a window go along once it has hit.
-    around = F.slice("words", F.greatest(F.col("at") - VERIFY + 1, F.lit(0)) + 1, F.lit(2 * VERIFY + SPAN))
-    hits = seeds(source, masks, "doc_id").join(item_seeds, "seed").select("doc_id", "at", "item", "item_at", around.alias("near"), F.least("at", F.lit(VERIFY - 1)).alias("off")).join(texts, "item")
-    # Position p of the item stands at p - item_at + off of the words around the hit.
-    length = F.size("item_words")
-    stretch = F.least(length, F.lit(VERIFY))
-    low = F.greatest(F.lit(0), F.col("item_at") - F.col("off"))
-    high = F.least(length, F.col("item_at") - F.col("off") + F.size("near"))
-    equal = F.transform(F.sequence(low, high - 1), lambda p: (F.get("item_words", p) == F.get("near", p - F.col("item_at") + F.col("off"))).cast("int"))
-    hits = hits.filter(high - low >= stretch).select("doc_id", "item_id", equal.alias("equal"), stretch.alias("stretch"))
+    size = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.array_sort(F.collect_set(F.when((F.size("words") >= SHORTEST) & (F.size("words") < VERIFY), F.size("words")))).alias("short")).first()
+    masks = all_masks(size["short"])
+    near, off = around(F.col("words"), F.col("at"))
+    stretch = F.least(F.size("words"), F.lit(VERIFY))
+    placed = seeds(items, masks, True, "item_id").select("seed", "item_id", near.alias("p_words"), off.alias("p_off"), stretch.alias("stretch"))
+    placed = materialize(placed.withColumn("passage", F.xxhash64("p_words", "p_off", "stretch")), "passages")
+    passage_seeds = placed.select("seed", "passage").distinct()
+    passages = placed.select("passage", "p_words", "p_off", "stretch").dropDuplicates(["passage"])
+    owners = placed.select("passage", "item_id").distinct()
+    source = docs.select(column(doc_id).alias("doc_id"), words_of(column(text)).alias("words")).filter(F.size("words") > 0)
+    if (len(masks) + 1) * size["words"] <= BROADCAST_SEEDS:
+        hits = seeds(source, masks, False, "doc_id").join(F.broadcast(passage_seeds), "seed")
+        hits = hits.select("doc_id", "passage", near.alias("near"), off.alias("off"))
+    else:
+        rows = materialize(source.withColumn("row", F.monotonically_increasing_id()), "words")
+        # A frequent seed is a hot key of the documents' side alone: the other holds each passage once.
+        found = seeds(rows, masks, False, "row").select("row", "at", "seed").join(passage_seeds, "seed").select("row", "at", "passage").distinct()
+        hits = found.join(rows, "row").select("doc_id", "passage", near.alias("near"), off.alias("off"))
+    # A passage is at most 3 * VERIFY words, and there is one at most for each word of the benchmark and mask.
+    hits = hits.join(F.broadcast(passages) if 3 * VERIFY * size["words"] <= BROADCAST_WORDS else passages, "passage")
+    # Position p of the passage stands at p - p_off + off of the words around the hit.
+    low = F.greatest(F.lit(0), F.col("p_off") - F.col("off"))
+    high = F.least(F.size("p_words"), F.col("p_off") - F.col("off") + F.size("near"))
+    equal = F.transform(F.sequence(low, high - 1), lambda p: (F.get("p_words", p) == F.get("near", p - F.col("p_off") + F.col("off"))).cast("int"))
+    hits = hits.filter(high - low >= F.col("stretch")).select("doc_id", "passage", equal.alias("equal"), "stretch")
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("stretch") + 1), lambda k: F.aggregate(F.slice("equal", k, F.col("stretch")), F.lit(0), lambda s, x: s + x)))
-    return hits.withColumn("matched", best / F.col("stretch")).filter(F.col("matched") >= SHARE).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    matched = hits.withColumn("matched", best / F.col("stretch")).filter(F.col("matched") >= SHARE).groupBy("doc_id", "passage").agg(F.max("matched").alias("matched"))
+    return matched.join(owners, "passage").groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, contaminated, n_items, items (ids, ascending), matched (0 without a leak)."""
     found = leaks(docs, benchmark, doc_id, item_id, text)
     found = found.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item_id")).alias("found"), F.max("matched").alias("share"))
-    ids = docs.select(F.col(doc_id).alias("doc_id"))
-    joined = ids.join(found, ids["doc_id"].eqNullSafe(found["key"]), "left")
+    ids = docs.select(column(doc_id).alias("doc_id"))
+    joined = ids.join(found, F.col("doc_id").eqNullSafe(F.col("key")), "left")
     return joined.select("doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("items"), F.coalesce("share", F.lit(0.0)).alias("matched"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """docs without the documents that leak an item; all columns stay as they are."""
-    found = leaks(docs, benchmark, doc_id, item_id, text).select(F.col("doc_id").alias("_leaking_doc")).distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(found["_leaking_doc"]), "left_anti")
+    """docs without the documents that leak an item; all columns stay as they are, whatever their names.
+
+    Rows that repeat a doc_id go together, null ids too; rows without a leak stay, repeated or not."""
+    key = free_name("_leaking_doc", docs.columns)
+    found = leaks(docs, benchmark, doc_id, item_id, text).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, column(doc_id).eqNullSafe(F.col(key)), "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces, texts
+from .common import column, handing_back, map_batches, materialize, pieces, texts
 
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES - 2
@@ -82,7 +82,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(handing_back(run), schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 # ---- the network
@@ -411,7 +411,7 @@ def learn_round(rows: DataFrame, state: np.ndarray, symbols: dict[bytes, int], e
         if sums:
             yield batch(list(sums), [n for n, _ in sums.values()], [x.tobytes() for _, x in sums.values()])
 
-    sums = rows.select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).toArrow().to_pylist()
+    sums = rows.select("text").mapInArrow(handing_back(run), schema).repartition("chunk").mapInArrow(add, schema).toArrow().to_pylist()
     shared.unpersist()
     out, learned = state.copy(), 0
     for r in sums:
@@ -452,7 +452,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
     made = [T.StructField("n_tokens", T.LongType(), False), T.StructField("n_known", T.LongType(), False), T.StructField("train_tokens", T.LongType(), False), T.StructField("base_score", T.DoubleType(), False), T.StructField("score", T.DoubleType(), False)]
     if clash := {f.name for f in made} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are made by this operator")
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*map(column, keep), column(text).alias("_text"))
     open_words = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([*(source.schema[c] for c in keep), *made, T.StructField("_open", open_words)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -507,7 +507,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
                 pooled = 0
         yield from flush()
 
-    first = source.mapInArrow(run, schema)
+    first = map_batches(source, run, schema)
     return _close(first, counts, model, keep)
 
 
@@ -522,4 +522,4 @@ def _close(first: DataFrame, counts: DataFrame, model: Model, keep: list[str]) -
     more = joined.groupBy(F.col("_row").alias("_key")).agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * (log - scale)).alias("b"), F.sum(F.col("n") * (log - rest)).alias("s"))
     done = rows.drop("_open").join(more, F.col("_row") == F.col("_key"), "left")
     zero = F.lit(0.0)
-    return done.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), "train_tokens", (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"))
+    return done.select(*map(column, keep), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), "train_tokens", (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces, texts
+from .common import column, map_batches, pieces, texts
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE_KINDS = KINDS[:3]
@@ -87,16 +87,16 @@ def find(text: str, keywords: ahocorasick.Automaton) -> list[tuple[int, int, str
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)]), False)
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text", redact: str | None = None) -> DataFrame:
-    """keep columns, secret_spans (kind, start, end) and, with redact, redacted: the text with each span's union replaced.
+def scan(docs: DataFrame, keep: list[str], text: str = "text", redact: str | None = None, made: tuple[str, str] = ("secret_spans", "redacted")) -> DataFrame:
+    """keep columns and those that made names: spans (kind, start, end) and, with redact, the text with each span's union replaced.
 
     A null text has no spans and stays null when redacted; an empty text and an empty table give no spans and no rows.
-    Repeated rows each keep their own.  keep must not name secret_spans or redacted (ValueError); other columns are not read."""
-    if clash := {"secret_spans", "redacted"} & set(keep):
+    Repeated rows each keep their own.  keep must not name a made column (ValueError); other columns are not read."""
+    if clash := {c.lower() for c in made} & {c.lower() for c in keep}:
         raise ValueError(f"columns {sorted(clash)} are made by this operator")
-    source = docs.select(*dict.fromkeys([*keep, text]))
-    made = [T.StructField("secret_spans", SPANS, False)] + [T.StructField("redacted", T.StringType())] * (redact is not None)
-    schema = T.StructType([source.schema[c] for c in keep] + made)
+    source = docs.select(*(column(c) for c in dict.fromkeys([*keep, text])))
+    fields = [T.StructField(made[0], SPANS, False)] + [T.StructField(made[1], T.StringType())] * (redact is not None)
+    schema = T.StructType([source.schema[c] for c in keep] + fields)
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def blank(x: str, spans: list[tuple[int, int, str]]) -> str:
@@ -116,4 +116,4 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", redact: str | Non
                 cols.append(pa.array([x if x is None else blank(x, s) for x, s in zip(batch.column(text).to_pylist(), spans, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, pieces, texts
+from .common import column, discard, free_name, handing_back, map_batches, materialize, pieces, texts
 
 BITS = 64
 GROUP_ROWS = 16_384
@@ -55,7 +55,7 @@ def fingerprint_of(text: str, words: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: int = 4) -> DataFrame:
     """keep columns of docs and fp (bigint, the fingerprint's bits as a signed number); a null text has no words."""
-    source = docs.select(*dict.fromkeys([*keep, text]))
+    source = docs.select(*(column(c) for c in dict.fromkeys([*keep, text])))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("fp", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: in
             fp = np.array([fingerprint_of(x, words) for x in texts(batch, text)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 # ---- the index
@@ -118,10 +118,9 @@ def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = new
 
 
-def link_labels(codes: np.ndarray, side: np.ndarray, group: np.ndarray, differences: int) -> np.ndarray:
+def link_labels(codes: np.ndarray, group: np.ndarray, differences: int) -> np.ndarray:
     """For codes sorted by (group, Gray rank): the place of the first member of each one's component, where members of one
-    group link at so many differing bits at most.  side: 0, or 1 and 2 for the two slices of a cut group; of those, only
-    pairs over both sides matter (a slice's own pairs are another group's), though others may be found."""
+    group link at so many differing bits at most."""
     n = len(codes)
     label = np.arange(n)
     if n < 2:
@@ -238,7 +237,7 @@ def links(distinct: DataFrame, differences: int = 4, count: int | None = None) -
                 mine = x[:, 0] == o
                 code[mine] = reorder(fp[mine], orders[o][0])
             at = np.lexsort((gray_rank(code), group))
-            label = link_labels(code[at], group[at], group[at], differences)
+            label = link_labels(code[at], group[at], differences)
             fp = fp[at].view(np.int64)
             far = label != np.arange(len(label))
             return pa.RecordBatch.from_arrays([pa.array(fp[label[far]]), pa.array(fp[far])], names=schema.names)
@@ -259,7 +258,7 @@ def links(distinct: DataFrame, differences: int = 4, count: int | None = None) -
         if rows:
             yield find(np.concatenate(held))
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(handing_back(run), schema)
 
 
 # ---- components
@@ -310,9 +309,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 4, differences: int = 4) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id, null ids last, of equal ids one.
 
-    All columns stay.  Rows get a number of their own in a written table, so rows that repeat an id cannot both stay."""
-    staged = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "staged")
-    key = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    found = near_duplicates(staged.select(key.alias("doc_id"), F.col(text).alias("text")), words=words, differences=differences)
-    gone = found.filter(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias("_gone"))
-    return staged.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    All columns stay, whatever their names.  Rows get a number of their own in a written table, so rows that repeat an id
+    cannot both stay.  Null and wordless texts are one group; an empty table stays empty."""
+    row, gone_row = free_name("_row", docs.columns), free_name("_gone", docs.columns)
+    staged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "staged")
+    key = F.struct(column(doc_id).isNull().alias("last"), column(doc_id).alias("id"), F.col(row).alias("row"))
+    found = near_duplicates(staged.select(key.alias("doc_id"), column(text).alias("text")), words=words, differences=differences)
+    gone = found.filter(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias(gone_row))
+    return staged.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row)

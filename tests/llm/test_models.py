@@ -40,6 +40,48 @@ def test_grams_do_not_cross_texts():
     assert (both[:, starts[1] :] == one).all()
 
 
+def plain_buckets(text):
+    """The bucket of every 1- to 3-gram of the text with two gaps before and after, one by one."""
+    code, full = [ord(c) for c in f"  {text.lower()}  "], (1 << 32) - 1
+    out = []
+    for n in (1, 2, 3):
+        for i in range(2, len(code)):
+            h = 0
+            for k in range(n):
+                h = (h * 0x01000193 + code[i - n + 1 + k] * 0x9E3779B1 + k + 1) & full
+            h = ((h ^ (h >> 15)) * 0x85EBCA6B) & full
+            out.append(h >> 18)
+    return out
+
+
+def test_language_equals_brute_force(spark, sf, monkeypatch):
+    """Counts, probabilities and posteriors by plain loops; also with blocks so small that they cut texts."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 600").collect()]
+    assert len(rows) > 20
+    counts, docs = {}, Counter()
+    for _, text, lang in rows:
+        if lang and text and any(c.isalpha() for c in text):
+            counts.setdefault(lang, Counter()).update(plain_buckets(text))
+            docs[lang] += 1
+    names = sorted(counts)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table)
+    assert model[0] == names
+    size = {k: sum(counts[k].values()) + 0.5 * langid.BUCKETS for k in names}
+    want = {}
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            want[i] = ("und", 0.0)
+            continue
+        total = [math.log((docs[k] + 1) / (sum(docs.values()) + len(names))) + sum(math.log((counts[k][b] + 0.5) / size[k]) for b in plain_buckets(text)) for k in names]
+        odds = [math.exp(t - max(total)) for t in total]
+        want[i] = (names[total.index(max(total))], max(odds) / sum(odds))
+    for cells in (langid.CELLS, 5_000):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        for r in langid.predict(table, model, ["doc_id"]).collect():
+            assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3
+
+
 def test_toxicity_held_out(spark):
     from morpholake.llm.queries import op5_toxicity
 
@@ -54,22 +96,40 @@ def test_toxicity_held_out(spark):
     assert all(r.predicted == (r.score >= 0.5) for r in rows)
 
 
-def test_toxicity_pairs_are_learned():
-    """Neither term alone is toxic, both together are: no sum of single weights can say so."""
+@pytest.mark.parametrize(("rows", "noise", "terms"), [(4000, 60, 3), (4000, 5000, 30)])
+def test_toxicity_neutral_pairs_are_learned(rows, noise, terms):
+    """Toxic is exactly one of two terms: neither says anything alone, and no sum of single weights can say so."""
     rng = np.random.default_rng(0)
-    rows, labels = [], []
-    for _ in range(1500):
+    texts, labels = [], []
+    for _ in range(rows):
         a, b = rng.random(2) < 0.5
-        noise = rng.integers(10, 60, 3).tolist()
-        rows.append(np.unique(noise + [1] * int(a) + [2] * int(b)))
-        labels.append(float(a and b))
-    model = toxicity.fit(rows, np.array(labels))
-    s = toxicity.raw_scores(model, np.array([1, 2, 1, 2]), np.array([1, 1, 2]))
-    assert s[2] > 0 > max(s[0], s[1])
+        texts.append(np.unique(rng.integers(10, noise, terms).tolist() + [1] * int(a) + [2] * int(b)))
+        labels.append(float(a != b))
+    model = toxicity.fit(np.concatenate(texts).astype(np.int32), np.array([len(x) for x in texts]), np.array(labels))
+    neither, one, other, both = toxicity.raw_scores(model, np.array([1, 2, 1, 2]), np.array([0, 1, 1, 2]))
+    assert both < neither - 0.5 and both < min(one, other) - 1
+
+
+def plain_toxicity(model, text):
+    """The machine's formula over all pairs of a text's terms."""
+    ids = toxicity.term_buckets(text or "", {})
+    pairs = sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(ids) for b in ids[:k])
+    raw = model.bias + sum(float(model.w[i]) for i in ids) + min(1, toxicity.PAIRS / max(len(ids), 1)) * pairs
+    return 1 / (1 + math.exp(-raw))
+
+
+def test_toxicity_scores_equal_brute_force(spark, sf):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(-0.3, rng.normal(0, 0.1, toxicity.BUCKETS).astype(np.float32), rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.RANK)).astype(np.float32))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 2000").select("doc_id", "text").limit(50)
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in docs.collect()] + [(-1, None), (-2, ""), (-3, "12 !")], "doc_id long, text string")
+    want = {r.doc_id: plain_toxicity(model, r.text) for r in docs.collect()}
+    for r in toxicity.score(docs, model, ["doc_id"]).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-4 and r.predicted == (r.score >= 0.5)
 
 
 def test_toxicity_odd_rows(spark, odd, empty):
-    model = toxicity.fit([], np.zeros(0))
+    model = toxicity.fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
     rows = toxicity.score(odd.drop("score"), model, ["doc_id", "words"]).collect()
     assert {round(r.score, 6) for r in rows} == {0.5} and len(rows) == odd.count()
     labelled = odd.withColumnRenamed("n_chars", "toxic")

@@ -1,6 +1,8 @@
 """The operators that run on DataFrame functions only."""
 
+import itertools
 import math
+import random
 import re
 from collections import Counter
 
@@ -33,6 +35,8 @@ def plain_leaks(docs, items):
             iw = words(u)
             n = min(len(iw), decontaminate.VERIFY)
             if n < decontaminate.SHORTEST:
+                if n and dw == iw:
+                    out.setdefault(d, set()).add(i)
                 continue
             for shift in range(-len(iw), len(dw)):
                 same = [0 <= p + shift < len(dw) and dw[p + shift] == iw[p] for p in range(len(iw))]
@@ -54,6 +58,52 @@ def test_leaks_of_the_table(spark, sf):
     assert got == want and len(want) >= 8
 
 
+def test_masks_miss_no_substitution():
+    """Any words of which SHARE stay equal keep the positions of one mask, for every length of item."""
+    for n in range(decontaminate.SHORTEST, decontaminate.VERIFY + 1):
+        k = max(k for k in range(n) if (n - k) / n >= decontaminate.SHARE)
+        masks = [(m, 0) for m in decontaminate.masks_for(n)] if n < decontaminate.VERIFY else [(m, o) for m in decontaminate.MASKS for o in range(n - m[-1])]
+        for gone in itertools.combinations(range(n), k):
+            assert any(not {p + o for p in m} & set(gone) for m, o in masks), (n, gone)
+
+
+def changed_copies(rng, n, k):
+    """An item of n words of its own, and a text that holds it with k words changed."""
+    item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    copy = item.copy()
+    for p in rng.sample(range(n), k):
+        copy[p] = f"other{p}"
+    return " ".join(item), " ".join(["before", *copy, "after", "that"])
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_short_and_long_items_are_found(spark, monkeypatch, broadcast):
+    """Items of 1 to 40 words with as many substitutions as SHARE allows and with one more; both ways of joining agree."""
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    rng, docs, items = random.Random(8), [], []
+    for n in [*range(1, 16), 40]:
+        k = max(k for k in range(n) if (min(n, 13) - k) / min(n, 13) >= decontaminate.SHARE)
+        for extra in (0, 1):
+            if n > 13 and extra:
+                continue
+            item, copy = changed_copies(rng, n, min(n, k + extra))
+            items.append((100 * n + extra, item))
+            docs += [(100 * n + extra, copy), (10_000 + 100 * n + extra, item)]
+    shared = "choose the best answer to each of the following questions and explain why you chose it"
+    items += [(9_000 + k, f"{shared} {k}") for k in range(5)]
+    docs += [(90_000, f"so {shared} says"), (90_001, " ".join(f"v{k % 3000}" for k in range(20_000)) + " " + shared), (90_002, "word " * 500), (90_003, "今日は天気がいいですね。")]
+    items += [(9_100, "word " * 30), (9_200, "天気がいいです")]
+    want = plain_leaks([(i, t) for i, t in docs if i != 90_001], items)
+    want[90_001] = want[90_000]
+    assert 90_003 not in want  # the plain version knows no unspaced scripts
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() if r.contaminated}
+    assert got.pop(90_003) == {9_200}
+    assert got == want and all(10_000 + 100 * n in got for n in range(1, 16))
+    assert all(100 * n in got for n in range(3, 16)) and not any(100 * n + 1 in got for n in range(3, 14))
+
+
 def test_leaks_of_odd_rows(odd, empty, spark):
     bench = spark.createDataFrame([(1, "same row twice"), (2, "word word word word word word word word word word word word word word")], "item_id long, text string")
     found = decontaminate.judge(odd, bench).collect()

@@ -1,5 +1,6 @@
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 from test_native import plain_leaks
 from test_secrets import plain
 from test_simhash import plain_components, plain_fingerprint
@@ -39,10 +40,19 @@ def test_run(spark, sf):
 
 
 def test_stages_keep_odd_and_empty_tables(spark, odd, empty, sf):
-    plain_columns = odd.select(empty.columns)
-    for table in (plain_columns, empty):
+    """Columns with the names that stages use inside come through all stages with their values."""
+    clash = ["score", "lang_pred", "secret_spans", "redacted", "_gone", "_row", "_leaking_doc", "Redacted.x", "_SCORE"]
+    wide = odd.drop("score", "_row")
+    for c in clash:
+        wide = wide.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    no_chars = wide.drop("n_chars")
+    for table in (wide, no_chars, empty):
         docs = table
-        for _, stage in corpus_pipeline.STAGES:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, sf)
+            assert docs.columns == table.columns
             docs = spark.createDataFrame(docs.collect(), docs.schema)
-        assert docs.count() <= table.count()
+        for r in docs.collect() if table is not empty else ():
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in clash)
+        assert docs.count() == (3 if table is not empty else 0)  # 4, 5 once, and the one without an id
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()

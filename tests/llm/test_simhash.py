@@ -50,7 +50,7 @@ def test_index_finds_every_link():
         group = rng.integers(0, (1, 4)[trial % 2], len(codes))
         order = np.lexsort((simhash.gray_rank(codes), group))
         codes, group = codes[order], group[order]
-        label = simhash.link_labels(codes, group, group, 4)
+        label = simhash.link_labels(codes, group, 4)
         for g in set(group.tolist()):
             mine = np.flatnonzero(group == g)
             assert plain_components([(int(i), int(codes[i])) for i in mine], 4) == label[mine].tolist()
