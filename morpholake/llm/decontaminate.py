@@ -31,15 +31,16 @@ SHARE = 0.8
 SHORTEST = 3
 BROADCAST_SEEDS = 2_000_000
 BROADCAST_WORDS = 8_000_000
-#: Letters that stand for themselves, as their scripts put no spaces between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Letters that stand for themselves, as their scripts put no spaces between words: Thai, Lao, Burmese, Khmer, Kana, Han.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits, letters of UNSPACED scripts one by one; a null text has none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    spaced = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
-    return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # Such letters take three bytes each, so a text of as many bytes as letters has none.
+    spaced = F.when(F.octet_length(text) > F.char_length(text), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    return F.array_remove(F.split(spaced, r"[^\p{L}\p{N}]+"), "")
 
 
 def masks_for(n: int) -> list[tuple[int, ...]]:
@@ -50,8 +51,8 @@ def masks_for(n: int) -> list[tuple[int, ...]]:
 
 
 def all_masks(short: list[int]) -> list[tuple[int | None, tuple[int, ...]]]:
-    """(length of item or None for VERIFY words and more, mask)."""
-    return [(None, m) for m in MASKS] + [(n, m) for n in short for m in masks_for(n)]
+    """(length of item or None for VERIFY words and more, mask), for items of these lengths under VERIFY."""
+    return [(None, m) for m in MASKS] + [(n, m) for n in short for m in ([tuple(range(n))] if n < SHORTEST else masks_for(n))]
 
 
 def seeds(words: DataFrame, masks: list[tuple[int | None, tuple[int, ...]]], items: bool, *carry: str) -> DataFrame:
@@ -60,12 +61,14 @@ def seeds(words: DataFrame, masks: list[tuple[int | None, tuple[int, ...]]], ite
     An item has the masks of its own length only; a text of under SHORTEST words is one seed as a whole."""
     # The words of a text are an array once made: the windows only point into it.
     size, at = F.size("words"), F.col("at")
-    windows = words.select(*carry, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-    hashes = [F.when((size < SHORTEST) & (at == 0), F.xxhash64(F.lit(-1), F.get("words", F.lit(0)), F.coalesce(F.get("words", F.lit(1)), F.lit(""))))]
+    windows = words.select(*carry, "words", F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("at"))
+    hashes = []
     for k, (n, mask) in enumerate(masks):
         fits = at + mask[-1] < size if n is None else at + n <= size
-        if items:
-            fits = fits & (size >= VERIFY if n is None else size == n)
+        if n is not None and (items or n < SHORTEST):
+            fits = fits & (size == n)
+        elif items:
+            fits = fits & (size >= VERIFY)
         hashes.append(F.when(fits, F.xxhash64(F.lit(k), *(F.get("words", at + p) for p in mask))))
     return windows.select(*carry, "words", "at", F.explode(F.array(*hashes)).alias("seed")).filter("seed is not null")
 
@@ -76,6 +79,17 @@ def around(words: Column, at: Column) -> tuple[Column, Column]:
     return F.slice(words, at - off + 1, off + 2 * VERIFY), off
 
 
+def most_equal(equal: Column, stretch: Column) -> Column:
+    """The most ones in a stretch of so many places of an array of 0 and 1, in one pass: the last places are bits of a number."""
+    ones = F.element_at(F.array(*(F.lit((1 << k) - 1) for k in range(1, VERIFY + 1))), stretch)
+
+    def add(s: Column, x: Column) -> Column:
+        last = F.shiftleft(s["last"], 1).bitwiseOR(x).bitwiseAND(ones)
+        return F.struct(last.alias("last"), F.greatest(s["best"], F.bit_count(last)).alias("best"))
+
+    return F.aggregate(equal, F.struct(F.lit(0).alias("last"), F.lit(0).alias("best")), add)["best"]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched): each leak, matched being the largest share of equal words in a stretch.
 
@@ -84,7 +98,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     them.  Empty tables give an empty result.  Only the named columns are read, so other columns' names cannot clash."""
     items = benchmark.select(column(item_id).alias("item_id"), words_of(column(text)).alias("words")).filter(F.size("words") > 0)
     items = items.withColumn("item", F.xxhash64("item_id", "words"))
-    size = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.array_sort(F.collect_set(F.when((F.size("words") >= SHORTEST) & (F.size("words") < VERIFY), F.size("words")))).alias("short")).first()
+    size = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.array_sort(F.collect_set(F.when(F.size("words") < VERIFY, F.size("words")))).alias("short")).first()
     masks = all_masks(size["short"])
     near, off = around(F.col("words"), F.col("at"))
     stretch = F.least(F.size("words"), F.lit(VERIFY))
@@ -93,8 +107,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     passage_seeds = placed.select("seed", "passage").distinct()
     passages = placed.select("passage", "p_words", "p_off", "stretch").dropDuplicates(["passage"])
     owners = placed.select("passage", "item_id").distinct()
-    source = docs.select(column(doc_id).alias("doc_id"), words_of(column(text)).alias("words")).filter(F.size("words") > 0)
-    if (len(masks) + 1) * size["words"] <= BROADCAST_SEEDS:
+    source = docs.select(column(doc_id).alias("doc_id"), words_of(column(text)).alias("words"))
+    if len(masks) * size["words"] <= BROADCAST_SEEDS:
         hits = seeds(source, masks, False, "doc_id").join(F.broadcast(passage_seeds), "seed")
         hits = hits.select("doc_id", "passage", near.alias("near"), off.alias("off"))
     else:
@@ -108,9 +122,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     low = F.greatest(F.lit(0), F.col("p_off") - F.col("off"))
     high = F.least(F.size("p_words"), F.col("p_off") - F.col("off") + F.size("near"))
     equal = F.transform(F.sequence(low, high - 1), lambda p: (F.get("p_words", p) == F.get("near", p - F.col("p_off") + F.col("off"))).cast("int"))
-    hits = hits.filter(high - low >= F.col("stretch")).select("doc_id", "passage", equal.alias("equal"), "stretch")
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("stretch") + 1), lambda k: F.aggregate(F.slice("equal", k, F.col("stretch")), F.lit(0), lambda s, x: s + x)))
-    matched = hits.withColumn("matched", best / F.col("stretch")).filter(F.col("matched") >= SHARE).groupBy("doc_id", "passage").agg(F.max("matched").alias("matched"))
+    hits = hits.filter(high - low >= F.col("stretch")).select("doc_id", "passage", most_equal(equal, F.col("stretch")).alias("best"), "stretch")
+    matched = hits.withColumn("matched", F.col("best") / F.col("stretch")).filter(F.col("matched") >= SHARE).groupBy("doc_id", "passage").agg(F.max("matched").alias("matched"))
     return matched.join(owners, "passage").groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
