@@ -43,7 +43,9 @@ REPEAT_TOKENS = 2_000_000
 TRAIN_LANES = 128
 CHUNK = 1024
 RATE = 0.01
-HEAD = 200_000
+#: No exponent goes beyond; its exponential and their sums fit a float.
+MOST = np.float32(60)
+HEAD = 100_000
 KEY_BYTES = 64
 POOL_TOKENS = 3_000_000
 COUNT_WORDS = 400_000
@@ -131,8 +133,8 @@ def step(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis; x is changed."""
-    x -= x.max(axis=0)
+    """Over the first axis; x is changed.  No maximum is taken off: states lie between -1 and 1, and MOST bounds the rest."""
+    np.minimum(x, MOST, out=x)
     x -= np.log(np.exp(x).sum(axis=0))
     return x
 
@@ -201,7 +203,7 @@ def learn(state: np.ndarray, docs: Iterable[np.ndarray], end: int, lanes: int =
     Returns the number of symbols learned from, which is that of all docs."""
     n = len(state) // 3
     p, m, v = state[:n], state[n : 2 * n], state[2 * n : 3 * n]
-    g = np.empty_like(p)
+    g, move = np.empty_like(p), np.empty_like(p)
     net, grads = network_of(p), network_of(g)
     h, last, t, learned = np.zeros((HIDDEN, lanes), np.float32), np.full(lanes, end, np.int16), int(state[-1]), 0
     for live, block in windows(docs, lanes):
@@ -216,15 +218,24 @@ def learn(state: np.ndarray, docs: Iterable[np.ndarray], end: int, lanes: int =
         # Every symbol weighs the same, also where few lanes are left.
         g *= np.float32(16 / (WINDOW * lanes))
         np.clip(g, -1, 1, out=g)
-        m += np.float32(0.1) * (g - m)
-        v += np.float32(0.001) * (g * g - v)
-        p -= np.float32(RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)) * m / (np.sqrt(v) + np.float32(1e-6))
+        m *= np.float32(0.9)
+        np.multiply(g, np.float32(0.1), out=move)
+        m += move
+        g *= g
+        g *= np.float32(0.001)
+        v *= np.float32(0.999)
+        v += g
+        np.sqrt(v, out=move)
+        move += np.float32(1e-6)
+        np.divide(m, move, out=move)
+        move *= np.float32(RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t))
+        p -= move
     state[-1] = t
     return learned
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=0)
+    np.minimum(x, MOST, out=x)
     np.exp(x, out=x)
     x /= x.sum(axis=0)
     return x
@@ -434,7 +445,7 @@ def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: Da
     symbols = {w: k for k, w in enumerate(words[:VOCABULARY])}
     known = sum(c[:VOCABULARY]) + n_docs
     mass = (total - known) + ALPHA * (distinct - len(symbols) - (n_docs > 0) + 1)
-    rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(order), F.col(text)), F.lit(ROUNDS[-1])).alias("share"))
+    rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(order)), F.lit(ROUNDS[-1])).alias("share"))
     lanes = max(1, min(TRAIN_LANES, total // 20_000))
     state, learned = new_state(), 0
     for low, high in [*zip(ROUNDS, ROUNDS[1:])] * (2 if total < REPEAT_TOKENS else 1):
