@@ -21,16 +21,49 @@ SOP_FAMILIES = {
 }
 
 
+#: A volume whose largest spacing is more than so many times its smallest is stretched when cut anew.
+ANISOTROPIC = 5
+
+
 def volume_problems(volumes: DataFrame, key: str) -> DataFrame:
-    """key, problem: one row per problem of a volume (nx, ny, nz, sx, sy, sz, n_values, n_nan)."""
-    checks = []
-    for a in "xyz":
-        checks.append(F.when(F.coalesce(F.col(f"n{a}") <= 0, F.lit(True)), F.format_string(f"dims.{a}: %s", F.col(f"n{a}").cast("string"))))
-        checks.append(F.when(~finite(F.col(f"s{a}")) | (F.col(f"s{a}") <= 0), F.format_string(f"spacing.{a}: %s", F.col(f"s{a}").cast("string"))))
-    wanted = F.col("nx").cast("bigint") * F.col("ny") * F.col("nz")
-    checks.append(F.when(F.col("n_values") != wanted, F.format_string("length: %d of %d", F.col("n_values"), wanted)))
-    checks.append(F.when(F.col("n_nan") > 0, F.format_string("nan: %d", F.col("n_nan"))))
-    return volumes.select(key, F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    """key, level, code: one row per problem of a volume (nx, ny, nz, sx, sy, sz, n_values, n_nonfinite).
+
+    Errors: bad-dims, bad-spacing, length-mismatch, all-nonfinite; warnings: anisotropic, some-nonfinite.  A null size or
+    spacing is bad; n_nonfinite counts NaN and infinities among the n_values."""
+    dims, spacing = [F.col(f"n{a}").cast("bigint") for a in "xyz"], [F.col(f"s{a}") for a in "xyz"]
+    every = lambda conditions: reduce(lambda a, b: a & b, (F.coalesce(c, F.lit(False)) for c in conditions))
+    sound = every(finite(s) & (s > 0) for s in spacing)
+    product = dims[0] * dims[1] * dims[2]
+    n, bad = F.col("n_values"), F.col("n_nonfinite")
+    found = [
+        ("error", "bad-dims", ~every(n > 0 for n in dims)),
+        ("error", "bad-spacing", ~sound),
+        ("error", "length-mismatch", (product > 0) & (n != product)),
+        ("warn", "anisotropic", sound & (F.greatest(*spacing) / F.least(*spacing) > ANISOTROPIC)),
+        ("error", "all-nonfinite", (n > 0) & (bad == n)),
+        ("warn", "some-nonfinite", (bad > 0) & (bad < n)),
+    ]
+    rows = F.array_compact(F.array(*(F.when(is_, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for level, code, is_ in found)))
+    return volumes.select(key, F.explode(rows).alias("p")).select(key, "p.level", "p.code")
+
+
+def unlicensed(records: DataFrame, license_column: str = "license") -> DataFrame:
+    """Records without a known license: null, empty or UNVERIFIED."""
+    return records.filter(F.coalesce(F.col(license_column), F.lit("")).isin("", "UNVERIFIED"))
+
+
+def bad_terms(terms: DataFrame) -> DataFrame:
+    """term, reason: the first fault of each row of a term table (term, name, parent, members): term-id, name, parent or members.
+
+    A term is FMA and digits, a name not empty, a parent null or not empty, members an array without null or empty names."""
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    reason = (
+        F.when(~F.coalesce(F.col("term").rlike(r"^FMA\d+$"), F.lit(False)), "term-id")
+        .when(empty(F.col("name")), "name")
+        .when(F.col("parent") == "", "parent")
+        .when(F.col("members").isNull() | F.exists("members", empty), "members")
+    )
+    return terms.select("term", reason.alias("reason")).filter("reason is not null")
 
 
 def axis_findings(planes: DataFrame, by: str) -> DataFrame:

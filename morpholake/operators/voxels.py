@@ -170,3 +170,37 @@ def level_set(pixels: DataFrame, band: int = 2, by: tuple[str, ...] = ("tile",))
     moved = (F.col("_lo") != F.col("_hi")) & F.coalesce(F.col("_in") != F.col("_out"), F.lit(False))
     joined = pixels.join(sides, [*by, "x", "y"]).join(means, list(by))
     return joined.withColumn("mask", F.when(moved, near.cast("int")).otherwise(F.col("mask"))).drop("_in", "_out", "_lo", "_hi")
+
+
+def profile_lines(lines: DataFrame, voxels: DataFrame, samples: int = 64, by: str = "series") -> DataFrame:
+    """line_id, k, v: the values under `samples` points from (ax, ay, az) to (bx, by_, bz), each rounded half up to its voxel.
+
+    A point without a voxel has a null value.  lines carry the series of their volume; points meet voxels by equal keys."""
+    t = F.col("k") / F.lit(max(samples - 1, 1))
+    at = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * t + 0.5).cast("int")
+    points = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select("line_id", "k", by, at("ax", "bx").alias("x"), at("ay", "by_").alias("y"), at("az", "bz").alias("z"))
+    return points.join(voxels.select(by, "x", "y", "z", "v"), [by, "x", "y", "z"], "left").select("line_id", "k", "v")
+
+
+def cumulative_dose(doses: DataFrame, by: str, value: str = "v", bins: int = 100) -> DataFrame:
+    """by, bin, share: of each structure's voxels, the share with a dose of at least bin / bins of its largest.
+
+    Counts per bin come first, so the running sum is over bins of a structure, not over its voxels."""
+    top = doses.groupBy(by).agg(F.max(value).alias("top"), F.count(value).alias("n")).filter("top > 0")
+    placed = doses.join(top, by).select(by, "n", F.floor(F.col(value) / F.col("top") * bins).cast("int").alias("bin"))
+    counts = placed.groupBy(by, "n", "bin").agg(F.count("*").alias("c"))
+    every = counts.groupBy(by, "n").agg(F.collect_list(F.struct("bin", "c")).alias("h")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins))))
+    least = F.aggregate("h", F.lit(0).cast("bigint"), lambda s, e: s + F.when(e["bin"] >= F.col("bin"), e["c"]).otherwise(0))
+    return every.select(by, "bin", (least / F.col("n")).alias("share"))
+
+
+def through_spheres(points: DataFrame, wanted: list[tuple[float, float, float, float]], barred: list[tuple[float, float, float, float]], line: str = "line_id") -> DataFrame:
+    """Lines (of points x, y, z) with a point in every wanted sphere (x, y, z, radius) and none in a barred one.
+
+    One pass with partial aggregation: whether any point of the line lies in each sphere."""
+    inside = lambda s: F.pow(F.col("x") - s[0], 2) + F.pow(F.col("y") - s[1], 2) + F.pow(F.col("z") - s[2], 2) <= s[3] * s[3]
+    hits = [F.max(F.coalesce(inside(s), F.lit(False))).alias(f"h{k}") for k, s in enumerate([*wanted, *barred])]
+    keep = F.lit(True)
+    for k in range(len(wanted) + len(barred)):
+        keep = keep & (F.col(f"h{k}") if k < len(wanted) else ~F.col(f"h{k}"))
+    return points.groupBy(line).agg(F.count("*").alias("n_points"), *hits).filter(keep).select(line, "n_points")

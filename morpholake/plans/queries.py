@@ -85,10 +85,10 @@ def concepts_of_member(spark: S, d: str) -> D:
     return joins.concepts_of(_term_members(spark, d), "7", "FMA0").select("concept", F.col("n_members").cast("bigint").alias("n_members"))
 
 
-@query("""SELECT a.feature_id, b.feature_id AS other FROM features a JOIN features b ON a.chrom = b.chrom AND a.start < b.end_ AND b.start < a.end_ WHERE a.feature_id % 50 = 0 AND a.feature_id <> b.feature_id""", "features")
+@query("""SELECT a.feature_id, b.feature_id AS other FROM features a JOIN features b ON a.chrom = b.chrom AND a.start < b.end_ AND b.start < a.end_ WHERE a.feature_id % 100 = 0 AND a.feature_id <> b.feature_id""", "features")
 def locus_overlap(spark: S, d: str) -> D:
     f = domain(spark, d, "features")
-    left = f.filter("feature_id % 50 = 0").withColumn("bin", F.explode(joins.bins_of(F.col("start"), F.col("end_"), 64)))
+    left = f.filter("feature_id % 100 = 0").withColumn("bin", F.explode(joins.bins_of(F.col("start"), F.col("end_"), 64)))
     right = f.select(F.col("feature_id").alias("other"), F.col("chrom").alias("c2"), F.col("start").alias("s2"), F.col("end_").alias("e2"), F.explode(joins.bins_of(F.col("start"), F.col("end_"), 64)).alias("bin"))
     hits = left.join(right, "bin").filter(scalars.loci_overlap(F.col("chrom"), F.col("start"), F.col("end_"), F.col("c2"), F.col("s2"), F.col("e2")))
     # A pair that shares several bins is taken in the first of them.
@@ -663,10 +663,11 @@ def doubling_times(spark: S, d: str) -> D:
 # ---- checks and further stencils
 
 
-@query("""SELECT p_partkey, unnest(list_filter([CASE WHEN p_size - 3 <= 0 THEN 'dims.x: ' || CAST(p_size - 3 AS STRING) END, CASE WHEN p_partkey % 7 = 0 THEN 'spacing.y: 0.0' END, CASE WHEN p_partkey % 5 <> (p_size - 3) * 2 THEN 'length: ' || CAST(p_partkey % 5 AS STRING) || ' of ' || CAST((p_size - 3) * 2 AS STRING) END, CASE WHEN p_partkey % 3 > 0 THEN 'nan: ' || CAST(p_partkey % 3 AS STRING) END], lambda x: x IS NOT NULL)) AS problem FROM part""")
+@query("""SELECT p_partkey, c.level AS level, c.code AS code FROM (SELECT p_partkey, unnest([{'level': 'error', 'code': 'bad-dims', 'is': p_size <= 3}, {'level': 'error', 'code': 'bad-spacing', 'is': p_partkey % 7 = 0}, {'level': 'error', 'code': 'length-mismatch', 'is': p_size > 3 AND p_partkey % 5 <> (p_size - 3) * 2},
+  {'level': 'warn', 'code': 'anisotropic', 'is': p_partkey % 7 > 5}, {'level': 'error', 'code': 'all-nonfinite', 'is': p_partkey % 5 > 0 AND p_partkey % 3 >= p_partkey % 5}, {'level': 'warn', 'code': 'some-nonfinite', 'is': p_partkey % 3 > 0 AND p_partkey % 3 < p_partkey % 5}]) AS c FROM part) WHERE c.is""")
 def volume_problems(spark: S, d: str) -> D:
     k, s = F.col("p_partkey"), F.col("p_size")
-    v = base(spark, d, "part").select("p_partkey", (s - 3).alias("nx"), F.lit(2).alias("ny"), F.lit(1).alias("nz"), F.lit(1.0).alias("sx"), F.when(k % 7 == 0, 0.0).otherwise(1.0).alias("sy"), F.lit(2.0).alias("sz"), (k % 5).alias("n_values"), (k % 3).alias("n_nan"))
+    v = base(spark, d, "part").select("p_partkey", (s - 3).alias("nx"), F.lit(2).alias("ny"), F.lit(1).alias("nz"), F.lit(1.0).alias("sx"), (k % 7).cast("double").alias("sy"), F.lit(2.0).alias("sz"), (k % 5).alias("n_values"), F.least(k % 3, k % 5).alias("n_nonfinite"))
     return quality.volume_problems(v, "p_partkey")
 
 
@@ -705,11 +706,10 @@ def slice_gradient(spark: S, d: str) -> D:
 
 
 @query("""WITH RECURSIVE m AS (SELECT CAST(l_linenumber % 4 AS INT) AS series, CAST(l_partkey % 24 AS INT) AS x, CAST(l_suppkey % 20 AS INT) AS y, CAST(l_orderkey % 16 AS INT) AS z, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4), k AS (SELECT series, x, y, z FROM m WHERE v > 3),
-  g AS (SELECT s.series, x, y FROM (SELECT DISTINCT series FROM k WHERE z = 4) s, (SELECT unnest(range(0, 24)) AS x) a, (SELECT unnest(range(0, 20)) AS y) b), e AS (SELECT series, x, y FROM g EXCEPT SELECT series, x, y FROM k WHERE z = 4),
-  r AS (SELECT series, x, y FROM e WHERE x IN (0, 23) OR y IN (0, 19) UNION SELECT e.series, e.x, e.y FROM r JOIN e ON e.series = r.series AND abs(e.x - r.x) + abs(e.y - r.y) = 1) SELECT * FROM e EXCEPT SELECT * FROM r""")
+  g AS (SELECT s.series, s.z, x, y FROM (SELECT DISTINCT series, z FROM k) s, (SELECT unnest(range(0, 24)) AS x) a, (SELECT unnest(range(0, 20)) AS y) b), e AS (SELECT series, z, x, y FROM g EXCEPT SELECT series, z, x, y FROM k),
+  r AS (SELECT series, z, x, y FROM e WHERE x IN (0, 23) OR y IN (0, 19) UNION SELECT e.series, e.z, e.x, e.y FROM r JOIN e ON e.series = r.series AND e.z = r.z AND abs(e.x - r.x) + abs(e.y - r.y) = 1) SELECT * FROM e EXCEPT SELECT * FROM r""")
 def fill_holes(spark: S, d: str) -> D:
-    m = domain(spark, d, "voxels").filter("v > 3 and z = 4").select("series", "x", "y")
-    return graph.fill_holes(m, 24, 20, ("series",)).select("series", "x", "y")
+    return graph.fill_holes(domain(spark, d, "voxels").filter("v > 3").select("series", "z", "x", "y"), 24, 20).select("series", "z", "x", "y")
 
 
 @query("""SELECT s.series, x, y, z, CAST(least(x + 1, 6 - x, y + 1, 5 - y, z + 1, 7 - z) AS INT) AS distance FROM (SELECT DISTINCT CAST(l_linenumber % 4 AS INT) AS series FROM lineitem) s, (SELECT unnest(range(0, 6)) AS x) a, (SELECT unnest(range(0, 5)) AS y) b, (SELECT unnest(range(0, 7)) AS z) c""")
@@ -743,12 +743,12 @@ def diagonal_projection(spark: S, d: str) -> D:
     return voxels.oblique_projection(rays, v, 10)
 
 
-@query("""SELECT p_partkey AS roi, CAST(0 AS INT) AS z, x, y FROM part, (SELECT unnest(range(0, 64)) AS x) a, (SELECT unnest(range(0, 64)) AS y) b WHERE p_partkey % 20 = 0 AND x >= p_size / 2.0 AND x < p_size / 2.0 + 10.5 AND y >= p_partkey % 30 AND y < p_partkey % 30 + 7 AND NOT (x >= p_size / 2.0 + 2 AND x < p_size / 2.0 + 5 AND y >= p_partkey % 30 + 2 AND y < p_partkey % 30 + 4)""")
+@query("""SELECT p_partkey AS roi, CAST(0 AS INT) AS z, x, y FROM part, (SELECT unnest(range(0, 64)) AS x) a, (SELECT unnest(range(0, 64)) AS y) b WHERE x >= p_size / 2.0 AND x < p_size / 2.0 + 10.5 AND y >= p_partkey % 30 AND y < p_partkey % 30 + 7 AND NOT (x >= p_size / 2.0 + 2 AND x < p_size / 2.0 + 5 AND y >= p_partkey % 30 + 2 AND y < p_partkey % 30 + 4)""")
 def contour_masks(spark: S, d: str) -> D:
     x, y = F.col("p_size") / 2.0, (F.col("p_partkey") % 30).cast("double")
     box = lambda k, x0, y0, x1, y1: [F.struct(F.lit(k).alias("contour"), F.lit(i).alias("order"), px.alias("px"), py.alias("py")) for i, (px, py) in enumerate(((x0, y0), (x1, y0), (x1, y1), (x0, y1)))]
     corners = F.array(*box(0, x, y, x + 10.5, y + 7), *box(1, x + 2, y + 2, x + 5, y + 4))
-    contours = base(spark, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("roi"), F.lit(0).alias("z"), F.explode(corners).alias("c")).select("roi", "z", "c.*")
+    contours = base(spark, d, "part").select(F.col("p_partkey").alias("roi"), F.lit(0).alias("z"), F.explode(corners).alias("c")).select("roi", "z", "c.*")
     return voxels.rasterize(contours, 64)
 
 

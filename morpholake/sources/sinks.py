@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
@@ -28,3 +28,14 @@ def report_json(rows: DataFrame, by: str) -> DataFrame:
     others = [c for c in rows.columns if c != by]
     packed = F.array_sort(F.collect_list(F.struct("row_no", *(c for c in others if c != "row_no"))))
     return rows.groupBy(by).agg(F.to_json(packed).alias("json"))
+
+
+MEASUREMENTS = "row_no bigint, kind string, label string, value double"
+
+
+def read_measurements(spark: SparkSession, path: str) -> DataFrame:
+    """Measurements written as JSON lines; a line that is no such record, or a value that is not finite, raises bad-measurement."""
+    rows = spark.read.schema(f"{MEASUREMENTS}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    bad = F.col("broken").isNotNull() | F.col("kind").isNull() | F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    kind = F.when(~bad, F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("bad-measurement: "), F.coalesce("broken", F.to_json(F.struct("row_no", "kind", "label"))))).cast("string"))
+    return rows.select("row_no", kind.alias("kind"), "label", "value")
