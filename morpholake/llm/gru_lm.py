@@ -45,7 +45,7 @@ CHUNK = 1024
 RATE = 0.01
 #: No exponent goes beyond; its exponential and their sums fit a float.
 MOST = np.float32(60)
-HEAD = 100_000
+HEAD = 200_000
 KEY_BYTES = 64
 POOL_TOKENS = 3_000_000
 COUNT_WORDS = 400_000
@@ -177,19 +177,30 @@ def windows(docs: Iterable[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray
     lane, and it does not go on."""
     coming = iter(docs)
     held = [np.zeros(0, np.int16)] * lanes
-    more = True
     while True:
-        for k in range(len(held)):
-            while more and len(held[k]) < WINDOW:
-                if (x := next(coming, None)) is None:
-                    more = False
-                else:
-                    held[k] = np.concatenate([held[k], x])
+        # While there are texts, every lane is filled up, several windows at once, and goes on.
+        block = np.empty((lanes, WINDOW), np.int16)
+        for k, x in enumerate(held):
+            if len(x) < WINDOW:
+                parts, n = [x], len(x)
+                while n < 4 * WINDOW and (new := next(coming, None)) is not None:
+                    parts.append(new)
+                    n += len(new)
+                held[k] = x = np.concatenate(parts)
+                if n < WINDOW:
+                    break
+            block[k] = x[:WINDOW]
+        else:
+            held = [x[WINDOW:] for x in held]
+            yield np.ones(lanes, bool), np.ascontiguousarray(block.T)
+            continue
+        break
+    while True:
         live = np.array([len(x) > 0 for x in held], bool)
         held = [x for x in held if len(x)]
         if not held:
             return
-        steps = WINDOW if more else min(max(map(len, held)), WINDOW * (lanes // len(held)))
+        steps = min(max(map(len, held)), WINDOW * (lanes // len(held)))
         block = np.full((len(held), steps), -1, np.int16)
         for k, x in enumerate(held):
             block[k, : len(x)] = x[:steps]
