@@ -68,6 +68,21 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows numbered 1, 2, ... in this order: a range sort, written; each partition only tells how many rows it has."""
+    at = free_name("_at", df.columns)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    before, starts = 0, []
+    for k, n in sorted(laid.groupBy(part.alias("k")).count().collect()):  # a row per partition
+        starts.append((k, before))
+        before += n
+    kept = free_name("_start", df.columns)
+    found = df.sparkSession.createDataFrame(starts, f"_part long, {kept} long")
+    return laid.join(F.broadcast(found), part == found["_part"]).select(*map(column, df.columns), (F.col(kept) + place + 1).alias(name))
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, whatever characters it holds."""
     return F.col(f"`{name.replace('`', '``')}`")

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gru_lm, langid, quality, secrets, simhash, toxicity, url_filter, warc
+from . import bpe, decontaminate, gru_lm, importance, langid, lexical, packing, quality, secrets, simhash, toxicity, url_filter, warc
 from .common import fold, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+WORD_FILE = "word_bpe_49k.json"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +75,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_bpe, op3_simhash, op4_url_filter, op5_toxicity, op6_secrets, op7_langid, op8_warc, op9_gru_lm, op10_quality)
+    found = (op1_decontaminate, op2_bpe, op3_simhash, op4_url_filter, op5_toxicity, op6_secrets, op7_langid, op8_warc, op9_gru_lm, op10_quality, op11_lexical, op12_importance, op13_packing)
     return {f.__name__: f for f in found}
 
 
