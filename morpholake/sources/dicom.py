@@ -63,37 +63,63 @@ def _past_sequence(data: bytes, at: int, explicit: bool) -> int:
     raise ValueError("dicom-open-sequence")
 
 
-def frames_of(data: bytes) -> Iterator[dict]:
-    """The frames of one file."""
+def body_of(data: bytes) -> tuple[str, bytes]:
+    """(transfer syntax, the bytes after the file's own header) of one file."""
     if data[128:132] != b"DICM":
         raise ValueError("dicom-magic")
     meta_end = 132 + 12 + struct.unpack_from("<I", data, 140)[0]
     meta = {tag: v for tag, _, v in elements(data, 132, True, meta_end)}
-    syntax = meta.get((2, 0x10), b"").rstrip(b"\0 ").decode()
-    if syntax not in (IMPLICIT, EXPLICIT, DEFLATED):
-        raise ValueError(f"transfer-syntax: {syntax or 'none'}")
-    body = zlib.decompress(data[meta_end:], -15) if syntax == DEFLATED else data[meta_end:]
-    found = {tag: (vr, v) for tag, vr, v in elements(body, 0, syntax != IMPLICIT)}
+    return meta.get((2, 0x10), b"").rstrip(b"\0 ").decode(), data[meta_end:]
+
+
+Values = dict[tuple[int, int], tuple[bytes, bytes]]
+
+
+def values_before_pixels(body: bytes) -> tuple[Values, int | None]:
+    """(top-level elements, where the first fragment of encapsulated pixels begins) of an explicit body."""
+    at = body.find(struct.pack("<HH", *PIXELS))
+    while at >= 0:  # the tag's bytes can stand in a value too: it is the one that elements before it lead to
+        try:
+            found = {tag: (vr, v) for tag, vr, v in elements(body, 0, True, at)}
+        except (ValueError, struct.error):
+            found = None
+        if found is not None and body[at + 8 : at + 12] == b"\xff\xff\xff\xff":
+            return found, at + 12
+        at = body.find(struct.pack("<HH", *PIXELS), at + 1)
+    return {tag: (vr, v) for tag, vr, v in elements(body, 0, True)}, None
+
+
+def header_of(found: Values) -> dict:
+    """What the frames of a file share."""
     text = lambda g, e: found[g, e][1].rstrip(b"\0 ").decode("latin-1") if (g, e) in found else None
     numbers = lambda g, e: [float(x) for x in s.split("\\")] if (s := text(g, e)) else None
     short = lambda g, e, default=None: struct.unpack("<H", found[g, e][1][:2])[0] if (g, e) in found else default
-    rows, cols, bits, signed, samples = short(0x28, 0x10), short(0x28, 0x11), short(0x28, 0x100, 16), short(0x28, 0x103, 0), short(0x28, 2, 1)
-    n_frames = int((numbers(0x28, 8) or [1])[0])
-    pixels = None
-    if PIXELS in found and rows and cols:
-        kind = np.dtype(f"<{'i' if signed else 'u'}{bits // 8}")
-        size = rows * cols * samples
+    instance = numbers(0x20, 0x13)
+    return {
+        "series_uid": text(0x20, 0xE), "modality": text(8, 0x60), "rows": short(0x28, 0x10), "cols": short(0x28, 0x11), "ipp": numbers(0x20, 0x32), "iop": numbers(0x20, 0x37), "pixel_spacing": numbers(0x28, 0x30),
+        "instance_number": None if instance is None else int(instance[0]), "slope": (numbers(0x28, 0x1053) or [1.0])[0], "intercept": (numbers(0x28, 0x1052) or [0.0])[0],
+        "bits": short(0x28, 0x100, 16), "signed": bool(short(0x28, 0x103, 0)), "samples": short(0x28, 2, 1), "n_frames": int((numbers(0x28, 8) or [1])[0]),
+    }
+
+
+def frames_of(data: bytes) -> Iterator[dict]:
+    """The frames of one file whose pixels are not compressed."""
+    syntax, body = body_of(data)
+    if syntax not in (IMPLICIT, EXPLICIT, DEFLATED):
+        raise ValueError(f"transfer-syntax: {syntax or 'none'}")
+    body = zlib.decompress(body, -15) if syntax == DEFLATED else body
+    found = {tag: (vr, v) for tag, vr, v in elements(body, 0, syntax != IMPLICIT)}
+    head = header_of(found)
+    pixels, n_frames = None, head["n_frames"]
+    if PIXELS in found and head["rows"] and head["cols"]:
+        kind = np.dtype(f"<{'i' if head['signed'] else 'u'}{head['bits'] // 8}")
+        size = head["rows"] * head["cols"] * head["samples"]
         raw = np.frombuffer(found[PIXELS][1], kind, min(n_frames * size, len(found[PIXELS][1]) // kind.itemsize))
         if len(raw) < n_frames * size:
             raise ValueError("dicom-short-pixels")
         pixels = raw.reshape(n_frames, size).astype(np.float64)
-    slope, intercept = (numbers(0x28, 0x1053) or [1.0])[0], (numbers(0x28, 0x1052) or [0.0])[0]
-    instance = numbers(0x20, 0x13)
     for k in range(n_frames):
-        yield {
-            "frame_index": k, "series_uid": text(0x20, 0xE), "modality": text(8, 0x60), "rows": rows, "cols": cols, "ipp": numbers(0x20, 0x32), "iop": numbers(0x20, 0x37), "pixel_spacing": numbers(0x28, 0x30),
-            "instance_number": None if instance is None else int(instance[0]), "slope": slope, "intercept": intercept, "pixels": None if pixels is None else pixels[k] * slope + intercept,
-        }
+        yield head | {"frame_index": k, "pixels": None if pixels is None else pixels[k] * head["slope"] + head["intercept"]}
 
 
 def frames(spark: SparkSession, path: str, pixels: bool = True) -> DataFrame:
