@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
 from .filters import compression_verdict, recorded
+from .running import percentile, ranked_counts
 
 
 def joined_back(rows: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
@@ -74,18 +75,16 @@ def channel_stats(values: DataFrame, by: str, v: str = "v") -> DataFrame:
     """min, max and mean of all values; sd, quartiles and contrast limits of those that are not 0.
 
     A quantile p is the value at index min(n - 1, floor(p n)) of the sorted values; sd is around the mean of all values.
-    Values are counted first, so the running count is over distinct values."""
+    Values are counted first; the running count over them spreads a channel over partitions."""
     sums = values.groupBy(by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-    counts = values.filter(F.col(v) != 0).groupBy(by, F.col(v).alias("x")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(by).orderBy("x")
-    ranked = counts.withColumn("upto", F.sum("c").over(order)).withColumn("total", F.sum("c").over(Window.partitionBy(by)))
+    ranked = ranked_counts(values.filter(F.col(v) != 0), [by], v)
 
     def at(p: float, name: str) -> Column:
         index = F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
         return F.min(F.when(F.col("upto") > index, F.col("x"))).alias(name)
 
     quantiles = ranked.groupBy(by).agg(at(0.5, "median"), at(0.25, "q1"), at(0.75, "q3"), at(0.0005, "low"), at(0.9995, "high"), F.sum("c").alias("nonzero"))
-    spread = counts.join(sums.select(by, "mean"), by).groupBy(by).agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("mean"), 2) * F.col("c")) / F.sum("c")).alias("sd"))
+    spread = ranked.join(sums.select(by, "mean"), by).groupBy(by).agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("mean"), 2) * F.col("c")) / F.sum("c")).alias("sd"))
     return sums.join(quantiles, by, "left").join(spread, by, "left").withColumn("sd", F.when(F.col("nonzero") > 1, F.col("sd")).otherwise(0.0))
 
 
@@ -104,7 +103,7 @@ def in_ellipse(u: Column, v: Column, cu: float, cv: float, ru: float, rv: float)
 
 def rescale(values: DataFrame, by: str, v: str = "v", low: float = 0.0, high: float = 1.0, p_low: float = 0.0, p_high: float = 1.0) -> DataFrame:
     """Clips to two percentiles (linear interpolation) and maps them to low and high; null in a group without spread."""
-    ends = values.groupBy(by).agg(F.percentile(v, p_low).alias("_a"), F.percentile(v, p_high).alias("_b"))
+    ends = percentile(values, [by], v, _a=p_low, _b=p_high)
     clipped = F.least(F.greatest(F.col(v), F.col("_a")), F.col("_b"))
     scaled = F.when(F.col("_b") > F.col("_a"), low + (clipped - F.col("_a")) / (F.col("_b") - F.col("_a")) * (high - low))
     return joined_back(values, ends, [by]).withColumn("scaled", scaled).drop("_a", "_b")
@@ -168,7 +167,7 @@ def block_means(pixels: DataFrame, by: list[str], factor: int, x: str = "x", y:
 
 def border_median(pixels: DataFrame, by: list[str], width: int, height: int, border: int = 2, v: str = "v") -> DataFrame:
     edge = (F.col("x") < border) | (F.col("y") < border) | (F.col("x") >= width - border) | (F.col("y") >= height - border)
-    return pixels.filter(edge).groupBy(*by).agg(F.percentile(v, 0.5).alias("background"))
+    return percentile(pixels.filter(edge), by, v, background=0.5)
 
 
 def beads(points: DataFrame, by: list[str], k: float = 1.0) -> DataFrame:
@@ -198,8 +197,18 @@ def extents(planes: DataFrame, by: list[str], axes: tuple[str, ...] = ("t", "c",
 
 
 def profile_means(points: DataFrame, samples: int = 32) -> DataFrame:
-    """Mean of a scalar in equal bins of arc position over all streamlines of two points or more.
-
-    points: line_id, at (0 to 1), v."""
-    sized = points.withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).filter("_n >= 2")
-    return sized.groupBy(F.least(F.lit(samples - 1), F.floor(F.col("at") * samples)).alias("bin")).agg(F.avg("v").alias("v"))
+    """bin, v: every streamline of two points or more resampled to so many points by linear interpolation, then the mean of each.
+
+    points: line_id, k (0, 1, ... along the line), v.  A point gives the samples between it and the next one, so lines are
+    read once; partial means leave the tasks."""
+    if samples < 2:
+        raise ValueError(f"tract-profile-samples: {samples}")
+    step = F.lit(samples - 1)
+    ends = points.groupBy("line_id").agg(F.max("k").alias("_last")).filter("_last >= 1")
+    here = joined_back(points, ends, ["line_id"])
+    # sample s lies at place s / (samples - 1) * last: each point takes part in those less than one place away
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("k") - 1) * step / F.col("_last"))), F.least(step, F.floor((F.col("k") + 1) * step / F.col("_last")))
+    near = here.withColumn("bin", F.explode(F.sequence(low, high)))
+    share = 1 - F.abs(F.col("bin") * F.col("_last") / step - F.col("k"))
+    parts = near.filter(share > 0).groupBy("bin").agg(F.sum(F.col("v") * share).alias("_s"), F.sum(share).alias("_w"))
+    return parts.select("bin", (F.col("_s") / F.col("_w")).alias("v"))

@@ -158,12 +158,17 @@ def border_distance(mask: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), by
     return out
 
 
+def sizes(comp: DataFrame) -> DataFrame:
+    """component, n: how many nodes each component has."""
+    return comp.groupBy("component").agg(F.count("*").alias("n"))
+
+
 def largest_component(comp: DataFrame) -> DataFrame:
     """The nodes of the largest component, the one of the smallest label on ties."""
-    best = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    best = sizes(comp).orderBy(F.desc("n"), "component").limit(1).select("component")
     return comp.join(best, "component", "left_semi")
 
 
 def without_small(comp: DataFrame, least: int) -> DataFrame:
-    small = comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") < least).select("component")
+    small = sizes(comp).filter(F.col("n") < least).select("component")
     return comp.join(small, "component", "left_anti")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import half_up
+from .graph import cut
+from .running import PART, carried, laid, running_sum, within
 
 
 def phantom_trend(points: DataFrame, by: list[str]) -> DataFrame:
@@ -35,33 +41,56 @@ def anchored_clusters(rows: DataFrame, by: list[str], at: str, tolerance: float)
     """cluster (0-based) and phase (place in the cluster): a row opens a cluster when it lies at least tolerance past the
     cluster's first row.
 
-    The comparison is with the cluster's first member, so it is a fold over the group's sorted positions: an array per
-    group, folded in the JVM.  A group is one stack of slices."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("row_no").alias("row_no"))))
-    grouped = rows.groupBy(*by).agg(sorted_.alias("_s"))
-    zero = F.struct(F.lit(-1).alias("k"), F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("phase"), F.array().cast("array<struct<row_no:bigint,cluster:int,phase:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = acc["anchor"].isNull() | (x["at"] - acc["anchor"] >= tolerance)
-        k, phase = F.when(opens, acc["k"] + 1).otherwise(acc["k"]), F.when(opens, F.lit(0)).otherwise(acc["phase"] + 1)
-        row = F.struct(x["row_no"].cast("bigint").alias("row_no"), k.alias("cluster"), phase.alias("phase"))
-        return F.struct(k.alias("k"), F.when(opens, x["at"].cast("double")).otherwise(acc["anchor"]).alias("anchor"), phase.alias("phase"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return grouped.select(*by, F.explode(F.aggregate("_s", zero, step)["out"]).alias("r")).select(*by, "r.*")
+    A row that lies so far past the one before it opens a cluster whatever came before; these cut a group into runs.  Within a
+    run the comparison is with the cluster's first member: each run is one stretch of a sorted stream that a task folds row by
+    row, holding nothing but the last cluster.  Runs then take their first cluster's number from running sums."""
+    order = [at, "row_no"]
+    spread = laid(rows.select(*by, "row_no", F.col(at).cast("double").alias(at)), by, order)
+    told = carried(spread, by, ("max_at", F.max(at)))
+    before = F.coalesce(F.lag(at).over(within(by, order)), F.col("max_at"))
+    told = told.withColumn("_opens", F.coalesce(F.col(at) - before >= tolerance, F.lit(True)).cast("int"))
+    runs = running_sum(told.drop(PART, "max_at"), by, order, F.col("_opens"), "_run")
+    keys = [*by, "_run"]
+    kinds = T.StructType([*(runs.schema[k] for k in keys), T.StructField("row_no", T.LongType()), T.StructField("_k", T.IntegerType()), T.StructField("phase", T.IntegerType())])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_runs = runs.select(*keys, F.col("row_no").cast("bigint").alias("row_no"), F.col(at).alias("_at")).repartition(parts, *keys).sortWithinPartitions(*keys, "_at", "row_no")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, anchor, k, phase = None, 0.0, 0, 0
+        for batch in batches:
+            found = []
+            for *key, place in zip(*(batch.column(c).to_pylist() for c in [*keys, "_at"]), strict=True):
+                if key != run:
+                    run, anchor, k, phase = key, place, 0, 0
+                elif place - anchor >= tolerance:
+                    anchor, k, phase = place, k + 1, 0
+                else:
+                    phase += 1
+                found.append((k, phase))
+            made = [pa.array([f[i] for f in found], pa.int32()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, "row_no"]), *made], names=[*keys, "row_no", "_k", "phase"])
+
+    folded = cut(sorted_runs.mapInArrow(fold, kinds))
+    sizes = running_sum(folded.groupBy(*keys).agg((F.max("_k") + 1).alias("_n")), by, ["_run"], F.col("_n"), "_upto")
+    first = sizes.select(*keys, (F.col("_upto") - F.col("_n")).alias("_first"))
+    return folded.join(first, keys).select(*by, "row_no", (F.col("_first") + F.col("_k")).cast("int").alias("cluster"), "phase")
 
 
 def arc_length(points: DataFrame, by: list[str], order: str, axes: tuple[str, ...] = ("x", "y", "z"), spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> DataFrame:
     """cumulative: length along the line up to each point."""
-    w = Window.partitionBy(*by).orderBy(order)
-    step2 = sum((F.pow((F.col(a) - F.lag(a).over(w)) * s, 2) for a, s in zip(axes, spacing, strict=True)), F.lit(0.0))
-    return points.withColumn("_d", F.coalesce(F.sqrt(step2), F.lit(0.0))).withColumn("cumulative", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+    spread = carried(laid(points, by, [order]), by, *((f"last_{a}", F.max_by(a, order)) for a in axes))
+    w = within(by, [order])
+    step2 = sum((F.pow((F.col(a) - F.coalesce(F.lag(a).over(w), F.col(f"last_{a}"))) * s, 2) for a, s in zip(axes, spacing, strict=True)), F.lit(0.0))
+    stepped = spread.withColumn("_d", F.coalesce(F.sqrt(step2), F.lit(0.0))).drop(*(f"last_{a}" for a in axes), PART)
+    return running_sum(stepped, by, [order], F.col("_d"), "cumulative").drop("_d")
 
 
 def segment_starts(rows: DataFrame, by: list[str], position: str, starts: DataFrame, start: str) -> DataFrame:
     """As-of lookup: the last start at or before each row's position, from a sorted union instead of a pairwise join."""
     union = rows.withColumn("_s", F.lit(None).cast(starts.schema[start].dataType)).unionByName(starts.select(*by, F.col(start).alias(position), F.col(start).alias("_s")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(position, F.col("_s").isNull().cast("int"))
-    return union.withColumn("segment", F.last("_s", True).over(w)).filter("_s is null").drop("_s")
+    order = [F.col(position), F.col("_s").isNull().cast("int")]
+    spread = carried(laid(union, by, order), by, ("max_s", F.max("_s")))
+    return spread.withColumn("segment", F.coalesce(F.last("_s", True).over(within(by, order)), F.col("max_s"))).filter("_s is null").drop("_s", "max_s", PART)
 
 
 #: Allowed moves of a reading state.
@@ -71,17 +100,23 @@ MOVES = {"unread": {"open": "reading"}, "reading": {"finish": "read"}, "read": {
 def read_states(events: DataFrame, by: str, action: str, order: list[str]) -> DataFrame:
     """Last state of each series after its actions in order; an action that the state does not allow changes nothing.
 
-    A fold over one series' own events, in the JVM."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(*order, F.col(action).alias("action"))))
+    Each partition of the sorted events tells, for its stretch of a series, where it leads from every state; these maps are put
+    one after another.  So a series may be as long as it likes."""
+    spread = laid(events.select(by, *order, F.col(action).alias("_action")), [by], order)
 
-    def step(state: Column, e: Column) -> Column:
+    def moved(state: Column, done: Column) -> Column:
         out = state
         for s, moves in MOVES.items():
             for a, to in moves.items():
-                out = F.when((state == s) & (e["action"] == a), to).otherwise(out)
+                out = F.when((state == s) & (done == a), to).otherwise(out)
         return out
 
-    return events.groupBy(by).agg(sorted_.alias("_e")).select(by, F.size("_e").alias("n_events"), F.aggregate("_e", F.lit("unread"), step).alias("state"))
+    sorted_ = F.array_sort(F.collect_list(F.struct(*order, "_action")))
+    each = spread.groupBy(by, PART).agg(sorted_.alias("_e"))
+    ends = each.select(by, PART, F.size("_e").alias("_n"), *(F.aggregate("_e", F.lit(s), lambda state, e: moved(state, e["_action"])).alias(f"from_{s}") for s in MOVES))
+    follow = lambda state, m: F.coalesce(*(F.when(state == s, m[f"from_{s}"]) for s in MOVES))
+    whole = ends.groupBy(by).agg(F.sum("_n").alias("n_events"), F.array_sort(F.collect_list(F.struct(PART, *(f"from_{s}" for s in MOVES)))).alias("_m"))
+    return whole.select(by, "n_events", F.aggregate("_m", F.lit("unread"), follow).alias("state"))
 
 
 def newest(events: DataFrame, by: list[str], order: list[str], keep: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 PLANES = {"axial": ("z", ("x", "y")), "coronal": ("y", ("x", "z")), "sagittal": ("x", ("y", "z"))}
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
@@ -204,3 +206,34 @@ def through_spheres(points: DataFrame, wanted: list[tuple[float, float, float, f
     for k in range(len(wanted) + len(barred)):
         keep = keep & (F.col(f"h{k}") if k < len(wanted) else ~F.col(f"h{k}"))
     return points.groupBy(line).agg(F.count("*").alias("n_points"), *hits).filter(keep).select(line, "n_points")
+
+
+def fuse_slices(
+    base: DataFrame, overlay: DataFrame, dims: tuple[int, int, int], overlay_dims: tuple[int, int, int], plane: str, index: int, base_window: tuple[float, float], overlay_window: tuple[float, float],
+    mode: str = "checker", alpha: float = 0.5, checker: int = 16, by: tuple[str, ...] = ("series",),
+) -> DataFrame:
+    """(by, u, v, grey): one slice of base with the overlay's nearest voxels, after their windows (width, center).
+
+    The overlay is read at the base's places, rescaled by the two sizes: an equi-join.  checker: tiles in turn; alpha: a blend;
+    subtract: overlay less base, the middle grey where they agree.  A voxel that a volume lacks leaves its pixel out."""
+    if not 0 <= alpha <= 1:
+        raise ValueError(f"fusion-bad-alpha: {alpha}")
+    if checker != int(checker) or checker < 2:
+        raise ValueError(f"fusion-bad-checker: {checker}")
+    axis, (u, v) = PLANES[plane]
+    at = min(max(index, 0), dims["xyz".index(axis)] - 1)
+    near = lambda c, k: F.least(F.lit(overlay_dims[k] - 1), F.floor(F.col(c) * overlay_dims[k] / dims[k] + 0.5))
+    slice_ = base.filter(F.col(axis) == at).select(*by, *"xyz", F.col("v").alias("_b")).withColumns({f"_{c}": near(c, k) for k, c in enumerate("xyz")})
+    other = overlay.select(*by, *(F.col(c).cast("bigint").alias(f"_{c}") for c in "xyz"), F.col("v").alias("_o"))
+    rows = slice_.join(other, [*by, "_x", "_y", "_z"])
+    below, above = (F.floor(scalars.window_level(F.col(c), *w) + 0.5) for c, w in (("_b", base_window), ("_o", overlay_window)))
+    if mode == "checker":
+        grey = F.when((F.floor(F.col(u) / checker) + F.floor(F.col(v) / checker)) % 2 == 1, above).otherwise(below)
+    elif mode == "alpha":
+        grey = below * (1 - alpha) + above * alpha
+    elif mode == "subtract":
+        half = max(1.0, base_window[0] / 2)
+        grey = 127.5 + (F.col("_o") - F.col("_b")) / half * 127.5
+    else:
+        raise ValueError(f"fusion-bad-mode: {mode}")
+    return rows.select(*by, F.col(u).alias("u"), F.col(v).alias("v"), F.greatest(F.lit(0), F.least(F.lit(255), F.floor(grey + 0.5))).cast("int").alias("grey"))

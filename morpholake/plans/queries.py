@@ -77,7 +77,8 @@ def _term_members(spark: S, d: str) -> D:
 
 @query("""SELECT t.concept, t.name FROM terms t JOIN supplier s ON s.s_nationkey = t.n_nationkey WHERE s.s_suppkey = 7""", "terms")
 def terms_with_member(spark: S, d: str) -> D:
-    return _term_members(spark, d).filter(F.array_contains("members", "7")).select("concept", "name").orderBy("concept")
+    holders = base(spark, d, "supplier").filter("s_suppkey = 7").select(F.col("s_nationkey").alias("n_nationkey"))
+    return domain(spark, d, "terms").join(holders, "n_nationkey", "left_semi").select("concept", "name").orderBy("concept")
 
 
 @query("""SELECT concept, n_members FROM (SELECT t.concept, count(*) AS n_members, sum((s.s_suppkey = 7)::INT) AS has FROM terms t JOIN supplier s ON s.s_nationkey = t.n_nationkey GROUP BY 1) WHERE has > 0 ORDER BY n_members, concept LIMIT 10""", "terms")
@@ -406,12 +407,13 @@ def dose_stats(spark: S, d: str) -> D:
     return aggregates.dose_stats(v, ["series"], "i").withColumn("mean", r6("mean"))
 
 
-@query("""SELECT CAST(least(31, floor((k - 1) * 1.0 / n * 32)) AS BIGINT) AS bin, round(avg(v), 3) AS v FROM (SELECT round(o_totalprice * 100) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 2 GROUP BY 1""")
+@query("""SELECT bin, round(avg(a.v * (1 - f + floor(f)) + coalesce(b.v, 0) * (f - floor(f))), 3) AS v FROM (SELECT line_id, CAST(bin AS BIGINT) AS bin, bin * (n - 1) / 31.0 AS f FROM (SELECT o_custkey AS line_id, count(*) AS n FROM orders GROUP BY 1) l, (SELECT unnest(range(0, 32)) AS bin) WHERE n >= 2) s
+  JOIN (SELECT o_custkey AS line_id, round(o_totalprice * 100) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders) a ON a.line_id = s.line_id AND a.k = floor(f) LEFT JOIN (SELECT o_custkey AS line_id, round(o_totalprice * 100) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders) b ON b.line_id = s.line_id AND b.k = floor(f) + 1 GROUP BY 1""")
 def tract_profile(spark: S, d: str) -> D:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("o_custkey")
-    pts = base(spark, d, "orders").select(F.col("o_custkey").alias("line_id"), ((F.row_number().over(w.orderBy("o_orderkey")) - 1) / F.count("*").over(w)).alias("at"), F.round(F.col("o_totalprice") * 100).alias("v"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    pts = base(spark, d, "orders").select(F.col("o_custkey").alias("line_id"), place.alias("k"), F.round(F.col("o_totalprice") * 100).alias("v"))
     return aggregates.profile_means(pts).withColumn("v", F.round("v", 3))
 
 

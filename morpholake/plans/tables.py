@@ -22,6 +22,11 @@ SQL_OF = {
     "worklist": """SELECT CAST(d.doc_id AS STRING) AS key, upper(d.lang) AS modality, d.source AS series_description, CASE WHEN d.n_chars % 3 = 0 THEN NULL ELSE d.n_chars END AS voxels, l.doc_id IS NOT NULL AS has_seg, CASE WHEN d.doc_id % 2 = 0 THEN 'local' ELSE 'remote' END AS source
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "voxels": """SELECT CAST(l_linenumber % 4 AS INT) AS series, CAST(l_partkey % 24 AS INT) AS x, CAST(l_suppkey % 20 AS INT) AS y, CAST(l_orderkey % 16 AS INT) AS z, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4""",
+    "solids": """SELECT s_suppkey AS series, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, CAST(40 + s_nationkey AS DOUBLE) - (x - CAST(5.25 AS DOUBLE)) * (x - CAST(5.25 AS DOUBLE)) * 2 - (y - CAST(4.75 AS DOUBLE)) * (y - CAST(4.75 AS DOUBLE)) * 3 - (z - CAST(3.6 AS DOUBLE)) * (z - CAST(3.6 AS DOUBLE)) * 1 AS v
+      FROM supplier, range(0, 12) AS a(x), range(0, 11) AS b(y), range(0, 9) AS c(z)""",
+    "triangles": """SELECT s_suppkey AS tri, CAST(s_suppkey % 4 AS INT) AS series, CAST(s_suppkey % 37 AS DOUBLE) AS ax, CAST(s_nationkey AS DOUBLE) AS ay, CAST(s_suppkey % 11 AS DOUBLE) AS az, CAST(s_suppkey % 37 + 5 AS DOUBLE) AS bx, CAST(s_nationkey + 1 AS DOUBLE) AS by, CAST(s_suppkey % 7 AS DOUBLE) AS bz,
+      CAST(s_suppkey % 41 AS DOUBLE) AS cx, CAST(s_nationkey + 6 AS DOUBLE) AS cy, CAST(s_suppkey % 5 + 2 AS DOUBLE) AS cz FROM supplier""",
+    "spots": """SELECT p_partkey AS point_id, CAST(p_partkey % 4 AS INT) AS series, CAST(p_partkey % 43 AS DOUBLE) + CAST(0.125 AS DOUBLE) AS px, CAST(p_size % 32 AS DOUBLE) AS py, CAST(p_partkey % 17 AS DOUBLE) / 2 AS pz FROM part""",
     "pixels": """SELECT CAST(o_custkey % 6 AS INT) AS tile, CAST(o_orderkey % 48 AS INT) AS x, CAST(o_custkey % 40 AS INT) AS y, max(CAST((o_orderkey * 7 + o_custkey) % 100 AS DOUBLE)) AS v FROM orders GROUP BY 1, 2, 3""",
     "channels": """SELECT p_brand AS channel, p_partkey AS i, CASE WHEN p_size % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS v FROM part""",
     "isa": """SELECT concat('c', CAST(c_custkey AS STRING)) AS node, concat('n', CAST(c_nationkey AS STRING)) AS parent FROM customer UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM nation

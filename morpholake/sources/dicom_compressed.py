@@ -116,6 +116,32 @@ def decode_rle(frame: bytes, n_pixels: int, width: int) -> np.ndarray:
     return out.view(f"<u{width}")[:, 0]
 
 
+def encode_rle(values: np.ndarray) -> bytes:
+    """The run-length frame of unsigned little-endian values: runs of two equal bytes and more, all else as it is."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    planes = [_packed(raw[:, k].tobytes()) for k in reversed(range(raw.shape[1]))]
+    starts = [64 + sum(map(len, planes[:k])) for k in range(len(planes))]
+    return struct.pack("<16I", len(planes), *starts, *[0] * (15 - len(planes))) + b"".join(planes)
+
+
+def _packed(plane: bytes) -> bytes:
+    out, at = bytearray(), 0
+    edges = [*(np.flatnonzero(np.diff(np.frombuffer(plane, np.uint8))) + 1).tolist(), len(plane)] if plane else []
+    waiting = b""
+    for end in edges:
+        while end - at > 1:  # a run
+            n = min(128, end - at)
+            out += _literal(waiting) + (bytes([257 - n, plane[at]]) if n > 1 else b"")
+            waiting, at = b"", at + n
+        if end > at:
+            waiting, at = waiting + plane[at:end], end
+    return bytes(out + _literal(waiting))
+
+
+def _literal(part: bytes) -> bytes:
+    return b"".join(bytes([len(part[k : k + 128]) - 1]) + part[k : k + 128] for k in range(0, len(part), 128))
+
+
 def _zigzag() -> np.ndarray:
     """Places in a block of 64, by the order of the code: along diagonals, in turn upwards and downwards."""
     places = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))

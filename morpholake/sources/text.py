@@ -158,21 +158,38 @@ def radiomics_long(wide: DataFrame, label: str, features: list[str]) -> DataFram
     return long_.withColumn("value", F.when(~bad, F.col("value")).otherwise(F.raise_error(F.format_string("radiomics-bad-value: %s %s", F.coalesce(F.col(label), F.lit("")), F.col("feature"))).cast("double")))
 
 
+def _coding(features: DataFrame) -> DataFrame:
+    """The CDS rows of a GTF with their place in their transcript: before, the bases of the exons before along the strand, and
+    total.  A row without a transcript, with a bad interval or strand, or of a transcript on two strands or contigs raises."""
+    from pyspark.sql import Window
+
+    bad = lambda why: F.raise_error(F.concat(F.lit(why), F.concat_ws(":", "seqid", "start", "end")))
+    whole = F.col("seqid").isNotNull() & (F.col("start") >= 1) & (F.col("end") >= F.col("start"))
+    checked = F.when(~F.coalesce(whole, F.lit(False)), bad("gtf-cds-row: bad interval ")).when(~F.coalesce(F.col("strand").isin("+", "-"), F.lit(False)), bad("gtf-cds-row: strand of ")).otherwise(F.coalesce(F.col("attributes")["transcript_id"], bad("gtf-cds-no-transcript-id: ")))
+    cds = features.filter("type = 'CDS'").select("seqid", "strand", "start", "end", checked.cast("string").alias("transcript"))
+    home = Window.partitionBy("transcript")
+    one = (F.min("seqid").over(home) == F.max("seqid").over(home)) & (F.min("strand").over(home) == F.max("strand").over(home))
+    cds = cds.withColumn("transcript", F.when(one, F.col("transcript")).otherwise(F.raise_error(F.concat(F.lit("gtf-cds-split-transcript: "), "transcript")).cast("string")))
+    along = home.orderBy(F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start")))
+    n = F.col("end") - F.col("start") + 1
+    return cds.withColumn("before", F.sum(n).over(along) - n).withColumn("total", F.sum(n).over(home))
+
+
 def codon_entries(features: DataFrame) -> DataFrame:
-    """Codon entries of the CDS rows of a GTF: transcript, chrom, codon (from 0), start, end, strand.
+    """Codon entries of the CDS rows of a GTF: transcript, chrom, codon (from 1), start, end, strand.
 
     A base's place in its transcript is its offset in its exon plus the lengths of the exons before it (along the strand):
     a running sum over exons, then a division by three.  A codon over two exons gives an entry for each; leftover bases
-    after the last whole codon give none."""
-    from pyspark.sql import Window
-
-    cds = features.filter("type = 'CDS'").select("seqid", "strand", "start", "end", F.coalesce(F.col("attributes")["transcript_id"], F.raise_error(F.lit("gtf-cds-transcript")).cast("string")).alias("transcript"))
-    along = Window.partitionBy("transcript").orderBy(F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start")))
-    n = F.col("end") - F.col("start") + 1
-    placed = cds.withColumn("before", F.sum(n).over(along) - n).withColumn("total", F.sum(n).over(Window.partitionBy("transcript")))
+    after the last whole codon give none (partial_codons tells of them)."""
+    placed, n = _coding(features), F.col("end") - F.col("start") + 1
     codons = placed.withColumn("codon", F.explode(F.sequence(F.floor(F.col("before") / 3), F.floor((F.col("before") + n - 1) / 3)))).filter("codon < floor(total / 3)")
     first = F.greatest(F.col("codon") * 3, F.col("before")) - F.col("before")
     last = F.least(F.col("codon") * 3 + 2, F.col("before") + n - 1) - F.col("before")
     minus = F.col("strand") == "-"
     low, high = F.when(minus, F.col("end") - last).otherwise(F.col("start") + first), F.when(minus, F.col("end") - first).otherwise(F.col("start") + last)
-    return codons.select("transcript", F.col("seqid").alias("chrom"), "codon", low.alias("start"), high.alias("end"), F.when(minus, -1).otherwise(1).alias("strand"))
+    return codons.select("transcript", F.col("seqid").alias("chrom"), (F.col("codon") + 1).alias("codon"), low.alias("start"), high.alias("end"), F.when(minus, -1).otherwise(1).alias("strand"))
+
+
+def partial_codons(features: DataFrame) -> DataFrame:
+    """transcript, leftover: transcripts whose CDS is no whole number of codons, and how many bases are over."""
+    return _coding(features).groupBy("transcript").agg((F.max("total") % 3).alias("leftover")).filter("leftover > 0")

@@ -42,8 +42,12 @@ def test_codons(spark, tmp_path):
     rows = {}
     for r in text.codon_entries(gtf).orderBy("start").collect():
         rows.setdefault(r.transcript, []).append((r.start, r.end, r.codon))
-    assert rows["T"] == [(100, 102, 0), (103, 104, 1), (200, 200, 1), (201, 203, 2)]
-    assert rows["P"] == [(300, 302, 0), (303, 305, 1)] and rows["M"] == [(500, 502, 1), (503, 505, 0)]
+    assert rows["T"] == [(100, 102, 1), (103, 104, 2), (200, 200, 2), (201, 203, 3)]
+    assert rows["P"] == [(300, 302, 1), (303, 305, 2)] and rows["M"] == [(500, 502, 2), (503, 505, 1)]
+    assert [tuple(r) for r in text.partial_codons(gtf).collect()] == [("P", 1)]
+    for bad, name in ((line("T", 1, 3) + line("T", 9, 12, "-"), "gtf-cds-split-transcript"), (line("T", 9, 7), "gtf-cds-row: bad interval"), (line("T", 7, 9, "."), "gtf-cds-row: strand"), (line("T", 7, 9).replace("transcript_id", "gene_id"), "gtf-cds-no-transcript-id")):
+        with pytest.raises(Exception, match=name):
+            text.codon_entries(text.gff(spark, put(tmp_path, "bad.gtf", bad), "gtf")).collect()
 
 
 PDB = "ATOM      1  CA  ALA A  12      11.000  12.500  -3.000  1.00 20.50           C  \nATOM      2  N   GLY A  13      bad    12.500  -3.000  1.00 20.50           N  \nHETATM    3  O   HOH A  99       1.000   1.000   1.000  1.00  1.00           O  \nATOM      4  CB  ALA A  12      12.000  12.500  -3.000  1.00 21.50           C  \n"
