@@ -3,7 +3,7 @@
 A mask names the positions of a window that count; the others are ignored, so a changed word there does not hide a copy.
 Each window of a document and of a benchmark item is hashed once per mask; equal hashes join, and around each hit the
 words of document and item are compared position by position: a stretch of VERIFY words (a shorter item: the whole)
-with at least SHARE of them equal is a leak.  Items of under SHORTEST words leak where a document is nothing else.
+with at least SHARE of them equal is a leak, wherever it stands.
 
 The masks miss nothing that the comparison accepts: of any VERIFY words of which at most two differ, one of MASKS fits
 somewhere; a shorter item of which k words may differ has masks of its own, each leaving out k of k + 2 interleaved
@@ -28,7 +28,6 @@ from .common import column, free_name, materialize
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 7, 8))
 VERIFY = 13
 SHARE = 0.8
-SHORTEST = 3
 BROADCAST_SEEDS = 2_000_000
 BROADCAST_WORDS = 8_000_000
 #: Letters that stand for themselves, as their scripts put no spaces between words: Thai, Lao, Burmese, Khmer, Kana, Han.
@@ -52,20 +51,20 @@ def masks_for(n: int) -> list[tuple[int, ...]]:
 
 def all_masks(short: list[int]) -> list[tuple[int | None, tuple[int, ...]]]:
     """(length of item or None for VERIFY words and more, mask), for items of these lengths under VERIFY."""
-    return [(None, m) for m in MASKS] + [(n, m) for n in short for m in ([tuple(range(n))] if n < SHORTEST else masks_for(n))]
+    return [(None, m) for m in MASKS] + [(n, m) for n in short for m in masks_for(n)]
 
 
 def seeds(words: DataFrame, masks: list[tuple[int | None, tuple[int, ...]]], items: bool, *carry: str) -> DataFrame:
     """carry columns, words, at (the window's first word) and seed, for words: array column `words`.
 
-    An item has the masks of its own length only; a text of under SHORTEST words is one seed as a whole."""
+    An item has the masks of its own length only."""
     # The words of a text are an array once made: the windows only point into it.
     size, at = F.size("words"), F.col("at")
     windows = words.select(*carry, "words", F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("at"))
     hashes = []
     for k, (n, mask) in enumerate(masks):
         fits = at + mask[-1] < size if n is None else at + n <= size
-        if n is not None and (items or n < SHORTEST):
+        if n is not None and items:
             fits = fits & (size == n)
         elif items:
             fits = fits & (size >= VERIFY)

@@ -6,9 +6,9 @@ of the rest is spread by its count: p(rest | state) * (c + 0.1) / (mass of the r
 the probabilities of all words and one unseen add up to one.
 
 The model is trained on every row, whole, by truncated backpropagation through WINDOW steps, states carried on to the end
-of each text.  A hash deals the rows over ROUNDS; in a round each task goes on from the same network over its share of
-them, and the networks, weighted by the symbols that they learned from, are averaged chunk by chunk for the next round.
-Tables of under REPEAT_TOKENS are gone over twice.  Scoring packs the documents of a task into LANES lanes; a lane's state
+of each text.  Texts are written once as symbols, by the round of their id's hash; in a round each task goes on from the
+same network over its share of that round's, and the networks, weighted by the symbols that they learned from, are averaged
+chunk by chunk for the next round.  Scoring packs the documents of a task into LANES lanes; a lane's state
 runs on across windows to the document's end, so each log-likelihood is of the complete text.  Counts of the HEAD most
 frequent words are broadcast; other words leave the task as (row, word, n) and meet their counts in a join, the only
 shuffle that grows.  A word of over KEY_BYTES goes by its SHA-256, so that the head is bounded in bytes whatever its words.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, handing_back, map_batches, materialize, pieces, texts
+from .common import column, free_name, handing_back, map_batches, materialize, new_path, pieces, texts
 
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES - 2
@@ -39,7 +39,6 @@ LANES = 128
 BLOCK = 16_384
 #: Bounds of the rounds among 16 shares of the rows: the first are short, so that tasks do not drift apart from the start.
 ROUNDS = (0, 1, 4, 8, 16)
-REPEAT_TOKENS = 2_000_000
 TRAIN_LANES = 128
 CHUNK = 1024
 RATE = 0.01
@@ -84,7 +83,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(handing_back(run), schema).groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(column(text).alias("text")).mapInArrow(handing_back(run), schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 # ---- the network
@@ -401,24 +400,42 @@ def frequent(counts: DataFrame) -> DataFrame:
     return placed.filter(F.col("step") >= cut).select("word", "c")
 
 
-def learn_round(rows: DataFrame, state: np.ndarray, symbols: dict[bytes, int], end: int, rest: int, lanes: int) -> tuple[np.ndarray, int]:
-    """(state after learning from all texts of rows, symbols learned from).
+def written_symbols(docs: DataFrame, symbols: dict[bytes, int], end: int, rest: int, text: str, order: str) -> list[DataFrame]:
+    """A table of the texts as symbols (int16, the end included) for each round, from one scan."""
+    share = F.pmod(F.xxhash64(column(order)), F.lit(ROUNDS[-1]))
+    turn = F.coalesce(*(F.when(share < high, k) for k, high in enumerate(ROUNDS[1:])))
+    schema = T.StructType([T.StructField("turn", T.IntegerType(), False), T.StructField("s", T.BinaryType(), False)])
+    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for some in pieces(batches, 512):
+            coded = [np.array([known.get(w, rest) for w in tokens(x)] + [end], np.int16).tobytes() for x in texts(some)]
+            yield pa.RecordBatch.from_arrays([some.column("turn"), pa.array(coded, pa.binary())], names=schema.names)
+
+    path = new_path(docs.sparkSession, "symbols")
+    map_batches(docs.select(turn.alias("turn"), column(text).alias("text")), run, schema).write.partitionBy("turn").parquet(path)
+    rows = docs.sparkSession.read.schema("s binary, turn int").parquet(path)
+    return [rows.filter(F.col("turn") == k).select("s") for k in range(len(ROUNDS) - 1)]
+
+
+def learn_round(rows: DataFrame, state: np.ndarray, end: int, lanes: int) -> tuple[np.ndarray, int]:
+    """(state after learning from all rows of symbols, how many it learned from).
 
     Each task goes over its own rows; the sums of its chunks meet at their number, so no task gathers whole states."""
     schema = T.StructType([T.StructField("chunk", T.IntegerType(), False), T.StructField("n", T.LongType(), False), T.StructField("x", T.BinaryType(), False)])
-    shared = rows.sparkSession.sparkContext.broadcast((state, symbols))
+    shared = rows.sparkSession.sparkContext.broadcast(state)
 
     def batch(chunks: list[int], ns: list[int], xs: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(ns, pa.int64()), pa.array(xs, pa.binary())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value
-        own = own.copy()
+        own = shared.value.copy()
 
         def coming() -> Iterator[np.ndarray]:
-            for some in pieces(batches, 512):
-                for x in texts(some):
-                    yield np.array([known.get(w, rest) for w in tokens(x)] + [end], np.int16)
+            for some in batches:
+                for x in some.column(0):
+                    yield np.frombuffer(x.as_py(), np.int16)
 
         if n := learn(own, coming(), end, lanes):
             cuts = range(0, len(own), CHUNK)
@@ -433,7 +450,7 @@ def learn_round(rows: DataFrame, state: np.ndarray, symbols: dict[bytes, int], e
         if sums:
             yield batch(list(sums), [n for n, _ in sums.values()], [x.tobytes() for _, x in sums.values()])
 
-    sums = rows.select("text").mapInArrow(handing_back(run), schema).repartition("chunk").mapInArrow(add, schema).toArrow().to_pylist()
+    sums = rows.mapInArrow(handing_back(run), schema).repartition("chunk").mapInArrow(add, schema).toArrow().to_pylist()
     shared.unpersist()
     out, learned = state.copy(), 0
     for r in sums:
@@ -442,8 +459,10 @@ def learn_round(rows: DataFrame, state: np.ndarray, symbols: dict[bytes, int], e
     return out, learned
 
 
-def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: DataFrame | None = None) -> tuple[Model, DataFrame]:
-    """(model, counts): counts is the written table of word_counts over docs, which score() joins."""
+def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: DataFrame | None = None, passes: int = 1) -> tuple[Model, DataFrame]:
+    """(model, counts): counts is the written table of word_counts over docs, which score() joins.
+
+    passes: how often all texts are gone over, whatever the size of the table."""
     counts = materialize(word_counts(docs, text), "word-counts") if counts is None else counts
     n_docs = docs.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -456,11 +475,10 @@ def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: Da
     symbols = {w: k for k, w in enumerate(words[:VOCABULARY])}
     known = sum(c[:VOCABULARY]) + n_docs
     mass = (total - known) + ALPHA * (distinct - len(symbols) - (n_docs > 0) + 1)
-    rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(order)), F.lit(ROUNDS[-1])).alias("share"))
     lanes = max(1, min(TRAIN_LANES, total // 20_000))
     state, learned = new_state(), 0
-    for low, high in [*zip(ROUNDS, ROUNDS[1:])] * (2 if total < REPEAT_TOKENS else 1):
-        state, n = learn_round(rows.filter((F.col("share") >= low) & (F.col("share") < high)), state, symbols, end, rest, lanes)
+    for rows in written_symbols(docs, symbols, end, rest, text, order) * passes:
+        state, n = learn_round(rows, state, end, lanes)
         learned += n
     return Model(network_of(state[: len(state) // 3].copy()), symbols, end, rest, float(mass), head, total, distinct, n_docs, learned), counts
 
@@ -472,11 +490,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
     their scores; an empty table gives an empty result.  keep must not name a made column (ValueError); other columns are
     not read, so names cannot clash."""
     made = [T.StructField("n_tokens", T.LongType(), False), T.StructField("n_known", T.LongType(), False), T.StructField("train_tokens", T.LongType(), False), T.StructField("base_score", T.DoubleType(), False), T.StructField("score", T.DoubleType(), False)]
-    if clash := {f.name for f in made} & set(keep):
+    if clash := {f.name for f in made} & {k.lower() for k in keep}:
         raise ValueError(f"columns {sorted(clash)} are made by this operator")
-    source = docs.select(*map(column, keep), column(text).alias("_text"))
+    text_name, opened_name = free_name("_text", keep), free_name("_open", keep)
+    source = docs.select(*map(column, keep), column(text).alias(text_name))
     open_words = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType())]))
-    schema = T.StructType([*(source.schema[c] for c in keep), *made, T.StructField("_open", open_words)])
+    schema = T.StructType([*(source.schema[c] for c in keep), *made, T.StructField(opened_name, open_words)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,7 +522,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
         for batch in pieces(batches, 512):
             n_tokens, n_known, base, more = [], [], [], []
             missing, times, ends = [], [], [0]
-            for x in texts(batch, "_text"):
+            for x in texts(batch, text_name):
                 ws = tokens(x)
                 at = np.array([place.get(w, -1) for w in ws], np.int64)
                 # Symbols are the first ranks of the head.
@@ -522,26 +541,29 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
                 beyond = headed >= len(m.symbols)
                 more.append(float(own[beyond].sum() - rest_log * beyond.sum()))
             words = pa.StructArray.from_arrays([pa.array(missing, pa.binary()), pa.array(times, pa.int64())], names=["w", "n"])
-            held.append(([batch.column(c) for c in keep], n_tokens, n_known, base, more, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)))
+            held.append(([batch.column(k) for k in range(len(keep))], n_tokens, n_known, base, more, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)))
             pooled += sum(n_tokens)
             if pooled > POOL_TOKENS:
                 yield from flush()
                 pooled = 0
         yield from flush()
 
-    first = map_batches(source, run, schema)
-    return _close(first, counts, model, keep)
+    return _close(map_batches(source, run, schema), counts, model, keep, opened_name)
 
 
-def _close(first: DataFrame, counts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def _close(first: DataFrame, counts: DataFrame, model: Model, keep: list[str], opened_name: str) -> DataFrame:
     """Adds what the words beyond the head contribute, by a join on the word."""
-    rows = materialize(first.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    row, key = free_name("_row", first.columns), free_name("_key", first.columns)
+    rows = materialize(first.withColumn(row, F.monotonically_increasing_id()), "scored")
     scale = float(np.log10(model.total + ALPHA * (model.distinct + 1))) if model.total else float(np.log10(ALPHA))
     rest = float(np.log10(model.rest_mass)) if model.rest_mass > 0 else 0.0
-    opened = rows.select("_row", F.explode("_open").alias("o")).select("_row", F.col("o.w").alias("w"), F.col("o.n").alias("n"))
+    opened = rows.select(F.col(row).alias("row"), F.explode(opened_name).alias("o")).select("row", F.col("o.w").alias("w"), F.col("o.n").alias("n"))
     joined = opened.join(counts.withColumnRenamed("word", "_word"), F.col("w") == F.col("_word"), "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))
-    more = joined.groupBy(F.col("_row").alias("_key")).agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * (log - scale)).alias("b"), F.sum(F.col("n") * (log - rest)).alias("s"))
-    done = rows.drop("_open").join(more, F.col("_row") == F.col("_key"), "left")
+    parts = [free_name(f"_more_{c}", first.columns) for c in "kbs"]
+    sums = F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)), F.sum(F.col("n") * (log - scale)), F.sum(F.col("n") * (log - rest))
+    more = joined.groupBy(F.col("row").alias(key)).agg(*(x.alias(p) for x, p in zip(sums, parts, strict=True)))
+    done = rows.drop(opened_name).join(more, F.col(row) == F.col(key), "left")
+    k, b, s = map(F.col, parts)
     zero = F.lit(0.0)
-    return done.select(*map(column, keep), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), "train_tokens", (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"))
+    return done.select(*map(column, keep), "n_tokens", (F.col("n_known") + F.coalesce(k, F.lit(0))).alias("n_known"), "train_tokens", (F.col("base_score") + F.coalesce(b, zero)).alias("base_score"), (F.col("score") + F.coalesce(s, zero)).alias("score"))

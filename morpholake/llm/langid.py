@@ -110,7 +110,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=schema.names)
 
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
+    rows = docs.select(column(text).alias("text"), column(lang).alias("lang")).filter("text is not null and lang is not null")
     sums = rows.mapInArrow(handing_back(run), schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     names = sorted(set(found.column("lang").to_pylist()))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP_CHARS, WORD_GAP, materialize
+from .common import GAP_CHARS, WORD_GAP, column, materialize
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -35,7 +35,7 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep columns, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long); a null text has none of anything.
 
     Counts are of code points; lines are split at \\n and count only if they hold a word."""
-    base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    base = docs.select(*map(column, keep), F.coalesce(column(text), F.lit("")).alias("_t"))
     base = base.select(*keep, "_t", F.filter(F.split("_t", WORD_GAP), lambda w: w != "").alias("_w"))
     n = F.size("_w") - (WINDOW - 1)
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.translate(x, GAP_CHARS, "") != "")
@@ -115,7 +115,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     base_failed: under 20 words, or over 30 % of words in repeated windows.  kept: not base_failed and inside the four
     thresholds of its language and source.  A null language or source is a group of its own.  Null and empty texts fail the
     base rule.  Repeated rows each count; an empty table gives an empty result.  Other columns are not read."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    named = docs.select(column(doc_id).alias("doc_id"), column(lang).alias("lang"), column(source).alias("source"), column(text).alias("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rated = ratios(materialize(measures(named, ["doc_id", "lang", "source"]), "measures")).withColumn("base_failed", failed)
     inside = F.col("word_length").between(F.col("low"), F.col("high"))

@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
 WITH urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
   CASE WHEN length(html) > 0 THEN ((length(html) - length(translate(html, '#*$%', ''))) * 1.0 / length(html) > 0.02)::INT END AS bad FROM pages),
-hosts0 AS (SELECT host, coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n, string_split(host, '.') AS l FROM urls GROUP BY host),
+hosts0 AS (SELECT host, coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n, string_split(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM urls GROUP BY host),
 hosts AS (SELECT host, bad, n, array_to_string(l[-2:], '.') AS domain, l[-1] AS suffix, 'all' AS root FROM hosts0),
 domains AS (SELECT domain, suffix, root, {shares} FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, root, {shares} FROM domains GROUP BY ALL),

@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id stay, each by its own text.  A null doc_id gets a component like any row but is never the smallest id, so
     component_id is null only where all ids of a component are.  An empty table gives an empty result.  Other columns
     are not read, so their names cannot clash."""
-    fps = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], words=words), "fingerprints")
+    fps = materialize(fingerprints(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")), ["doc_id"], words=words), "fingerprints")
     groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
     node = components(links(groups.select("fp"), differences, groups.count()))
     joined = groups.join(node, groups["fp"] == node["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))

@@ -135,7 +135,7 @@ def train(labelled: DataFrame, label: str = "toxic", text: str = "text", order:
 
     A null text has no terms.  Rows that repeat id, text and label count once."""
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("h", T.LongType())])
-    known_label = labelled.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.col(order).alias("o"))
+    known_label = labelled.filter(column(label).isNotNull()).select(column(label).cast("int").alias("label"), column(text).alias("text"), column(order).alias("o"))
     sample = hashed_sample(known_label, SAMPLE_ROWS, ["o"]).select("label", "text", F.xxhash64("o", "text", "label").alias("h")).dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

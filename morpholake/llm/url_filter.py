@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, materialize
 
 #: (host, path, verdict): the rules of the contract.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -44,13 +44,24 @@ def apply_rules(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     return urls.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels."""
-    return F.substring_index(host, ".", -2)
+def bare_host(host: Column) -> Column:
+    """The host without a user name before it or a port after it."""
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), r":[0-9]*$", "")
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def with_levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """hosts with suffix and domain (the registered one: the suffix and the label before it).
+
+    suffixes: a table (suffix) of those under which domains are registered, such as `co.uk`; of those that end a host the
+    longest counts.  Without one that fits, or without the table, the last label is the suffix."""
+    labels = F.split(bare_host(F.col("host")), r"\.")
+    tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), F.size(labels)), ".")
+    if suffixes is None:
+        return hosts.withColumns({"domain": tail(F.lit(2)), "suffix": tail(F.lit(1))})
+    tails = hosts.select("host", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("_n"), labels.alias("_l")).withColumn("_tail", F.array_join(F.slice("_l", F.size("_l") - F.col("_n") + 1, F.col("_n")), "."))
+    known = tails.join(suffixes.select(F.col("suffix").alias("_suffix")).distinct(), F.col("_tail") == F.col("_suffix")).groupBy(F.col("host").alias("_host")).agg(F.max("_n").alias("_n"))
+    n = F.coalesce("_n", F.lit(1))
+    return hosts.join(known, F.col("host") == F.col("_host"), "left").withColumns({"domain": tail(n + 1), "suffix": tail(n)}).drop("_host", "_n")
 
 
 def _weight(moments: Row) -> float:
@@ -72,14 +83,14 @@ def _posterior(joined: DataFrame, *keys: str) -> DataFrame:
     return joined.select(*keys, (F.col("bad") + w * F.col("m")).alias("a"), (F.col("n") - F.col("bad") + w * (1 - F.col("m"))).alias("b"))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, public_suffixes: DataFrame | None = None) -> DataFrame:
     """(host, mean, low): posterior mean and lower bound of the bad share of every host in outcomes.
 
     outcomes: host, bad (true, false, or null for a page without an outcome).  A host without outcomes has its domain's
     posterior mean; without any outcome at all, every host has mean 1/2 and a bound below it.  The sums of each level are
     written to the shared folder: pages are read once, and each level joins the one above by its key."""
     hosts = outcomes.groupBy("host").agg(F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("bad"), F.count("bad").alias("n"))
-    hosts = materialize(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "hosts")
+    hosts = materialize(with_levels(hosts, public_suffixes), "hosts")
     domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "domains")
     suffixes = materialize(domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffixes")
     whole = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -91,14 +102,14 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return low.select("host", mean.alias("mean"), (mean - Z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))).alias("low"))
 
 
-def judge(pages: DataFrame, bad: Column, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, bad: Column, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, public_suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), bad_share and bad_share_low, one row per row of pages.
 
     bad: the page's labelled outcome as a Column over pages (true, false or null for none).  Null urls and urls without
     :// have the empty host and path, which is a host of its own.  Repeated rows stay and count as outcomes each; an empty
-    table gives an empty result.  Columns other than page_id, url and those of bad are not read, so names cannot clash."""
-    urls = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), bad.alias("bad"))
-    known = reputation(urls.select("host", "bad"))
+    table gives an empty result.  public_suffixes (suffix): see with_levels.  Columns other than page_id, url and those of bad are not read, so names cannot clash."""
+    urls = pages.select(column(page_id).alias("page_id"), host_of(column(url)).alias("host"), path_of(column(url)).alias("path"), bad.alias("bad"))
+    known = reputation(urls.select("host", "bad"), public_suffixes)
     ruled = apply_rules(urls.drop("bad"), rules)
     joined = ruled.join(known.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("low") > LIMIT, "block").otherwise("allow")).alias("verdict"), F.col("mean").alias("bad_share"), F.col("low").alias("bad_share_low"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .common import new_path
+from .common import column, new_path
 
 MANIFEST = "_MANIFEST"
 FILE_BYTES = 64_000_000
@@ -291,7 +291,7 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
     BROADCAST_DIGESTS repeated digests (a row is some 100 bytes, counted first)."""
     spark = pages.sparkSession
     register(spark)
-    source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
+    source = pages.select(column(page_id).alias("page_id"), column(url).alias("url"), F.coalesce(column(html), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     shared = source.filter(F.octet_length("html") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("again"), "first")
     shared = shared.hint("broadcast") if shared.count() <= BROADCAST_DIGESTS else shared
     made = source.join(shared, source["digest"] == shared["again"], "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("first"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from morpholake.llm import gru_lm, langid, toxicity
 
@@ -243,6 +244,12 @@ def test_language_model_odd_rows(odd, empty):
     model, counts = gru_lm.train(odd)
     rows = {r.doc_id: r for r in gru_lm.score(odd.drop("score"), model, counts, ["doc_id", "a"]).collect()}
     assert rows[1].n_tokens == rows[2].n_tokens == rows[3].n_tokens == 1 and rows[4].n_tokens == 40_001
+    names = {"_row": "row", "_text": "own text", "_open": "open", "_key": "key", "_more_k": "more", "word": "w", "c": "c", "w": "w", "row": "r", "a.b": "dot"}
+    clashing = odd.drop("score", "_row", "key").withColumns({k: F.lit(v) for k, v in names.items() if k != "a.b"}).withColumn("a.b", F.lit("dot"))
+    for r in gru_lm.score(clashing, model, counts, clashing.columns).collect():
+        assert {k: r[k] for k in names} == names and r["words"] == "clash"
+    with pytest.raises(ValueError, match="n_tokens"):
+        gru_lm.score(odd.drop("score").withColumnRenamed("a", "N_TOKENS"), model, counts, ["N_TOKENS"])
     model, counts = gru_lm.train(empty)
     rows = gru_lm.score(odd.drop("score"), model, counts, ["doc_id"]).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in rows)
@@ -252,7 +259,7 @@ def test_language_model_odd_rows(odd, empty):
 def test_network_learns_from_whole_long_texts(spark):
     """All training rows are one long text: only a network that has read it foresees its words."""
     long = spark.createDataFrame([(1, "left right " * 6_000)], "doc_id long, text string")
-    model, counts = gru_lm.train(long)
+    model, counts = gru_lm.train(long, passes=2)
     (row,) = gru_lm.score(long, model, counts, ["doc_id"]).collect()
     assert model.learned == 2 * model.total == 2 * 12_001  # a small table is gone over twice
     assert row.score > row.base_score / 2

@@ -21,7 +21,7 @@ def test_substituted_copies_are_found(spark):
     docs = [(1, f"intro text {item} and more"), (2, "Before. " + " ".join(changed).upper() + "!"), (3, " ".join(reversed(WORDS))), (4, " ".join(WORDS[:6])), (5, "so short an item it is"), (6, "an other item short so")]
     bench = [(10, item), (11, "short an item"), (12, "an"), (13, None)]
     rows = {r.doc_id: r for r in decontaminate.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
-    assert [rows[k].items for k in range(1, 7)] == [[10], [10], [], [], [11], []]
+    assert [rows[k].items for k in range(1, 7)] == [[10], [10], [], [], [11, 12], [12]]
     assert rows[1].matched == 1.0 and 0.8 <= rows[2].matched < 1.0
 
 
@@ -34,9 +34,7 @@ def plain_leaks(docs, items):
         for i, u in items:
             iw = words(u)
             n = min(len(iw), decontaminate.VERIFY)
-            if n < decontaminate.SHORTEST:
-                if n and dw == iw:
-                    out.setdefault(d, set()).add(i)
+            if not n:
                 continue
             for shift in range(-len(iw), len(dw)):
                 same = [0 <= p + shift < len(dw) and dw[p + shift] == iw[p] for p in range(len(iw))]
@@ -60,7 +58,7 @@ def test_leaks_of_the_table(spark, sf):
 
 def test_masks_miss_no_substitution():
     """Any words of which SHARE stay equal keep the positions of one mask, for every length of item."""
-    for n in range(decontaminate.SHORTEST, decontaminate.VERIFY + 1):
+    for n in range(1, decontaminate.VERIFY + 1):
         k = max(k for k in range(n) if (n - k) / n >= decontaminate.SHARE)
         masks = [(m, 0) for m in decontaminate.masks_for(n)] if n < decontaminate.VERIFY else [(m, o) for m in decontaminate.MASKS for o in range(n - m[-1])]
         for gone in itertools.combinations(range(n), k):
@@ -262,3 +260,17 @@ def test_quality_query(spark, sf):
         n, chars, symbols, lines, repeats = plain_measures(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeats)
         assert r.base_failed == (n < 20 or 100 * repeats > 30 * n) and not (r.kept and r.base_failed)
+
+
+def test_levels_of_hosts(spark):
+    hosts = spark.createDataFrame([("a.co.uk",), ("x.b.co.uk:8080",), ("me@www.c.org",), ("co.uk",), ("",), ("plain",)], "host string")
+    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("org",)], "suffix string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_levels(hosts, suffixes).collect()}
+    assert got == {"a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk:8080": ("b.co.uk", "co.uk"), "me@www.c.org": ("c.org", "org"), "co.uk": ("co.uk", "co.uk"), "": ("", ""), "plain": ("plain", "plain")}
+    alone = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_levels(hosts).collect()}
+    assert alone["x.b.co.uk:8080"] == ("co.uk", "uk") and alone["me@www.c.org"] == ("c.org", "org")
+
+
+def test_quality_of_a_dotted_id(spark):
+    docs = spark.createDataFrame([(1, "word " * 30, "en", "s")], "`my.id` long, text string, lang string, source string")
+    assert quality.judge(docs, doc_id="my.id").first()["doc_id"] == 1
