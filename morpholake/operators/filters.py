@@ -163,17 +163,17 @@ def apply_transforms(rows: DataFrame, steps: list[Keep | Log | Concat]) -> DataF
 COMPRESSION = (
     (("1.2.840.10008.1.2.1",), "none: implicit VR little endian"),
     (("1.2.840.10008.1.2",), "none: explicit VR little endian"),
-    ((".1.2.4.50", ".1.2.4.51"), "lossy: JPEG baseline — not for primary diagnosis without validation"),
-    ((".1.2.4.70", ".1.2.4.80"), "lossless: JPEG lossless / JPEG-LS — bit-exact on CPU in this build"),
-    ((".1.2.4.81", ".1.2.4.90", ".1.2.4.91"), "lossy: JPEG-LS near-lossless / JPEG 2000 — decode unsupported in this build, series rejected at load"),
+    ((".1.2.4.50", ".1.2.4.51"), "lossy: JPEG baseline"),
+    ((".1.2.4.70", ".1.2.4.80"), "lossless: JPEG or JPEG-LS"),
+    ((".1.2.4.81", ".1.2.4.90", ".1.2.4.91"), "lossy: JPEG-LS near-lossless or JPEG 2000"),
 )
 
 
 def compression_verdict(uid: Column) -> Column:
-    out = F.when(F.coalesce(uid, F.lit("")) == "", "unknown: transfer syntax not surfaced to the report — treat as unvalidated")
+    out = F.when(F.coalesce(uid, F.lit("")) == "", "unknown: no transfer syntax")
     for ends, said in COMPRESSION:
         out = out.when(reduce(lambda a, b: a | b, (uid.endswith(e) if e[0] == "." else uid == e for e in ends)), said)
-    return out.otherwise(F.concat(F.lit("unknown: "), uid, F.lit(" — treat as unvalidated")))
+    return out.otherwise(F.concat(F.lit("unknown: "), uid))
 
 
 #: Tags that name a person or place, tags that are dates, private tags known to be safe, tags that always pass.

@@ -124,15 +124,27 @@ def pockets(points: DataFrame, contacts: DataFrame, buried: int, least: int) ->
     return comp.groupBy("component").agg(F.count("*").alias("n"), F.avg("degree").alias("mean_degree")).filter(F.col("n") >= least)
 
 
-def fill_holes(mask: DataFrame, width: int, height: int, by: tuple[str, ...] = ("series", "z")) -> DataFrame:
-    """Pixels of a slice that the mask (rows of set pixels) encloses: background components that reach no border."""
+def fill_holes(mask: DataFrame, width: int, height: int, by: tuple[str, ...] = ("series", "z"), label: int | None = None, locked: tuple[int, ...] = ()) -> DataFrame:
+    """Pixels of a slice that the mask (rows of set pixels) encloses: background components that reach no border.
+
+    With a label they leave with it; with label 0, and mask rows that have one, with the label that borders the slice's holes
+    most often (the least on ties).  Where that label is locked, the slice's holes stay open."""
     slices = mask.select(*by).distinct()
     grid = slices.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
     empty = cut(grid.join(mask, [*by, "x", "y"], "left_anti").withColumn("node", F.struct(*by, "y", "x")))
     comp = components(empty, cut(grid_edges(empty, "node", ("x", "y"), by)))
     edge = (F.col("node.x") == 0) | (F.col("node.y") == 0) | (F.col("node.x") == width - 1) | (F.col("node.y") == height - 1)
     open_ = comp.filter(edge).select("component").distinct()
-    return comp.join(open_, "component", "left_anti").select("node.*")
+    holes = comp.join(open_, "component", "left_anti").select("node.*")
+    if label is None:
+        return holes
+    if label:
+        return holes.withColumn("label", F.lit(label)).filter(~F.col("label").isin(*locked))
+    holes = cut(holes)
+    beside = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))
+    votes = holes.select(*by, F.explode(beside).alias("_n")).select(*by, "_n.*").join(mask.select(*by, "x", "y", "label"), [*by, "x", "y"]).groupBy(*by, "label").agg(F.count("*").alias("n"))
+    best = votes.groupBy(*by).agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("label"))
+    return holes.join(best.filter(~F.col("label").isin(*locked)), list(by))
 
 
 def _inner(mask: DataFrame, axes: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:

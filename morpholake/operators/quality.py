@@ -11,6 +11,7 @@ from ..functions.numeric import finite
 
 #: Transfer syntaxes whose pixels can be read, and those that are compressed.
 PLAIN_SYNTAXES = ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99")
+CODED_SYNTAXES = ("1.2.840.10008.1.2.5", "1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.51", "1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70")
 #: Storage classes by family.
 SOP_FAMILIES = {
     "rt_plan": ("1.2.840.10008.5.1.4.1.1.481.5",),
@@ -89,9 +90,14 @@ def clip_rectangle(x: Column, y: Column, w: Column, h: Column, width: Column, he
     return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
 
 
+def readable_syntax(uid: Column) -> Column:
+    """Whether the pixels of a transfer syntax can be read here: those that are plain, run lengths, JPEG baseline and lossless."""
+    return F.coalesce(uid.isin(*PLAIN_SYNTAXES, *CODED_SYNTAXES), F.lit(False))
+
+
 def checked_syntax(uid: Column) -> Column:
     """uid where its pixels can be read; else an error that names it."""
-    return F.when(uid.isin(*PLAIN_SYNTAXES), uid).otherwise(F.raise_error(F.concat(F.lit("transfer-syntax: "), F.coalesce(uid, F.lit("none")))).cast("string"))
+    return F.when(readable_syntax(uid), uid).otherwise(F.raise_error(F.concat(F.lit("transfer-syntax: "), F.coalesce(uid, F.lit("none")))).cast("string"))
 
 
 def sop_family(uid: Column) -> Column:

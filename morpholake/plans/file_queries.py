@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import graph, ordered, paths, quality, stacks, voxels
-from ..sources import dicom, dicom_compressed, dicom_objects, dicomweb, files, reports, text, tiff, volumes, zarr
+from ..sources import dicom, dicom_compressed, dicom_objects, dicomweb, files, reports, text, tiff, tracts, volumes, zarr
 from .registry import query
 from .source_queries import tabbed, written
 from .tables import base, domain
@@ -309,3 +309,24 @@ def straight_paths(spark: S, d: str) -> D:
     flat = domain(spark, d, "pixels").select("tile", "x", "y", F.lit(0.0).alias("gradient"))
     asked = base(spark, d, "supplier").select((k % 6).cast("int").alias("tile"), k.cast("int").alias("request"), F.col("s_nationkey").cast("int").alias("sx"), (k % 40).cast("int").alias("sy"), (F.col("s_nationkey") + 7).cast("int").alias("tx"), (k % 40).cast("int").alias("ty"))
     return paths.livewire(flat, asked, 48, 40)
+
+
+TRACTS = "SELECT s_suppkey AS file, CAST(i AS INT) AS k, CAST(s_suppkey % 100 + i AS DOUBLE) AS x, CAST(s_nationkey AS DOUBLE) AS y, CAST(i * j AS DOUBLE) AS z FROM supplier, range(0, 3) AS a(j), range(0, 6) AS b(i) WHERE i < 2 + 2 * j"
+
+
+def _lines(r: dict) -> list[list[tuple[float, ...]]]:
+    return [[(float(r["k"] % 100 + i), float(r["n"]), float(i * j)) for i in range(2 + 2 * j)] for j in range(3)]
+
+
+@query(TRACTS)
+def tck_points(spark: S, d: str) -> D:
+    rows = tracts.points(spark, files.write(_suppliers(spark, d), "file", lambda r: tracts.tck_bytes(_lines(r)), "tck"), size=96)
+    return rows.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("file"), "k", "x", "y", "z")
+
+
+@query(f"SELECT file, k, x * 2 + 1 AS x, y, z - 3 AS z, x AS weight FROM ({TRACTS})")
+def trk_points(spark: S, d: str) -> D:
+    matrix = np.array([[2, 0, 0, 1], [0, 1, 0, 0], [0, 0, 1, -3], [0, 0, 0, 1]])
+    content = lambda r: tracts.trk_bytes([[(*p, p[0]) for p in line] for line in _lines(r)], 1, matrix)
+    rows = tracts.points(spark, files.write(_suppliers(spark, d), "file", content, "trk"), size=120)
+    return rows.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("file"), "k", "x", "y", "z", F.get("scalars", 0).cast("double").alias("weight"))

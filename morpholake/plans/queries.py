@@ -147,7 +147,7 @@ def recist_categories(spark: S, d: str) -> D:
     return sums.withColumn("category", filters.recist(F.col("b"), F.col("nadir"), F.col("u"), F.lit(False)))
 
 
-@query("""SELECT series, CASE series % 5 WHEN 0 THEN 'none: implicit VR little endian' WHEN 1 THEN 'lossy: JPEG baseline — not for primary diagnosis without validation' WHEN 2 THEN 'lossless: JPEG lossless / JPEG-LS — bit-exact on CPU in this build' WHEN 3 THEN 'unknown: transfer syntax not surfaced to the report — treat as unvalidated' ELSE 'unknown: 1.2.840.10008.1.2.9 — treat as unvalidated' END AS verdict FROM doses""", "doses")
+@query("""SELECT series, CASE series % 5 WHEN 0 THEN 'none: implicit VR little endian' WHEN 1 THEN 'lossy: JPEG baseline' WHEN 2 THEN 'lossless: JPEG or JPEG-LS' WHEN 3 THEN 'unknown: no transfer syntax' ELSE 'unknown: 1.2.840.10008.1.2.9' END AS verdict FROM doses""", "doses")
 def compression_verdicts(spark: S, d: str) -> D:
     return domain(spark, d, "doses").select("series", filters.compression_verdict(F.col("uid")).alias("verdict"))
 

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +165,42 @@ def test_bins_equal_the_plain_interval_join(spark):
     for k, c, p in v:
         hit = next((x for x in e if x[1] == c and x[2] <= p <= x[3]), None)
         assert got[k] == (None if hit is None else hit[5] + (0 if hit[2] == hit[3] else hit[6] * (p - hit[2])))
+
+
+def test_holes_take_the_label_around_them(spark):
+    ring = lambda z, label: [("s", z, x, y, label(x, y)) for x in range(5) for y in range(5) if max(abs(x - 2), abs(y - 2)) == 1]
+    mask = spark.createDataFrame(ring(0, lambda x, y: 2 if y > 1 else 7) + ring(1, lambda x, y: 4), "series string, z int, x int, y int, label int")
+    rows = lambda **how: sorted(tuple(r) for r in graph.fill_holes(mask, 5, 5, **how).select("z", "x", "y", "label").collect())
+    assert rows(label=9) == [(0, 2, 2, 9), (1, 2, 2, 9)]
+    assert rows(label=0) == [(0, 2, 2, 2), (1, 2, 2, 4)]
+    assert rows(label=0, locked=(2,)) == [(1, 2, 2, 4)] and rows(label=9, locked=(9,)) == []
+
+
+def test_running_values_of_one_large_group(spark):
+    """One group holds most of the rows; its rows spread over partitions and results stay those of a plain fold."""
+    import random as plain
+
+    rng = plain.Random(3)
+    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}", i, rng.randrange(400) / 10, rng.choice(["open", "finish", "sign", "unlock", "other"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, row_no long, at double, action string").repartition(4)
+    want, clusters = {}, {}
+    for g in {r[0] for r in rows}:
+        anchor, k, phase = None, -1, 0
+        for _, i, at, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            if anchor is None or at - anchor >= 0.35:
+                anchor, k, phase = at, k + 1, 0
+            else:
+                phase += 1
+            clusters[i] = (k, phase)
+        state = "unread"
+        for r in (r for r in rows if r[0] == g):
+            state = ordered.MOVES[state].get(r[3], state)
+        want[g] = (sum(r[0] == g for r in rows), state)
+    got = ordered.anchored_clusters(df, ["g"], "at", 0.35).collect()
+    assert {r.row_no: (r.cluster, r.phase) for r in got} == clusters and len(got) == len(rows)
+    assert {r.g: (r.n_events, r.state) for r in ordered.read_states(df, "g", "action", ["row_no"]).collect()} == want
+    from morpholake.operators import running
+
+    for g, low, mid in running.percentile(df, ["g"], "at", low=0.1, mid=0.5).collect():
+        values = [r[2] for r in rows if r[0] == g]
+        assert abs(low - np.percentile(values, 10)) < 1e-9 and abs(mid - np.percentile(values, 50)) < 1e-9
