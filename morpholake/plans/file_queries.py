@@ -330,3 +330,40 @@ def trk_points(spark: S, d: str) -> D:
     content = lambda r: tracts.trk_bytes([[(*p, p[0]) for p in line] for line in _lines(r)], 1, matrix)
     rows = tracts.points(spark, files.write(_suppliers(spark, d), "file", content, "trk"), size=120)
     return rows.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("file"), "k", "x", "y", "z", F.get("scalars", 0).cast("double").alias("weight"))
+
+
+def _assembly_text(r: dict) -> bytes:
+    """An entry with two operators, of which the second moves by the supplier's number, and two sets of chains."""
+    operator = lambda k, x: f"{k} 1 0 0 {x} 0 1 0 0 0 0 1 0"
+    tags = "".join(f"_pdbx_struct_oper_list.{t}\n" for t in ("id", *text.MATRIX_ITEMS))
+    gens = "".join(f"_pdbx_struct_assembly_gen.{t}\n" for t in ("assembly_id", "oper_expression", "asym_id_list"))
+    single = f"_pdbx_struct_assembly.id 1\n_pdbx_struct_assembly.details 'no. {r['k']}'\n"
+    return f"data_x\n{single}loop_\n{gens}1 (1-2) A,B\n1 '(1,2)(P)' C\nloop_\n{tags}{operator(1, 0)}\n{operator(2, r['k'])}\n{operator('P', r['n'])}\n#\n".encode()
+
+
+CIF_NAMES = ["pdbx_struct_assembly", "pdbx_struct_assembly_gen", "pdbx_struct_oper_list"]
+
+
+def _cif(spark: S, d: str) -> D:
+    rows = text.cif_categories(spark, files.write(_suppliers(spark, d), "file", _assembly_text, "assemblies"), CIF_NAMES)
+    return rows.withColumn("file", F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint"))
+
+
+@query("SELECT s_suppkey AS file, '1' AS assembly, CAST(c AS INT) AS copy_no, a AS asym, CASE WHEN a = 'C' THEN (c + 1) || '.P' ELSE (c + 1) || '' END AS ops FROM supplier, (VALUES ('A'), ('B'), ('C')) t(a), range(0, 2) AS b(c)")
+def cif_copies(spark: S, d: str) -> D:
+    rows = _cif(spark, d)
+    made = text.cif_copies(rows).join(rows.select("path", "file").distinct(), "path")
+    return made.select("file", "assembly", "copy_no", "asym", F.array_join("ops", ".").alias("ops"))
+
+
+@query("SELECT s_suppkey AS file, op, CASE op WHEN '1' THEN 0.0 WHEN '2' THEN CAST(s_suppkey AS DOUBLE) ELSE CAST(s_nationkey AS DOUBLE) END AS shift, CAST(3 AS DOUBLE) AS diagonal FROM supplier, (VALUES ('1'), ('2'), ('P')) t(op)")
+def cif_operators(spark: S, d: str) -> D:
+    rows = _cif(spark, d)
+    made = text.cif_operators(rows).join(rows.select("path", "file").distinct(), "path")
+    return made.select("file", "op", F.get("m", 3).alias("shift"), (F.get("m", 0) + F.get("m", 5) + F.get("m", 10)).alias("diagonal"))
+
+
+@query("SELECT s_suppkey AS file, '1' AS id, 'no. ' || s_suppkey AS details FROM supplier")
+def cif_single_items(spark: S, d: str) -> D:
+    rows = _cif(spark, d).filter("category = 'pdbx_struct_assembly'")
+    return rows.select("file", F.col("items")["id"].alias("id"), F.col("items")["details"].alias("details"))

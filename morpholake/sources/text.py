@@ -151,6 +151,69 @@ def mmcif(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(run, ATOM_SITE)
 
 
+CATEGORY = T.StructType([T.StructField("path", T.StringType()), T.StructField("category", T.StringType()), T.StructField("row_no", T.IntegerType()), T.StructField("items", T.MapType(T.StringType(), T.StringType()))])
+
+
+def cif_categories(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """path, category, row_no and items (item -> value) of these categories, whether a file writes them as loops or as single
+    items, which together are one row.  An item without a value raises."""
+    wanted = set(names)
+
+    def rows_of(text: str) -> Iterator[tuple[str, int, dict[str, str]]]:
+        found: dict[str, list[dict[str, str]]] = {}
+        for tags, rows in cif_loops(text):
+            category = tags[0][1:].partition(".")[0] if tags else ""
+            if category not in wanted:
+                continue
+            items = [t[len(category) + 2 :] for t in tags]
+            single = len(tags) == 1 and len(rows) == 1
+            own = found.setdefault(category, [])
+            if single and own and items[0] not in own[0] and len(own) == 1:
+                own[0][items[0]] = rows[0][0]
+            else:
+                own.extend(dict(zip(items, r, strict=True)) for r in rows)
+        for category, rows in found.items():
+            for k, row in enumerate(rows):
+                yield category, k, row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                made = list(rows_of(text))
+                if made:
+                    category, k, items = zip(*made, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(made)), pa.array(category), pa.array(k, pa.int32()), pa.array([list(i.items()) for i in items], pa.map_(pa.string(), pa.string()))], names=CATEGORY.names)
+
+    source = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return source.mapInArrow(run, CATEGORY)
+
+
+#: Items of an operator's matrix, row by row.
+MATRIX_ITEMS = tuple(f"matrix[{r}][{c}]" if c < 4 else f"vector[{r}]" for r in (1, 2, 3) for c in (1, 2, 3, 4))
+
+
+def cif_operators(categories: DataFrame) -> DataFrame:
+    """path, op, m (12 numbers, row by row) of pdbx_struct_oper_list; an operator that lacks a number raises."""
+    rows = categories.filter("category = 'pdbx_struct_oper_list'")
+    numbers = F.array(*(F.try_element_at("items", F.lit(k)).try_cast("double") for k in MATRIX_ITEMS))
+    op = F.try_element_at("items", F.lit("id"))
+    whole = ~F.exists(numbers, lambda x: x.isNull())
+    return rows.select("path", op.alias("op"), F.when(whole, numbers).otherwise(F.raise_error(F.concat(F.lit("assembly-operator: "), F.coalesce(op, F.lit("?")))).cast("array<double>")).alias("m"))
+
+
+def cif_copies(categories: DataFrame) -> DataFrame:
+    """path, assembly, gen, copy_no, asym, ops: every chain under every product of operators that its assembly asks for.
+
+    A product is its operators from the left; the last of them is applied first."""
+    from ..operators.joins import operator_products
+
+    item = lambda k: F.try_element_at("items", F.lit(k))
+    gens = categories.filter("category = 'pdbx_struct_assembly_gen'").select("path", item("assembly_id").alias("assembly"), F.col("row_no").alias("gen"), item("oper_expression").alias("_e"), item("asym_id_list").alias("_a"))
+    copies = gens.select("path", "assembly", "gen", "_a", F.posexplode(operator_products(F.col("_e"))).alias("copy_no", "ops"))
+    chains = F.filter(F.transform(F.split("_a", ","), F.trim), lambda a: a != "")
+    return copies.select("path", "assembly", "gen", "copy_no", F.explode(chains).alias("asym"), "ops")
+
+
 def radiomics_long(wide: DataFrame, label: str, features: list[str]) -> DataFrame:
     """label, feature, value: one row per feature of each row; a value that is not finite or an empty label raises."""
     long_ = wide.unpivot(label, features, "feature", "value")
