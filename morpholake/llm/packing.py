@@ -19,6 +19,7 @@ columns are ignored.  A text's own spelling of a special token is ordinary text.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import column, map_batches, materialize, pieces
 
@@ -37,11 +38,15 @@ SIZE = 2048
 END = 0
 #: Memory of a task's known words: ids and strings, about.
 CACHE_BYTES = 96_000_000
+#: Rows of a partition of a sweep, on average; there are as many partitions as the session's shuffles have at most.
+PART_ROWS = 20_000
 #: Texts whose words are looked up together.
 BATCH_ROWS = 1024
 #: Between words that are encoded together: a sign that is one id and stands in hardly any text.
 MARK = "\x02"
 BETWEEN = f" {MARK} "
+WORD_END = "</w>"
+SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 Segment = tuple[int, int, int, int, int]
 
@@ -50,11 +55,17 @@ class WordIds:
     """Ids of texts by way of their distinct words.
 
     A text is cut at the spaces and line feeds that the tokenizer drops anyway: none of its rules reaches over one.  Words not
-    met before are encoded many at once, in one text with MARK between them, whose only id then parts them again."""
+    met before are encoded many at once, in one text with MARK between them, whose only id then parts them again.  Words of
+    lower-case Latin letters alone are what the tokenizer's rules leave as they are: they skip these, and end at a word's end."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for w, k in vocabulary.items() if w.endswith(WORD_END)]] = True
         (self.mark,) = self._ids(MARK)
         self._forget()
 
@@ -80,6 +91,13 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         known = self.known
         fresh = [w for w in words if w not in known]
+        simple = [w for w in fresh if SIMPLE(w)]
+        fresh = [w for w in fresh if not SIMPLE(w)]
+        for at in range(0, len(simple), 8192):
+            some = simple[at : at + 8192]
+            found = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            self._keep(some, found, np.flatnonzero(self.ends_word[found]) + 1)
+            self.bytes += sum(map(len, some), 150 * len(some))
         for at in range(0, len(fresh), 8192):
             some = fresh[at : at + 8192]
             joined = BETWEEN.join(some)
@@ -182,12 +200,15 @@ def sweep(rows: DataFrame) -> DataFrame:
     """Matches pieces with gaps inside each partition of rows (id, is_gap, left, units), sorted by falling size.
 
     A piece leaves with the sequence it took, or without: then at is its number among those of the partition and run their
-    total length before it.  A gap leaves with the room and units left, and at, the units of those before it."""
+    total length before it.  A gap leaves with the room and units left, and at, the units of those before it.  One row more, with
+    is_gap null, sums a partition up: units free, at (lone pieces), left (most room of a gap), seq (pieces placed), run (length of
+    the shortest lone piece)."""
     schema = pa.schema([("id", pa.int64()), ("is_gap", pa.bool_()), ("left", pa.int64()), ("seq", pa.int64()), ("units", pa.int64()), ("at", pa.int64()), ("run", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_gaps, closed = [], []  # [id, room, units]
-        alone = length_alone = 0
+        alone = length_alone = matched = 0
+        shortest = None
         for batch in batches:
             made = []
             for key, is_gap, left, units in zip(*(batch.column(c).to_pylist() for c in ("id", "is_gap", "left", "units")), strict=True):
@@ -197,6 +218,7 @@ def sweep(rows: DataFrame) -> DataFrame:
                     top = open_gaps[-1]
                     top[1] -= left
                     top[2] -= 1
+                    matched += 1
                     made.append((key, False, left, top[0], 0, None, None))
                     if not top[2]:
                         closed.append(open_gaps.pop())
@@ -204,12 +226,14 @@ def sweep(rows: DataFrame) -> DataFrame:
                     made.append((key, False, left, None, 0, alone, length_alone))
                     alone += 1
                     length_alone += left
+                    shortest = left  # they come by falling length
             yield _rows(made, schema)
         made, units = [(k, True, room, k, 0, None, None) for k, room, _ in closed], 0
         for k, room, n in open_gaps:
             made.append((k, True, room, k, n, units, None))
             units += n
-        yield _rows(made, schema)
+        most = max((room for _, room, _ in closed + open_gaps), default=0)
+        yield _rows([*made, (None, None, most, matched, units, alone, shortest)], schema)
 
     return map_batches(rows, run, T.StructType.fromDDL(SWEPT))
 
@@ -250,7 +274,8 @@ class _Packer:
         self.spark, self.size, self.items = items.sparkSession, size, items
         self.next, self.placed = 0, []
         self.gaps = self.spark.createDataFrame([], "seq long, room long")
-        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.lengths = dict(items.groupBy("length").count().collect())  # a row per length: one sequence's size at most
+        self.parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), sum(self.lengths.values()) // PART_ROWS + 1)
 
     def _met(self, swept: DataFrame, lone: Column, segments: list[Segment]) -> None:
         """Carries a plan out: pieces and units of gaps meet by the numbers that the plan gives them."""
@@ -279,7 +304,7 @@ class _Packer:
         swept = materialize(sweep(rows.repartitionByRange(self.parts, *rank).sortWithinPartitions(*rank)).withColumn("part", F.spark_partition_id()), "swept")
         lone = (~F.col("is_gap")) & F.col("seq").isNull()
         taken = ~F.col("is_gap") & F.col("seq").isNotNull()
-        found = swept.groupBy("part").agg(F.count(F.when(lone, 1)), F.sum("units"), F.max(F.when(F.col("is_gap"), F.col("left"))), F.count(F.when(taken, 1))).collect()
+        found = swept.filter("is_gap is null").select("part", "at", "units", "left", "seq", "run").collect()  # a row per partition
         counts = sorted((p, n, u) for p, n, u, *_ in found)
         segments, met = plan_runs(counts)
         self.placed.append(swept.filter(taken).select("id", "seq", F.col("left").alias("length")))
@@ -287,8 +312,9 @@ class _Packer:
         rest = [(p, n - met[p], met[p]) for p, n, _ in counts]
         missed = F.broadcast(self.spark.createDataFrame([(p, first) for p, _, first in rest] or [(0, 0)], "p int, met long"))
         alone = swept.filter(lone).join(missed, F.col("part") == F.col("p")).filter("at >= met").select("id", F.col("left").alias("length"), "part", "at", "run")
-        placed_some = any(r[4] for r in found) or any(met.values())
-        return alone, rest, placed_some and any((r[3] or 0) > low for r in found)
+        # only a gap that has taken a piece and is still as wide as the shortest one left over can take one more
+        shortest = min((r[5] for r, (_, n, _) in zip(sorted(found), rest, strict=True) if n), default=None)
+        return alone, rest, shortest is not None and sum(r[4] for r in found) + sum(met.values()) > 0 and max(r[3] for r in found) >= shortest
 
     def _open(self, alone: DataFrame, rest: list[tuple[int, int, int]], low: int, high: int) -> DataFrame | None:
         """New sequences for the class's pieces that fit nowhere, by their rank: neighbours share one.
@@ -321,9 +347,8 @@ class _Packer:
 
     def run(self) -> DataFrame:
         """(id, seq, length) of all items shorter than a sequence."""
-        lengths = [n for (n,) in self.items.select("length").distinct().collect()]  # a row per length: one sequence's size at most
         for low, high in classes(self.size):
-            if not any(low < n <= high and n < self.size for n in lengths):
+            if not any(low < n <= high and n < self.size for n in self.lengths):
                 continue
             waiting = self.items.filter((F.col("length") > low) & (F.col("length") <= high) & (F.col("length") < self.size))
             while waiting is not None:
