@@ -714,12 +714,10 @@ def fill_holes(spark: S, d: str) -> D:
     return graph.fill_holes(domain(spark, d, "voxels").filter("v > 3").select("series", "z", "x", "y"), 24, 20).select("series", "z", "x", "y")
 
 
-@query("""SELECT s.series, x, y, z, CAST(least(x + 1, 6 - x, y + 1, 5 - y, z + 1, 7 - z) AS INT) AS distance FROM (SELECT DISTINCT CAST(l_linenumber % 4 AS INT) AS series FROM lineitem) s, (SELECT unnest(range(0, 6)) AS x) a, (SELECT unnest(range(0, 5)) AS y) b, (SELECT unnest(range(0, 7)) AS z) c""")
+@query(""", k AS (SELECT series, x, y, z FROM solids WHERE v > 20), o AS (SELECT s.series, g.* FROM (SELECT DISTINCT series FROM k) s, (SELECT * FROM (SELECT unnest(range(-1, 13)) AS x) a, (SELECT unnest(range(-1, 12)) AS y) b, (SELECT unnest(range(-1, 10)) AS z) c) g EXCEPT SELECT series, x, y, z FROM k)
+  SELECT k.series, k.x, k.y, k.z, CAST(min(abs(k.x - o.x) + abs(k.y - o.y) + abs(k.z - o.z)) AS INT) AS distance FROM k JOIN o USING (series) GROUP BY 1, 2, 3, 4""", "solids")
 def border_distance(spark: S, d: str) -> D:
-    boxes = base(spark, d, "lineitem").select((F.col("l_linenumber") % 4).cast("int").alias("series")).distinct()
-    for c, n in (("x", 6), ("y", 5), ("z", 7)):
-        boxes = boxes.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return graph.border_distance(boxes)
+    return graph.border_distance(domain(spark, d, "solids").filter("v > 20").select("series", "x", "y", "z"))
 
 
 @query("""SELECT channel, lo, hi FROM (SELECT channel, lo, list_sort(list(v))[CAST(ceil(count(*) * 0.99) AS INT)] AS hi FROM (SELECT *, avg((v <= lo + (top - lo) / 256)::INT) OVER (PARTITION BY channel) AS share FROM (SELECT *, min(v) OVER (PARTITION BY channel) AS lo, max(v) OVER (PARTITION BY channel) AS top FROM channels)) WHERE NOT (v <= lo + (top - lo) / 256 AND share > 0.2) GROUP BY 1, 2)""", "channels")
