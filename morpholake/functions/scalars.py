@@ -164,3 +164,27 @@ def tercile(fraction: Column) -> Column:
 
 def rounded_key(*numbers: Column, digits: int = 3) -> Column:
     return F.concat_ws("|", *(F.format_string(f"%.{digits}f", half_up(x, digits)) for x in numbers))
+
+
+def luma_of_ybr(y: Column, blue: Column, red: Column) -> Column:
+    """Brightness of a colour given as brightness and two differences (0 to 255), by way of its clamped primaries."""
+    clamp = lambda x: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), x)))
+    r, g, b = clamp(y - 179.456 + 1.402 * red), clamp(y + 135.459 - 0.344 * blue - 0.714 * red), clamp(y - 226.816 + 1.772 * blue)
+    return F.floor(0.299 * r + 0.587 * g + 0.114 * b).cast("int")
+
+
+def series_key(description: Column, uid: Column, number: Column, orientation: Column, cols: Column, rows: Column) -> Column:
+    """What groups files into a series; what is missing is empty, sizes 0."""
+    size = F.concat(F.coalesce(cols, F.lit(0)).cast("string"), F.lit("x"), F.coalesce(rows, F.lit(0)).cast("string"))
+    return F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in (description, uid, number, orientation)), size)
+
+
+def number_text(x: Column) -> Column:
+    """A number as a key's part: whole ones without a point, nan where it is none."""
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "nan").when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+
+def view_key(series: Column, plane: Column, index: Column, width: Column, center: Column, invert: Column, frame: Column) -> Column:
+    """One key for what determines a picture of a slice."""
+    return F.concat_ws("|", series, plane, index.cast("string"), F.concat(F.lit("W"), number_text(width), F.lit("C"), number_text(center)), F.when(invert, "inv").otherwise("nrm"), F.concat(F.lit("t"), F.coalesce(frame, F.lit(0)).cast("string")))

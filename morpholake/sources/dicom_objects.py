@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .dicom import DEFLATED, EXPLICIT, IMPLICIT, LONG_VR, elements
@@ -144,12 +145,51 @@ def beams_of(d: Data) -> Iterator[tuple]:
         yield n, text(b, 0x300A, 0xC2), sets.get(n)
 
 
+def real(d: Data, *tag: int) -> float | None:
+    """A binary double of a dataset."""
+    v = d.get(tag)  # type: ignore[call-overload]
+    return struct.unpack("<d", v[:8])[0] if isinstance(v, bytes) and len(v) >= 8 else None
+
+
+def long(d: Data, *tag: int) -> int | None:
+    v = d.get(tag)  # type: ignore[call-overload]
+    return struct.unpack("<I", v[:4])[0] if isinstance(v, bytes) and len(v) >= 4 else None
+
+
+def regions_of(d: Data) -> Iterator[tuple]:
+    """(region, format, x0, y0, x1, y1, units_x, units_y, delta_x, delta_y) of an ultrasound image's regions."""
+    for k, r in enumerate(items(d, 0x18, 0x6011)):
+        yield k, short(r, 0x18, 0x6012), *(long(r, 0x18, e) for e in (0x6018, 0x601A, 0x601C, 0x601E)), short(r, 0x18, 0x6024), short(r, 0x18, 0x6026), real(r, 0x18, 0x602C), real(r, 0x18, 0x602E)
+
+
+#: The classes of whole-slide images and encapsulated documents.
+SLIDE_CLASS, DOCUMENT_CLASSES = "1.2.840.10008.5.1.4.1.1.77.1.6", ("1.2.840.10008.5.1.4.1.1.104.1", "1.2.840.10008.5.1.4.1.1.104.2")
+
+
+def slide_of(d: Data) -> Iterator[tuple]:
+    """(total_cols, total_rows, tiles, optical_paths): the grid of a whole-slide image; what it lacks is null."""
+    if text(d, 8, 0x16) != SLIDE_CLASS:
+        raise ValueError(f"slide-class: {text(d, 8, 0x16)}")
+    yield long(d, 0x48, 6) or None, long(d, 0x48, 7) or None, len(items(d, 0x48, 0x21A)), len(items(d, 0x48, 0x105)) or None
+
+
+def document_of(d: Data) -> Iterator[tuple]:
+    """(title, mime, size) of an encapsulated document."""
+    if text(d, 8, 0x16) not in DOCUMENT_CLASSES:
+        raise ValueError(f"document-class: {text(d, 8, 0x16)}")
+    body = d.get((0x42, 0x11))
+    yield text(d, 0x42, 0x10), text(d, 0x42, 0x12), len(body) if isinstance(body, bytes) else 0
+
+
 #: What a reader makes: columns and extractor.
 KINDS: dict[str, tuple[str, Callable[[Data], Iterator[tuple]]]] = {
     "contours": ("roi int, name string, contour int, order int, x double, y double, z double", contours_of),
     "segments": ("segment int, label string, frame int, z double, i int", segments_of),
     "directory": ("study string, series string, instance_number int, file_id string", directory_of),
     "beams": ("beam int, name string, meterset double", beams_of),
+    "regions": ("region int, format int, x0 int, y0 int, x1 int, y1 int, units_x int, units_y int, delta_x double, delta_y double", regions_of),
+    "slides": ("total_cols int, total_rows int, tiles int, optical_paths int", slide_of),
+    "documents": ("title string, mime string, size int", document_of),
 }
 
 
@@ -173,3 +213,10 @@ def rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
+def region_spacing(regions: DataFrame) -> DataFrame:
+    """path, row_mm, col_mm of the first plane region of each file whose axes are in cm with positive steps."""
+    fit = regions.filter("format = 1 and units_x = 3 and units_y = 3 and delta_x > 0 and delta_y > 0")
+    first = fit.groupBy("path").agg(F.min_by(F.struct("delta_x", "delta_y"), "region").alias("r"))
+    return first.select("path", (F.col("r.delta_y") * 10).alias("row_mm"), (F.col("r.delta_x") * 10).alias("col_mm"))

@@ -40,10 +40,10 @@ def write(rows: DataFrame, name: str, content: Callable[[dict], bytes], what: st
     return folder
 
 
-def element(group: int, number: int, kind: str, value: bytes | str | int) -> bytes:
+def element(group: int, number: int, kind: str, value: bytes | str | float) -> bytes:
     """A DICOM element in explicit little endian: text is padded, a number is written as its kind."""
-    if isinstance(value, int):
-        value = struct.pack({"US": "<H", "UL": "<I"}[kind], value)
+    if isinstance(value, int | float):
+        value = struct.pack({"US": "<H", "UL": "<I", "FD": "<d"}[kind], value)
     if isinstance(value, str):
         value = value.encode("latin-1")
     value += (b"\0" if kind in ("UI", "OB") else b" ") * (len(value) % 2)

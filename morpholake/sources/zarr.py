@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -36,6 +37,29 @@ def parse_array(text: bytes) -> dict:
     return meta
 
 
+def plate_wells(documents: DataFrame, attrs: str = "attrs") -> DataFrame:
+    """plate, path, row, column and label (row's and column's names joined) of the wells of plates' attributes (JSON).
+
+    What has no plate gives nothing; a well without a path or outside the plate's rows and columns raises."""
+    named = "array<struct<name:string>>"
+    well = "array<struct<path:string,rowIndex:int,columnIndex:int>>"
+    plate = F.get_json_object(attrs, "$.plate")
+    part = lambda key, kind: F.from_json(F.get_json_object(plate, f"$.{key}"), kind)
+    rows = documents.filter(plate.isNotNull()).select(F.get_json_object(plate, "$.name").alias("plate"), part("rows", named).alias("r"), part("columns", named).alias("c"), F.explode(part("wells", well)).alias("w"))
+    inside = F.col("w.path").isNotNull() & F.col("w.rowIndex").between(0, F.size("r") - 1) & F.col("w.columnIndex").between(0, F.size("c") - 1)
+    path = F.when(F.coalesce(inside, F.lit(False)), F.col("w.path")).otherwise(F.raise_error(F.concat(F.lit("plate-well: "), F.coalesce("w.path", F.lit("no path")))).cast("string"))
+    return rows.select("plate", path.alias("path"), F.col("w.rowIndex").alias("row"), F.col("w.columnIndex").alias("column"), F.concat(F.get("r", F.col("w.rowIndex"))["name"], F.get("c", F.col("w.columnIndex"))["name"]).alias("label"))
+
+
+def well_images(documents: DataFrame, attrs: str = "attrs") -> DataFrame:
+    """image_no, path of the images of wells' attributes (JSON); a well without an image, or an image without a path, raises."""
+    images = F.get_json_object(attrs, "$.well.images")
+    rows = documents.filter(F.get_json_object(attrs, "$.well").isNotNull()).select(F.from_json(images, "array<struct<path:string>>").alias("i"))
+    some = F.when(F.size("i") > 0, F.col("i")).otherwise(F.raise_error(F.lit("well-images: none")).cast("array<struct<path:string>>"))
+    placed = rows.select(F.posexplode(some).alias("image_no", "image"))
+    return placed.select("image_no", F.when(F.col("image.path") != "", F.col("image.path")).otherwise(F.raise_error(F.lit("well-images: path")).cast("string")).alias("path"))
+
+
 def decode_chunk(raw: bytes, meta: dict) -> np.ndarray:
     codec = (meta.get("compressor") or {}).get("id")
     data = gzip.decompress(raw) if codec == "gzip" else zlib.decompress(raw) if codec == "zlib" else raw

@@ -67,3 +67,10 @@ def test_directory_and_beams(spark, tmp_path):
     ref = lambda n, m: item(element(0x300A, 0x86, "DS", m), element(0x300C, 6, "IS", n))
     path = put(tmp_path, sequence(0x300A, 0x70, item(sequence(0x300C, 4, ref(b"1", b"5.5"))), item(sequence(0x300C, 4, ref(b"1", b"9")))), sequence(0x300A, 0xB0, item(element(0x300A, 0xC0, "IS", b"1"), element(0x300A, 0xC2, "LO", b"AP")), item(element(0x300A, 0xC0, "IS", b"2"))))
     assert [(r.beam, r.name, r.meterset) for r in dicom_objects.rows(spark, path, "beams").collect()] == [(1, "AP", 5.5), (2, None, None)]
+
+
+def test_wrong_classes_are_refused():
+    for read, name in ((dicom_objects.slide_of, "slide-class"), (dicom_objects.document_of, "document-class")):
+        with pytest.raises(ValueError, match=name):
+            list(read({(8, 0x16): b"1.2.3"}))
+    assert list(dicom_objects.regions_of({})) == []

@@ -145,3 +145,17 @@ def test_quality(spark):
 def test_sobel_of_a_step(spark):
     img = spark.createDataFrame([(0, x, y, float(x >= 2)) for x in range(4) for y in range(3)], "tile int, x int, y int, v double")
     assert {(r.x, r.gradient) for r in voxels.sobel(img, 4, 3).collect()} == {(0, 0.0), (1, 4.0), (2, 4.0), (3, 0.0)}
+
+
+def test_plates_and_wells(spark):
+    plate = {"plate": {"name": "P", "rows": [{"name": "A"}], "columns": [{"name": "01"}, {"name": "02"}], "wells": [{"path": "A/02", "rowIndex": 0, "columnIndex": 1}]}}
+    docs = lambda *d: spark.createDataFrame([(json.dumps(x),) for x in d], "attrs string")
+    assert [tuple(r) for r in zarr.plate_wells(docs(plate, {"other": 1})).collect()] == [("P", "A/02", 0, 1, "A02")]
+    for change in ({"rowIndex": 1}, {"columnIndex": -1}, {"path": None}):
+        bad = {"plate": plate["plate"] | {"wells": [plate["plate"]["wells"][0] | change]}}
+        with pytest.raises(Exception, match="plate-well"):
+            zarr.plate_wells(docs(bad)).collect()
+    assert [tuple(r) for r in zarr.well_images(docs({"well": {"images": [{"path": "0"}, {"path": "1"}]}}, {})).collect()] == [(0, "0"), (1, "1")]
+    for bad in ({"well": {"images": []}}, {"well": {"images": [{"path": ""}]}}):
+        with pytest.raises(Exception, match="well-images"):
+            zarr.well_images(docs(bad)).collect()

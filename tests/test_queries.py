@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from morpholake.plans import file_queries, mesh_queries, queries, source_queries  # noqa: F401
+from morpholake.plans import file_queries, mesh_queries, queries, readout_queries, source_queries  # noqa: F401
 from morpholake.plans.registry import QUERIES, SQL
 from morpholake.plans.tables import BASE
 
