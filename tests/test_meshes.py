@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from morpholake.operators import meshes, slicefill, surface
+from morpholake.operators import meshes, slicefill, smoothing, surface
 
 
 def table(spark, values, series=0, **more):
@@ -255,3 +255,45 @@ def test_iterated_fit(spark):
     fit = meshes.icp_similarity(sample(back, 5.0), sample(egg, 4.5), 6.0, iterations=6)
     assert abs(meshes.fit_scale(fit) / 1.1 - 1) < 0.03
     assert np.linalg.norm(back.reshape(-1, 3) @ fit[0].T + fit[1] - egg.reshape(-1, 3), axis=1).mean() < 2
+
+
+def plain_smooth(vertices, triangles, weights):
+    """The filter by dense matrices."""
+    n = len(vertices)
+    near = np.zeros((n, n))
+    for a, b, c in triangles:
+        for i, j in ((a, b), (b, c), (c, a)):
+            near[i, j] += 1
+            near[j, i] += 1
+    half = (np.eye(n) + near / near.sum(1, keepdims=True)) / 2
+    terms = [vertices, half @ vertices]
+    while len(terms) < len(weights):
+        terms.append(2 * half @ terms[-1] - terms[-2])
+    return sum(w * t for w, t in zip(weights, terms, strict=False))
+
+
+def test_smoothing(spark):
+    n = 8
+    x, y, z = (c - n / 2 for c in centres((n,) * 3))
+    blocky = table(spark, (x * x + y * y + z * z < 6).astype(float))
+    mesh = surface.nets(blocky, 0.5).cache()
+    got = smoothing.corners(smoothing.smooth(mesh, 0.35, 6, preserve_volume=False), ["series"]).toPandas().set_index("id")
+    start = smoothing.corners(mesh, ["series"]).toPandas().set_index("id")
+    place = {k: i for i, k in enumerate(start.index)}
+    triangles = [tuple(place[r[k]] for k in "abc") for r in mesh.select("a", "b", "c").collect()]
+    want = plain_smooth(start[["x", "y", "z"]].to_numpy(), triangles, smoothing.filter_weights(6, 10 ** (-4 * 0.35)))
+    assert np.allclose(got.loc[start.index, ["x", "y", "z"]].to_numpy(), want)
+    kept = smoothing.smooth(mesh, 0.5, 5)
+    volume = lambda t: surface.measures(t).first()["volume"]
+    assert abs(volume(kept) / volume(mesh) - 1) < 2e-3
+    assert smoothing.smooth(mesh, 0).count() == mesh.count()
+
+
+def test_filter_weights():
+    for n, band in ((5, 0.1), (20, 0.01), (20, 10 ** (-4 * 0.35)), (40, 0.5)):
+        w = smoothing.filter_weights(n, band)
+        gain = lambda theta: w @ np.cos(np.arange(n + 1) * theta)  # noqa: B023, E731
+        assert abs(gain(np.arccos(1 - band / 2)) - 1) < 2e-3 and abs(gain(np.pi)) < 0.1
+    for bad, name in (((0, 0.1), "iterations"), ((5, 2.0), "passband"), ((5, 0.0), "passband")):
+        with pytest.raises(ValueError, match=f"smooth-{name}"):
+            smoothing.filter_weights(*bad)
