@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import orientation
-from ..operators import meshes, slicefill, surface, voxels
+from ..operators import meshes, slicefill, smoothing, surface, voxels
 from .registry import query
 from .tables import domain
 
@@ -227,3 +227,9 @@ def voxels_there_and_back(spark: S, d: str) -> D:
 def crossing_segments(spark: S, d: str) -> D:
     s = domain(spark, d, "spots").select("series", F.col("point_id").alias("segment_id"), "px", "py", "pz", (F.col("px") + 7.2).alias("qx"), (F.col("py") + 9.6).alias("qy"), F.col("pz").alias("qz"))
     return meshes.crossings(s, domain(spark, d, "triangles"), 4.0).select("segment_id", "crosses")
+
+
+@query(f"{_vertex_sql().rsplit(' SELECT series, x AS cx', 1)[0]} SELECT series, count(*) AS n_vertices FROM p0 GROUP BY 1", "solids")
+def smoothed_vertices(spark: S, d: str) -> D:
+    mesh = surface.nets(domain(spark, d, "solids"), ISO)
+    return smoothing.corners(smoothing.smooth(mesh, 0.3, 4, preserve_volume=False), ["series"]).groupBy("series").agg(F.count("*").alias("n_vertices"))
