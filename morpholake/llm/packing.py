@@ -235,7 +235,7 @@ def sweep(rows: DataFrame) -> DataFrame:
         most = max((room for _, room, _ in closed + open_gaps), default=0)
         yield _rows([*made, (None, None, most, matched, units, alone, shortest)], schema)
 
-    return map_batches(rows, run, T.StructType.fromDDL(SWEPT))
+    return rows.mapInArrow(run, T.StructType.fromDDL(SWEPT))  # a few numbers per row: no memory to hand back
 
 
 def _rows(made: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
