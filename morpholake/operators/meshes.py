@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, dealt
 
 V3 = tuple[Column, Column, Column]
 
@@ -69,6 +69,15 @@ def _spread(rows: DataFrame, cells: list[Column]) -> DataFrame:
 CELL = ["_cx", "_cy", "_cz"]
 
 
+CORNERS = [f"{k}{c}" for k in "abc" for c in "xyz"]
+
+
+def _box() -> tuple[list[Column], list[Column]]:
+    """The least and greatest corner of a triangle's box."""
+    low, high = ([f(*(F.col(f"{k}{c}") for k in "abc")) for c in "xyz"] for f in (F.least, F.greatest))
+    return low, high
+
+
 def surface_distance(points: DataFrame, triangles: DataFrame, reach: float, by: tuple[str, ...] = ("series",)) -> DataFrame:
     """points (by, point_id, px, py, pz) with distance: to the nearest triangle of the same by within reach; farther reads as reach.
 
@@ -95,23 +104,33 @@ def surface_distance(points: DataFrame, triangles: DataFrame, reach: float, by:
 def crossings(segments: DataFrame, triangles: DataFrame, cell: float, by: tuple[str, ...] = ("series",), skip: float = 0.0) -> DataFrame:
     """segments (by, segment_id, px, py, pz to qx, qy, qz) with crosses: whether one crosses a triangle more than skip from its start.
 
-    A segment asks the cells around points half a cell apart on it; a triangle lies in the cells of its box."""
-    low, high = ([f(*(F.col(f"{k}{c}") for k in "abc")) for c in "xyz"] for f in (F.least, F.greatest))
-    laid = _spread(triangles.select(*by, *(f"{k}{c}" for k in "abc" for c in "xyz")), _cells(low, high, cell))
-    p, q = place("p"), place("q")
-    length = F.sqrt(_dot(_sub(q, p), _sub(q, p)))
-    rows = segments.withColumn("_l", length).filter(F.col("_l") > skip)
-    steps = F.ceil(F.col("_l") / (cell / 2)).cast("int")
-    rows = rows.withColumn("_t", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda i: i / steps)))
-    for c in "xyz":
-        at = F.floor((F.col(f"p{c}") + F.col("_t") * (F.col(f"q{c}") - F.col(f"p{c}"))) / cell)
-        rows = rows.withColumn(f"_c{c}", at)
-    rows = rows.drop("_t").distinct()
-    for c in "xyz":
-        rows = rows.withColumn(f"_c{c}", F.explode(F.array(*(F.col(f"_c{c}") + k for k in (-1, 0, 1)))))
-    met = rows.distinct().join(laid, [*by, *CELL])
-    d = tuple(x / F.col("_l") for x in _sub(q, p))
+    Rays may be given instead: by a unit direction dx, dy, dz and a length l in place of the end, which are then taken as they
+    are.  A segment lies in the cells that it passes, a triangle in those of its box that its plane cuts; a semi-join in a cell
+    ends at the first crossing.  Equal segments ask once."""
+    p = place("p")
+    if "l" in segments.columns:
+        way = [*by, "px", "py", "pz", "dx", "dy", "dz", "l"]
+        rows = segments.select(*way).distinct().withColumn("_l", F.col("l").cast("double")).withColumns({f"_d{c}": F.col(f"d{c}").cast("double") for c in "xyz"})
+    else:
+        way = [*by, "px", "py", "pz", "qx", "qy", "qz"]
+        q = place("q")
+        rows = segments.select(*way).distinct().withColumn("_l", F.sqrt(_dot(_sub(q, p), _sub(q, p))))
+        rows = rows.withColumns({f"_d{c}": x / F.col("_l") for c, x in zip("xyz", _sub(q, p), strict=True)})
+    slack = cell * 1e-6
+    low, high = _box()
+    laid = _spread(dealt(triangles.select(*by, *CORNERS)), _cells([c - slack for c in low], [c + slack for c in high], cell))
     a, b, c = place("a"), place("b"), place("c")
+    n, centre = _cross(_sub(b, a), _sub(c, a)), tuple((F.col(k) + 0.5) * cell for k in CELL)
+    wide = sum((F.abs(x) * (cell / 2 + slack + 1e-9 * F.abs(y)) for x, y in zip(n, _sub(centre, a), strict=True)), F.lit(0.0))
+    laid = laid.filter(F.abs(_dot(_sub(centre, a), n)) <= wide)
+
+    rows = rows.filter(F.col("_l") > skip)
+    steps = F.ceil(F.col("_l") / (cell / 2)).cast("int")
+    rows = rows.withColumn("_t", F.explode(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1)))
+    ends = [[F.col(f"p{x}") + (F.col("_t") + k) * F.col("_l") / steps * F.col(f"_d{x}") for x in "xyz"] for k in (0, 1)]
+    between = [[f(u, v) + s for u, v in zip(*ends, strict=True)] for f, s in ((F.least, -slack), (F.greatest, slack))]
+    asked = _spread(rows, _cells(*between, cell)).drop("_t").distinct()
+    d = place("_d")
     e1, e2 = _sub(b, a), _sub(c, a)
     h = _cross(d, e2)
     det = _dot(e1, h)
@@ -119,8 +138,13 @@ def crossings(segments: DataFrame, triangles: DataFrame, cell: float, by: tuple[
     r = _cross(s, e1)
     u, v, t = _dot(s, h) / det, _dot(d, r) / det, _dot(e2, r) / det
     hit = (F.abs(det) >= 1e-12) & u.between(0, 1) & (v >= 0) & (u + v <= 1) & (t > skip) & (t < F.col("_l"))
-    crossed = met.filter(hit).select(*by, "segment_id").distinct().withColumn("crosses", F.lit(True))
-    return segments.join(crossed, [*by, "segment_id"], "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
+    left, right = dealt(asked, *by, *CELL), dealt(laid, *by, *CELL).select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(by)), *(F.col(k).alias(f"{k}t") for k in CELL), *CORNERS)
+    same = [F.col(k) == F.col(f"_by{i}") for i, k in enumerate(by)] + [F.col(k) == F.col(f"{k}t") for k in CELL]
+    on = hit
+    for x in same:
+        on = x & on
+    crossed = left.join(right.hint("merge"), on, "left_semi").select(*way).distinct().withColumn("crosses", F.lit(True))
+    return segments.join(crossed, way, "left").select(*segments.columns, F.coalesce("crosses", F.lit(False)).alias("crosses"))
 
 
 def surface_samples(triangles: DataFrame, step: float) -> DataFrame:

@@ -225,7 +225,7 @@ def voxels_there_and_back(spark: S, d: str) -> D:
   SELECT point_id, l, (sx * hx + sy * hy + sz * hz) / det AS u, (dx * rx + dy * ry + dz * rz) / det AS v, (fx * rx + fy * ry + fz * rz) / det AS t FROM (SELECT *, sy * ez - sz * ey AS rx, sz * ex - sx * ez AS ry, sx * ey - sy * ex AS rz, nullif(ex * hx + ey * hy + ez * hz, 0) AS det FROM (
   SELECT *, dy * fz - dz * fy AS hx, dz * fx - dx * fz AS hy, dx * fy - dy * fx AS hz FROM (SELECT point_id, 12.0 AS l, 0.6 AS dx, 0.8 AS dy, 0.0 AS dz, bx - ax AS ex, "by" - ay AS ey, bz - az AS ez, cx - ax AS fx, cy - ay AS fy, cz - az AS fz, px - ax AS sx, py - ay AS sy, pz - az AS sz FROM spots s LEFT JOIN triangles t USING (series))))) GROUP BY 1""", "spots", "triangles")
 def crossing_segments(spark: S, d: str) -> D:
-    s = domain(spark, d, "spots").select("series", F.col("point_id").alias("segment_id"), "px", "py", "pz", (F.col("px") + 7.2).alias("qx"), (F.col("py") + 9.6).alias("qy"), F.col("pz").alias("qz"))
+    s = domain(spark, d, "spots").select("series", F.col("point_id").alias("segment_id"), "px", "py", "pz", *(F.lit(v).alias(k) for k, v in (("dx", 0.6), ("dy", 0.8), ("dz", 0.0), ("l", 12.0))))
     return meshes.crossings(s, domain(spark, d, "triangles"), 4.0).select("segment_id", "crosses")
 
 
