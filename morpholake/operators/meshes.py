@@ -78,27 +78,34 @@ def _box() -> tuple[list[Column], list[Column]]:
     return low, high
 
 
-def surface_distance(points: DataFrame, triangles: DataFrame, reach: float, by: tuple[str, ...] = ("series",)) -> DataFrame:
+def surface_distance(points: DataFrame, triangles: DataFrame, reach: float, by: tuple[str, ...] = ("series",), levels: int = 3) -> DataFrame:
     """points (by, point_id, px, py, pz) with distance: to the nearest triangle of the same by within reach; farther reads as reach.
 
-    Triangles are laid into the cells of their boxes, in cells of a quarter of the reach, and a point asks the ring of cells
-    that the best so far still leaves open: its own cell and those beside it first, then up to the whole reach."""
-    size, found = reach / 4, None
-    low, high = ([f(*(F.col(f"{k}{c}") for k in "abc")) for c in "xyz"] for f in (F.least, F.greatest))
-    laid = cut(_spread(triangles.select(*by, *(f"{k}{c}" for k in "abc" for c in "xyz")), _cells(low, high, size)))
-    waiting = points.select(*by, "point_id", "px", "py", "pz")
-    for ring in (1, 2, 4):
-        around = [F.sequence(F.floor(F.col(f"p{c}") / size) - ring, F.floor(F.col(f"p{c}") / size) + ring) for c in "xyz"]
-        asked = _spread(waiting, around)
-        hits = squared_distance(asked.join(laid, [*by, *CELL])).groupBy(*by, "point_id").agg(F.min("d2").alias("d2"))
-        best = cut(waiting.join(hits, [*by, "point_id"], "left"))
-        settled = F.col("d2") <= (ring * size) ** 2  # nothing outside the ring is nearer
-        rest = best.filter(~F.coalesce(settled, F.lit(False)))
-        done = best.filter(F.coalesce(settled, F.lit(False))) if ring < 4 else best
-        done = done.select(*by, "point_id", F.least(F.lit(float(reach)), F.coalesce(F.sqrt("d2"), F.lit(float(reach)))).alias("distance"))
-        found = done if found is None else found.unionByName(done)
-        waiting = rest.select(*by, "point_id", "px", "py", "pz")
-    return found
+    Cells that hold points keep the triangles that can be nearest to a place in them: those no farther from the cell's centre
+    than the nearest one and the cell's diagonal.  The first cells are as wide as the reach; each level halves them and looks
+    among the triangles of the cell above, so that a point at last meets a short list.  Points at one place ask once."""
+    place_of = [*by, "px", "py", "pz"]
+    places = cut(points.select(*place_of).distinct())
+    low, high = _box()
+    laid = None
+    for k in range(levels):
+        size = reach / 2**k
+        radius = size * 3**0.5 / 2 * (1 + 1e-6)
+        if laid is None:
+            laid = _spread(dealt(triangles.select(*by, *CORNERS)), _cells([c - reach for c in low], [c + reach for c in high], size))
+        else:
+            for c in CELL:
+                laid = laid.withColumn(c, F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)))
+        held = places.select(*by, *(F.floor(F.col(f"p{c}") / size).alias(f"_c{c}") for c in "xyz")).distinct()
+        laid = laid.join(held, [*by, *CELL], "left_semi").withColumns({f"_o{c}": (F.col(f"_c{c}") + 0.5) * size for c in "xyz"})
+        off = squared_distance(laid, "_o").withColumn("_off", F.sqrt("d2")).drop("d2", "_ox", "_oy", "_oz")
+        off = cut(off.filter(F.col("_off") <= reach + radius))
+        least = off.groupBy(*by, *CELL).agg((F.min("_off") * (1 + 1e-9) + 2 * radius).alias("_most"))
+        laid = dealt(off.join(least, [*by, *CELL]).filter(F.col("_off") <= F.col("_most")).drop("_off", "_most"), *([*by, *CELL] if k == levels - 1 else []))
+    asked = places.withColumns({f"_c{c}": F.floor(F.col(f"p{c}") / size) for c in "xyz"})
+    hits = squared_distance(dealt(asked, *by, *CELL).join(laid.hint("merge"), [*by, *CELL])).groupBy(*place_of).agg(F.min("d2").alias("d2"))
+    found = points.select(*by, "point_id", "px", "py", "pz").join(hits, place_of, "left")
+    return found.select(*by, "point_id", F.least(F.lit(float(reach)), F.coalesce(F.sqrt("d2"), F.lit(float(reach)))).alias("distance"))
 
 
 def crossings(segments: DataFrame, triangles: DataFrame, cell: float, by: tuple[str, ...] = ("series",), skip: float = 0.0) -> DataFrame:
