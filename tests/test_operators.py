@@ -204,3 +204,12 @@ def test_running_values_of_one_large_group(spark):
     for g, low, mid in running.percentile(df, ["g"], "at", low=0.1, mid=0.5).collect():
         values = [r[2] for r in rows if r[0] == g]
         assert abs(low - np.percentile(values, 10)) < 1e-9 and abs(mid - np.percentile(values, 50)) < 1e-9
+
+
+def test_entries_on_one_interval_are_one_before_they_meet_variants(spark):
+    entries = spark.createDataFrame([(k, "c", 5, 70, "A" if k == 3 else "B", k * 100, 1) for k in range(9, 2, -1)] + [(1, "c", 60, 61, "C", 7, -1)], "entry_no long, chrom string, start long, end long, chain string, res_start long, strand int")
+    variants = spark.createDataFrame([(1, "c", 5), (2, "c", 5), (3, "c", 60), (4, "c", 61), (5, "c", 71), (6, None, 6)], "variant_id long, chrom string, pos long")
+    linked = joins.link_variants(variants, entries)
+    assert {r.variant_id: (r.chain, r.res_seq) for r in linked.collect()} == {1: ("A", 300), 2: ("A", 300), 3: ("C", 7), 4: ("C", 6), 5: (None, None), 6: (None, None)}
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate [chrom") > plan.index("Generate explode")
