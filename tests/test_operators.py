@@ -213,3 +213,11 @@ def test_entries_on_one_interval_are_one_before_they_meet_variants(spark):
     assert {r.variant_id: (r.chain, r.res_seq) for r in linked.collect()} == {1: ("A", 300), 2: ("A", 300), 3: ("C", 7), 4: ("C", 6), 5: (None, None), 6: (None, None)}
     plan = linked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate [chrom") > plan.index("Generate explode")
+
+
+def test_neighbours_of_copies_without_broadcasts(spark):
+    at = [(0, 0, 0), (0, 0, 0), (1, 0, 0), (1, 0, 0), (9, 9, 9), (3, 0, 0), (None, 0, 0), (None, 0, 0)]
+    points = spark.createDataFrame([(k, 1, *(None if c is None else float(c) for c in p)) for k, p in enumerate(at)], "point_id long, block int, x double, y double, z double")
+    pairs = joins.neighbours(points, 2.0, block="block")
+    assert sorted((r.a, r.b, r.distance) for r in pairs.collect()) == [(0, 1, 0.0), (0, 2, 1.0), (0, 3, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 3, 0.0), (2, 5, 2.0), (3, 5, 2.0)]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
