@@ -221,3 +221,15 @@ def test_neighbours_of_copies_without_broadcasts(spark):
     pairs = joins.neighbours(points, 2.0, block="block")
     assert sorted((r.a, r.b, r.distance) for r in pairs.collect()) == [(0, 1, 0.0), (0, 2, 1.0), (0, 3, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 3, 0.0), (2, 5, 2.0), (3, 5, 2.0)]
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pockets_by_places_equal_those_of_pairs(spark):
+    from random import Random
+
+    random = Random(4)
+    rows = [(k, random.randrange(2), *(float(random.randrange(5)) for _ in "xyz")) for k in range(150)] + [(150, 0, None, 0.0, 0.0), (151, 0, None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "point_id long, block int, x double, y double, z double")
+    for buried, least in ((6, 1), (9, 3)):
+        want = graph.pockets(points.selectExpr("point_id as node"), joins.neighbours(points, 1.0, block="block"), buried, least)
+        got = joins.pockets_near(points, 1.0, buried, least, block="block")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
