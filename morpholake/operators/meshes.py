@@ -174,21 +174,24 @@ def surface_samples(triangles: DataFrame, step: float) -> DataFrame:
 def nearest_points(queries: DataFrame, points: DataFrame, cell: float, by: tuple[str, ...] = ("series",)) -> DataFrame:
     """Each query (by, query_id, qx, qy, qz) with its nearest point (by, point_id, px, py, pz) and d2; the least point_id among equals.
 
-    A query asks a ring of cells, then one twice as wide, and is settled when its best is nearer than the ring's edge; those
+    Points at one place are one, that of the least point_id, and queries at one place ask once.  A query asks a ring of cells, then one twice as wide, and is settled when its best is nearer than the ring's edge; those
     that are farther from all points go down a pyramid of boxes (_far)."""
     at = lambda k: [F.floor(F.col(f"{k}{c}") / cell).alias(f"_c{c}") for c in "xyz"]
-    laid = cut(points.select(*by, "point_id", "px", "py", "pz", *at("p")))
-    waiting, out = queries.select(*by, "query_id", "qx", "qy", "qz"), None
+    at_place = [*by, "qx", "qy", "qz"]
+    laid = cut(points.groupBy(*by, "px", "py", "pz").agg(F.min("point_id").alias("point_id")).select(*by, "point_id", "px", "py", "pz", *at("p")))
+    asking, out = queries.select(*by, "query_id", "qx", "qy", "qz"), None
+    waiting = cut(asking.groupBy(*at_place).agg(F.min("query_id").alias("query_id")).select(*by, "query_id", "qx", "qy", "qz"))
     best_of = lambda met: met.groupBy(*by, "query_id").agg(F.min(F.struct(_dot(_sub(place("q"), place("p")), _sub(place("q"), place("p"))).alias("d2"), "point_id", "px", "py", "pz")).alias("m"))
     for ring in (1, 2):
         near = [F.sequence(F.floor(F.col(f"q{c}") / cell) - ring, F.floor(F.col(f"q{c}") / cell) + ring) for c in "xyz"]
-        best = cut(waiting.join(best_of(_spread(waiting, near).join(laid, [*by, *CELL])), [*by, "query_id"], "left"))
+        best = cut(waiting.join(best_of(dealt(_spread(waiting, near), *by, *CELL).join(laid.hint("merge"), [*by, *CELL])), [*by, "query_id"], "left"))
         settled = F.coalesce(F.col("m.d2") <= (ring * cell) ** 2, F.lit(False))
         done = best.filter(settled)
         out = done if out is None else out.unionByName(done)
         waiting = best.filter(~settled).drop("m")
     far = _far(waiting, laid, cell, by)
-    return (out if far is None else out.unionByName(waiting.join(best_of(far.join(laid, [*by, *CELL])), [*by, "query_id"]))).select(*by, "query_id", "qx", "qy", "qz", "m.*")
+    found = out if far is None else out.unionByName(waiting.join(best_of(far.join(laid, [*by, *CELL])), [*by, "query_id"]))
+    return asking.join(found.drop("query_id"), at_place).select(*by, "query_id", "qx", "qy", "qz", "m.*")
 
 
 def _far(queries: DataFrame, laid: DataFrame, cell: float, by: tuple[str, ...]) -> DataFrame | None:
