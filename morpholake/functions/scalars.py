@@ -99,13 +99,13 @@ def tag_key(group: Column, element: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """1.5 MB and the like; a dash for null."""
+    """1.5 MB and the like; a dash for null.  Halves go to the even digit, as in C: Java's own format would take them up."""
     return (
         F.when(n.isNull(), "—")
         .when(n < 1024, F.format_string("%d B", n))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024.0**2))
-        .otherwise(F.format_string("%.1f GB", n / 1024.0**3))
+        .when(n < 1024**2, F.format_string("%.1f KB", F.bround(n / 1024.0, 1)))
+        .when(n < 1024**3, F.format_string("%.1f MB", F.bround(n / 1024.0**2, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(n / 1024.0**3, 1)))
     )
 
 

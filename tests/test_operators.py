@@ -233,3 +233,9 @@ def test_pockets_by_places_equal_those_of_pairs(spark):
         want = graph.pockets(points.selectExpr("point_id as node"), joins.neighbours(points, 1.0, block="block"), buried, least)
         got = joins.pockets_near(points, 1.0, buried, least, block="block")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
+
+
+def test_byte_texts_take_halves_to_the_even_digit(spark):
+    n = [1023, 1280, 1792, 1281, 1024**2 * 5 // 4, 1024**2 * 7 // 4, 1024**3 * 9 // 4, None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(n)], "k long, n long").select("k", scalars.bytes_text(F.col("n")).alias("t")).orderBy("k")
+    assert [r.t for r in rows.collect()] == ["1023 B", "1.2 KB", "1.8 KB", "1.3 KB", "1.2 MB", "1.8 MB", "2.2 GB", "—"]
