@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .graph import cut
 
@@ -48,9 +49,14 @@ def by_bricks(rows: DataFrame, run: Callable[[tuple[int, int, int], Arrays], Arr
     keys = [*by, "brick_x", "brick_y", "brick_z"]
     kinds = T.StructType([*(rows.schema[b] for b in by), *T.StructType.fromDDL(out)])
 
+    nothing = to_arrow_schema(kinds).empty_table()
+
     def brick(table: pa.Table) -> pa.Table:
         columns = {c: table.column(c).to_numpy() for c in table.column_names if c not in keys}
-        made = run(tuple(table.column(f"brick_{c}")[0].as_py() for c in "xyz"), columns)
+        at = tuple(table.column(f"brick_{c}")[0].as_py() for c in "xyz")
+        if not np.logical_and.reduce([columns[c] // size == b for c, b in zip("xyz", at, strict=True)]).any():
+            return nothing  # a brick of halo rows only makes nothing
+        made = run(at, columns)
         n = len(next(iter(made.values())))
         group = [pa.array([table.column(b)[0].as_py()] * n, table.column(b).type) for b in by]
         return pa.table([*group, *(pa.array(a) for a in made.values())], names=[*by, *made])

@@ -43,3 +43,21 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries()) and set(SQL) <= set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_solids_are_made_by_many_tasks(spark, sf):
+    from morpholake.plans.tables import domain
+
+    assert domain(spark, sf, "solids").rdd.getNumPartitions() >= 4
+
+
+def test_bricks_of_halo_rows_alone_are_passed_over(spark):
+    from morpholake.operators import surface
+
+    def run(brick, rows):
+        if brick != (0, 0, 0):
+            raise ValueError(f"brick {brick}")
+        return {"n": rows["x"]}
+
+    rows = spark.sql("SELECT 1 AS series, 0L AS x, 0L AS y, 0L AS z")
+    assert [tuple(r) for r in surface.by_bricks(rows, run, "n long", ("series",)).collect()] == [(1, 0)]
