@@ -134,19 +134,22 @@ def oblique_projection(rays: DataFrame, grid: DataFrame, steps: int, mode: str =
 def rasterize(contours: DataFrame, width: int, by: tuple[str, ...] = ("roi", "z")) -> DataFrame:
     """by, x, y: pixels whose centre lies inside closed contours (contour, order, px, py), even-odd over all of one plane.
 
-    An edge meets the rows between its ends; the crossings of a row, sorted, pair up to spans."""
+    An edge meets the rows between its ends; the crossings of a row, sorted, pair up to spans, which share no pixel.  A small
+    file of contours makes many crossings: these are dealt over all tasks and sorted there, and no pixels are held."""
     from pyspark.sql import Window
 
+    from .graph import dealt
+
     ring = Window.partitionBy(*by, "contour")
     next_ = lambda c: F.coalesce(F.lead(c).over(ring.orderBy("order")), F.first(c).over(ring.orderBy("order")))
-    edges = contours.withColumn("qx", next_("px")).withColumn("qy", next_("py")).filter("py <> qy")
+    edges = dealt(contours, *by, "contour").withColumn("qx", next_("px")).withColumn("qy", next_("py")).filter("py <> qy")
     low, high = F.least("py", "qy"), F.greatest("py", "qy")
     # A row's centre y crosses an edge where low <= y < high, so a vertex counts once.
     rows = edges.withColumn("y", F.explode(F.when(F.ceil(low) <= F.ceil(high) - 1, F.sequence(F.ceil(low), F.ceil(high) - 1)))).withColumn("at", F.col("px") + (F.col("y") - F.col("py")) / (F.col("qy") - F.col("py")) * (F.col("qx") - F.col("px")))
     row = Window.partitionBy(*by, "y").orderBy("at", "contour", "order")
-    spans = rows.withColumn("k", F.row_number().over(row)).withColumn("end", F.lead("at").over(row)).filter("k % 2 = 1 and end is not null")
+    spans = dealt(rows.select(*by, "contour", "order", "y", "at"), *by, "y").withColumn("k", F.row_number().over(row)).withColumn("end", F.lead("at").over(row)).filter("k % 2 = 1 and end is not null")
     first, last = F.greatest(F.ceil("at"), F.lit(0)), F.least(F.ceil("end") - 1, F.lit(width - 1))
-    return spans.withColumn("x", F.explode(F.when(first <= last, F.sequence(first, last)))).select(*by, "x", "y").distinct()
+    return spans.withColumn("x", F.explode(F.when(first <= last, F.sequence(first, last)))).select(*by, "x", "y")
 
 
 def run_lengths(pixels: DataFrame, by: list[str], order: str, v: str = "v") -> DataFrame:

@@ -239,3 +239,13 @@ def test_byte_texts_take_halves_to_the_even_digit(spark):
     n = [1023, 1280, 1792, 1281, 1024**2 * 5 // 4, 1024**2 * 7 // 4, 1024**3 * 9 // 4, None]
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(n)], "k long, n long").select("k", scalars.bytes_text(F.col("n")).alias("t")).orderBy("k")
     assert [r.t for r in rows.collect()] == ["1023 B", "1.2 KB", "1.8 KB", "1.3 KB", "1.2 MB", "1.8 MB", "2.2 GB", "—"]
+
+
+def test_rasterized_contours_hold_no_pixels(spark):
+    """Two overlapping boxes, even-odd: no pixel twice, without an aggregate over pixels, and over all tasks of a shuffle."""
+    box = lambda roi, k, a, b: [(roi, 0, k, i, float(x), float(y)) for i, (x, y) in enumerate(((a, a), (b, a), (b, b), (a, b)))]
+    contours = spark.createDataFrame([*box(1, 0, 1, 5), *box(1, 1, 3, 7), *box(2, 0, 0, 2)], "roi int, z int, contour int, order int, px double, py double").coalesce(1)
+    mask = voxels.rasterize(contours, 6)
+    one = {(x, y) for x in range(6) for y in range(8) if (1 <= x < 5 and 1 <= y < 5) != (3 <= x < 7 and 3 <= y < 7)}
+    assert sorted((r.roi, r.x, r.y) for r in mask.collect()) == sorted([(1, *p) for p in one] + [(2, x, y) for x in range(2) for y in range(2)])
+    assert "Aggregate" not in mask._jdf.queryExecution().executedPlan().toString() and mask.rdd.getNumPartitions() >= 4
