@@ -196,8 +196,8 @@ def mmcif_atoms(spark: S, d: str) -> D:
     p = base(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size", F.pmod("p_partkey", F.lit(7)).alias("part"))
     row = F.format_string("ATOM %d C \"CA\" 'ALA' %s %d %d.000 1.5 %s 20.50", "k", F.substring(F.lit("ABCD"), (1 + F.col("k") % 4).cast("int"), F.lit(1)), "p_size", "p_size", F.format_string("%.3f", F.col("k") % 100 / 8))
     head = "data_x\nloop_\n" + "".join(f"_atom_site.{c}\n" for c in ("group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv"))
-    lines = p.groupBy("part").agg(F.concat(F.lit(head), F.array_join(F.collect_list(row), "\n"), F.lit("\n#\n")).alias("text"), F.concat(F.first("part").cast("string"), F.lit(".cif")).alias("file"))
-    atoms = text.mmcif(spark, files.write(lines, "file", lambda r: r["text"].encode(), "cif"))
+    lines = p.select(F.concat(F.col("part").cast("string"), F.lit(".cif")).alias("file"), row.alias("line"))
+    atoms = text.mmcif(spark, files.write_lines(lines, "file", "line", "cif", head, "#\n"))
     return atoms.select(*(F.col(c) for c in ("serial", "atom_name", "chain", "res_seq", "x", "z")))
 
 

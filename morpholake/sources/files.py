@@ -5,12 +5,14 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
-from ..operators.graph import _shared
+from ..operators.graph import _shared, dealt
 from .dicom import EXPLICIT, LONG_VR
 
 
@@ -40,6 +42,30 @@ def write(rows: DataFrame, name: str, content: Callable[[dict], bytes], what: st
     return folder
 
 
+def write_lines(rows: DataFrame, name: str, line: str, what: str, head: str = "", tail: str = "") -> str:
+    """The folder (in the shared one) of a text file for each value of the column `name`: head, a line for each of its rows, tail.
+
+    A task sorts its rows by file, which may spill, and writes them in passing, so that a file may be larger than its memory."""
+    folder = f"{_shared(rows.sparkSession)}/{what}-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        pairs = (p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for file, own in groupby(pairs, itemgetter(0)):
+            beside = f"{root}/_{uuid.uuid4().hex}"
+            with store.open_output_stream(beside, compression=None, buffer_size=1 << 20) as out:
+                out.write(head.encode())
+                for _, one in own:
+                    out.write(f"{one}\n".encode())
+                out.write(tail.encode())
+            store.move(beside, f"{root}/{file}")
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["n"])
+
+    dealt(rows.select(name, line), name).sortWithinPartitions(name).mapInArrow(run, "n long").agg({"n": "sum"}).first()
+    return folder
+
+
 def element(group: int, number: int, kind: str, value: bytes | str | float) -> bytes:
     """A DICOM element in explicit little endian: text is padded, a number is written as its kind."""
     if isinstance(value, int | float):

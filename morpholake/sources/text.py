@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,35 +95,94 @@ def residues(atoms: DataFrame) -> DataFrame:
 
 
 ATOM_SITE = T.StructType([T.StructField("serial", T.LongType()), T.StructField("atom_name", T.StringType()), T.StructField("res_name", T.StringType()), T.StructField("chain", T.StringType()), T.StructField("res_seq", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in "xyz"), T.StructField("bfactor", T.DoubleType()), T.StructField("element", T.StringType())])
-TOKEN = re.compile(r"^;(.*?)\n;|'((?:[^']|'(?=\S))*)'(?=\s|$)|\"((?:[^\"]|\"(?=\S))*)\"(?=\s|$)|#[^\n]*|(\S+)", re.S | re.M)
+TOKEN = re.compile(r"'((?:[^']|'(?=\S))*)'(?=\s|$)|\"((?:[^\"]|\"(?=\S))*)\"(?=\s|$)|#.*|(\S+)", re.S)
+#: Rows that a task makes into one batch.
+BATCH = 10_000
+
+
+def cif_tokens(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """(word, whether it is bare) of lines without their ends; no more than a line or a text between semicolons is held."""
+
+    def words(line: str) -> Iterator[tuple[str, bool]]:
+        if not any(c in line for c in "'\"#"):
+            yield from ((w, True) for w in line.split())
+            return
+        for m in TOKEN.finditer(line):
+            if m[3] is not None:
+                yield m[3], True
+            elif not m[0].startswith("#"):
+                yield m[1] if m[1] is not None else m[2], False
+
+    held: list[str] | None = None
+    for line in lines:
+        if held is None and line.startswith(";"):
+            held = [line]
+        elif held is None:
+            yield from words(line)
+        elif line.startswith(";"):
+            yield "\n".join(held)[1:], False
+            yield from words(line[1:])
+            held = None
+        else:
+            held.append(line)
+    for line in held or []:  # never closed, so no text
+        yield from words(line)
+
+
+def cif_stream(lines: Iterable[str]) -> Iterator[tuple[list[str], Iterator[list[str]]]]:
+    """(names, rows) of every loop of a CIF file; a single item counts as a loop of one row.  Rows are read as they are asked
+    for, and what has not been asked for is passed over."""
+    tokens = cif_tokens(lines)
+    now = next(tokens, None)
+
+    def values(n: int) -> Iterator[list[str]]:
+        nonlocal now
+        row: list[str] = []
+        while now is not None and not (now[1] and (now[0].startswith("_") or now[0].lower() == "loop_" or now[0].lower().startswith("data_"))):
+            row.append(now[0])
+            now = next(tokens, None)
+            if len(row) == n:
+                yield row
+                row = []
+
+    while now is not None:
+        word, bare = now
+        now = next(tokens, None)
+        if bare and word.lower() == "loop_":
+            names = []
+            while now is not None and now[1] and now[0].startswith("_"):
+                names.append(now[0])
+                now = next(tokens, None)
+            rows = values(len(names))
+            yield names, rows
+            for _ in rows:
+                pass
+        elif bare and word.startswith("_") and now is not None:
+            value, now = now[0], next(tokens, None)
+            yield [word], iter([[value]])
 
 
 def cif_loops(text: str) -> Iterator[tuple[list[str], list[list[str]]]]:
-    """(names, rows) of every loop of a CIF text; a single item counts as a loop of one row."""
-    tokens = [(m[4], True) if m[4] is not None else (next(g for g in m.groups()[:3] if g is not None), False) for m in TOKEN.finditer(text) if not m[0].startswith("#")]
-    k = 0
-    while k < len(tokens):
-        word, bare = tokens[k]
-        if bare and word.lower() == "loop_":
-            k += 1
-            names = []
-            while k < len(tokens) and tokens[k][1] and tokens[k][0].startswith("_"):
-                names.append(tokens[k][0])
-                k += 1
-            values = []
-            while k < len(tokens) and not (tokens[k][1] and (tokens[k][0].startswith("_") or tokens[k][0].lower() == "loop_" or tokens[k][0].lower().startswith("data_"))):
-                values.append(tokens[k][0])
-                k += 1
-            yield names, [values[i : i + len(names)] for i in range(0, len(values) - len(names) + 1, len(names))] if names else []
-        elif bare and word.startswith("_") and k + 1 < len(tokens):
-            yield [word], [[tokens[k + 1][0]]]
-            k += 2
-        else:
-            k += 1
+    """cif_stream of a whole text, with lists of rows."""
+    return ((names, list(rows)) for names, rows in cif_stream(text.split("\n")))
+
+
+def _cif_lines(uri: str) -> Iterator[str]:
+    """The lines of a file of any store, unpacked as its ending says, without their ends; the file is read in passing."""
+    store, place = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(place) as raw, io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline="\n") as lines:
+        for line in lines:
+            yield line.removesuffix("\n")
+
+
+def _cif_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
 
 
 def mmcif(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of pdb() from the atom_site loop, one task per file: author columns, else label columns; ATOM rows only."""
+    """The columns of pdb() from the atom_site loop: author columns, else label columns; ATOM rows only.
+
+    A task reads a file in passing and holds one batch of its atoms, however large the file."""
     arrow = pa.schema([("serial", pa.int64()), ("atom_name", pa.string()), ("res_name", pa.string()), ("chain", pa.string()), ("res_seq", pa.int32()), *((c, pa.float64()) for c in "xyz"), ("bfactor", pa.float64()), ("element", pa.string())])
 
     def number(s: str | None) -> float | None:
@@ -129,26 +191,31 @@ def mmcif(spark: SparkSession, path: str) -> DataFrame:
         except ValueError:
             return None
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                out: list[tuple] = []
-                for names, rows in cif_loops(text):
-                    short = [n.split(".")[-1] for n in names]
-                    if "_atom_site.Cartn_x" not in names:
-                        continue
-                    for row in rows:
-                        v = dict(zip(short, row, strict=False))
-                        get = lambda *keys, v=v: next((v[k] for k in keys if v.get(k) not in (None, "?", ".")), None)
-                        xyz = [number(v.get(f"Cartn_{c}")) for c in "xyz"]
-                        if v.get("group_PDB", "ATOM") == "ATOM" and None not in xyz:
-                            seq, serial = number(get("auth_seq_id", "label_seq_id")), number(get("id"))
-                            out.append((None if serial is None else int(serial), get("auth_atom_id", "label_atom_id"), get("auth_comp_id", "label_comp_id"), get("auth_asym_id", "label_asym_id"), None if seq is None else int(seq), *xyz, number(get("B_iso_or_equiv")), get("type_symbol")))
-                    break
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    return spark.read.text(path, wholetext=True).mapInArrow(run, ATOM_SITE)
+        for uri in (u for batch in batches for u in batch.column(0).to_pylist()):
+            out: list[tuple] = []
+            for names, rows in cif_stream(_cif_lines(uri)):
+                short = [n.split(".")[-1] for n in names]
+                if "_atom_site.Cartn_x" not in names:
+                    continue
+                for row in rows:
+                    v = dict(zip(short, row, strict=False))
+                    get = lambda *keys, v=v: next((v[k] for k in keys if v.get(k) not in (None, "?", ".")), None)
+                    xyz = [number(v.get(f"Cartn_{c}")) for c in "xyz"]
+                    if v.get("group_PDB", "ATOM") == "ATOM" and None not in xyz:
+                        seq, serial = number(get("auth_seq_id", "label_seq_id")), number(get("id"))
+                        out.append((None if serial is None else int(serial), get("auth_atom_id", "label_atom_id"), get("auth_comp_id", "label_comp_id"), get("auth_asym_id", "label_asym_id"), None if seq is None else int(seq), *xyz, number(get("B_iso_or_equiv")), get("type_symbol")))
+                        if len(out) >= BATCH:
+                            yield batch_of(out)
+                            out = []
+                break
+            if out:
+                yield batch_of(out)
+
+    return _cif_files(spark, path).mapInArrow(run, ATOM_SITE)
 
 
 CATEGORY = T.StructType([T.StructField("path", T.StringType()), T.StructField("category", T.StringType()), T.StructField("row_no", T.IntegerType()), T.StructField("items", T.MapType(T.StringType(), T.StringType()))])
@@ -159,33 +226,40 @@ def cif_categories(spark: SparkSession, path: str, names: list[str]) -> DataFram
     items, which together are one row.  An item without a value raises."""
     wanted = set(names)
 
-    def rows_of(text: str) -> Iterator[tuple[str, int, dict[str, str]]]:
-        found: dict[str, list[dict[str, str]]] = {}
-        for tags, rows in cif_loops(text):
+    def rows_of(lines: Iterable[str]) -> Iterator[tuple[str, int, dict[str, str]]]:
+        count: dict[str, int] = {}
+        first: dict[str, dict[str, str]] = {}  # a category's only row so far, which single items may still add to
+        for tags, rows in cif_stream(lines):
             category = tags[0][1:].partition(".")[0] if tags else ""
             if category not in wanted:
                 continue
             items = [t[len(category) + 2 :] for t in tags]
-            single = len(tags) == 1 and len(rows) == 1
-            own = found.setdefault(category, [])
-            if single and own and items[0] not in own[0] and len(own) == 1:
-                own[0][items[0]] = rows[0][0]
-            else:
-                own.extend(dict(zip(items, r, strict=True)) for r in rows)
-        for category, rows in found.items():
-            for k, row in enumerate(rows):
-                yield category, k, row
+            some = list(islice(rows, 2))
+            single = len(tags) == 1 and len(some) == 1
+            if single and category in first and items[0] not in first[category]:
+                first[category][items[0]] = some[0][0]
+                continue
+            for row in chain(some, rows):
+                made = dict(zip(items, row, strict=True))
+                k = count.get(category, 0)
+                count[category] = k + 1
+                if k == 0:
+                    first[category] = made
+                    continue
+                if k == 1:
+                    yield category, 0, first.pop(category)
+                yield category, k, made
+        for category, row in first.items():
+            yield category, 0, row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
-                made = list(rows_of(text))
-                if made:
-                    category, k, items = zip(*made, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(made)), pa.array(category), pa.array(k, pa.int32()), pa.array([list(i.items()) for i in items], pa.map_(pa.string(), pa.string()))], names=CATEGORY.names)
-
-    source = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return source.mapInArrow(run, CATEGORY)
+        for uri in (u for batch in batches for u in batch.column(0).to_pylist()):
+            rows = rows_of(_cif_lines(uri))
+            while made := list(islice(rows, BATCH)):
+                category, k, items = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(made)), pa.array(category), pa.array(k, pa.int32()), pa.array([list(i.items()) for i in items], pa.map_(pa.string(), pa.string()))], names=CATEGORY.names)
+
+    return _cif_files(spark, path).mapInArrow(run, CATEGORY)
 
 
 #: Items of an operator's matrix, row by row.

@@ -80,6 +80,25 @@ def test_both_structure_readers_agree(spark, tmp_path):
     assert text.residues(text.pdb(spark, str(tmp_path / "a.pdb"))).collect()[0].asDict() == {"chain": "A", "res_seq": 12, "res_name": "ALA", "first": 1}
 
 
+def test_cif_files_are_read_in_passing(spark, tmp_path):
+    """The rows of a loop come before the rest of its file has been asked for; a file of several batches is whole."""
+    read = []
+
+    def lines():
+        for k, line in enumerate(["loop_", "_a.x", "_a.y", *(f"{k} 'v {k}'" for k in range(100)), ";open", "b c"]):
+            read.append(k)
+            yield line
+
+    loops = text.cif_stream(lines())
+    names, rows = next(loops)
+    assert names == ["_a.x", "_a.y"] and next(rows) == ["0", "v 0"] and len(read) < 6
+    assert [list(r)[-1] for _, r in [(names, rows)]] == [[";open", "b"]] and next(loops, None) is None
+    atoms = "".join(f"ATOM {k} C CA ALA A 12 {k}.000 12.500 -3.000 20.50\n" for k in range(25_000))
+    put(tmp_path, "many atoms.cif", CIF[: CIF.index("ATOM 1 ")] + atoms + "#\n")
+    got = text.mmcif(spark, str(tmp_path / "many atoms.cif"))
+    assert got.agg(F.count("serial"), F.sum("x"), F.max("serial")).first()[:] == (25_000, sum(range(25_000)), 24_999)
+
+
 def test_cif_values():
     loops = dict((n[0], r) for n, r in text.cif_loops("_a.b 'it''s'\n_c.d\n;long\ntext\n;\nloop_\n_e.f\n_e.g\n1 \"x y\" # no\n2 z\n"))
     assert loops["_c.d"] == [["long\ntext"]] and loops["_e.f"] == [["1", "x y"], ["2", "z"]]
