@@ -249,3 +249,13 @@ def test_rasterized_contours_hold_no_pixels(spark):
     one = {(x, y) for x in range(6) for y in range(8) if (1 <= x < 5 and 1 <= y < 5) != (3 <= x < 7 and 3 <= y < 7)}
     assert sorted((r.roi, r.x, r.y) for r in mask.collect()) == sorted([(1, *p) for p in one] + [(2, x, y) for x in range(2) for y in range(2)])
     assert "Aggregate" not in mask._jdf.queryExecution().executedPlan().toString() and mask.rdd.getNumPartitions() >= 4
+
+
+def test_overlapping_equals_brute_force_in_lists(spark):
+    """Copies of an interval, an id given twice, intervals over several bins, turned round, below zero or with nulls."""
+    rows = [(100 * k, "chr1", 7, 150) for k in range(7)] + [(k, "chr1", 149, 151) for k in (5, 5, 900)] + [(11, "chr1", 150, 160), (12, "chr2", 7, 150), (1300, "chr1", 200, 60), (14, "chr1", 50, 260), (1500, "chr1", -70, 8), (None, "chr1", 7, 150), (1600, None, 7, 150), (1700, "chr1", None, 150), (1800, "chr1", 7, None)]
+    f = spark.createDataFrame(rows, "feature_id long, chrom string, start long, end_ long")
+    whole = [r for r in rows if None not in r]
+    want = sorted((a[0], b[0]) for a in whole for b in whole if a[0] % 100 == 0 and a[0] != b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+    for options in ({}, {"chunk": 2, "shares": 3}, {"width": 1000}):
+        assert sorted(map(tuple, joins.overlapping(f.filter("feature_id % 100 = 0"), f, **options).collect())) == want

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from morpholake.plans import file_queries, mesh_queries, queries, readout_queries, source_queries  # noqa: F401
 from morpholake.plans.registry import QUERIES, SQL
@@ -61,3 +62,10 @@ def test_bricks_of_halo_rows_alone_are_passed_over(spark):
 
     rows = spark.sql("SELECT 1 AS series, 0L AS x, 0L AS y, 0L AS z")
     assert [tuple(r) for r in surface.by_bricks(rows, run, "n long", ("series",)).collect()] == [(1, 0)]
+
+
+def test_crowded_loci_are_compared_by_many_tasks(spark, tmp_path):
+    """Features on one locus: all pairs, and no task makes half of them."""
+    spark.range(300).selectExpr("id * 5000 AS o_orderkey", "CAST(0 AS BIGINT) AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    made = [r["count"] for r in QUERIES["locus_overlap"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 300 * 299 and max(made) < sum(made) / 2
