@@ -18,17 +18,18 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, free_name, handing_back, map_batches, materialize, new_path, pieces, texts
+from .common import column, free_name, handing_back, map_batches, materialize, new_path
 
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES - 2
@@ -47,18 +48,50 @@ MOST = np.float32(60)
 HEAD = 200_000
 KEY_BYTES = 64
 POOL_TOKENS = 3_000_000
-COUNT_WORDS = 400_000
+#: Bytes of text that are split into words at once.
+SLAB_BYTES = 4 << 20
 ALPHA = 0.1
 
 
 def tokens(text: str) -> list[bytes]:
-    """Words between ASCII gaps, A-Z lower-cased; a long word's key stands for it."""
+    """Words between ASCII gaps, A-Z lower-cased; a long word's key stands for it.  all_tokens() gives the same, many texts at once."""
     words = text.encode().lower().split()
     if words and max(map(len, words)) > KEY_BYTES:
         words = [w if len(w) <= KEY_BYTES else b"\0" + hashlib.sha256(w).digest() for w in words]
     return words
 
 
+def slabs(batches: Iterable[pa.RecordBatch], name: str, most: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes of text, or of one row."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def all_tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens() of all texts one after another, binary; where each text's begin and, last, where all end); null is empty."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat = split.flatten().cast(pa.binary())
+    size = pc.binary_length(flat).to_numpy(zero_copy_only=False)
+    real = size > 0  # a gap at an end of a text leaves an empty word
+    at = np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()]
+    if not real.all():
+        flat = flat.filter(pa.array(real))
+    if (long := size[real] > KEY_BYTES).any():
+        keys = [b"\0" + hashlib.sha256(w.as_py()).digest() for w in flat.filter(pa.array(long))]
+        flat = pc.replace_with_mask(flat, pa.array(long), pa.array(keys, pa.binary()))
+    return flat, at
+
+
+def places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known ones, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
 # ---- counts
 
 
@@ -67,21 +100,11 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([T.StructField("word", T.BinaryType(), False), T.StructField("c", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys = list(held)
-            for at in range(0, len(keys), 50_000):
-                some = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([held[k] for k in some], pa.int64())], names=schema.names)
-            held.clear()
-
-        for batch in pieces(batches):
-            for x in texts(batch):
-                held.update(tokens(x))
-                if len(held) > COUNT_WORDS:
-                    yield from flush()
-        yield from flush()
+        for some in slabs(batches, "text", 3 * SLAB_BYTES):
+            found = pc.value_counts(all_tokens(some.column("text"))[0])
+            counted = pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=schema.names)
+            for at in range(0, len(counted), 50_000):
+                yield counted.slice(at, 50_000)
 
     return docs.select(column(text).alias("text")).mapInArrow(handing_back(run), schema).groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -113,46 +136,77 @@ def new_network(seed: int = 7) -> Network:
     return Network(r(3 * HIDDEN, n), r(3 * HIDDEN, HIDDEN), r(CLASSES, HIDDEN), np.zeros((CLASSES, 1), np.float32), r(CLASSES, CLASSES, HIDDEN), np.zeros((CLASSES, CLASSES, 1), np.float32))
 
 
-def step(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One GRU step: (new state, update and reset gates, candidate, state part of the candidate)."""
-    a = net.u @ h
-    zr = x[: 2 * HIDDEN] + a[: 2 * HIDDEN]
-    zr *= np.float32(0.5)  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, which cannot overflow
-    np.tanh(zr, out=zr)
-    zr *= np.float32(0.5)
-    zr += np.float32(0.5)
-    p = a[2 * HIDDEN :]
-    c = zr[HIDDEN:] * p
-    c += x[2 * HIDDEN :]
-    np.tanh(c, out=c)
-    new = c - h
-    new *= zr[:HIDDEN]
-    new += h
-    return new, zr, c, p
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis; x is changed.  No maximum is taken off: states lie between -1 and 1, and MOST bounds the rest."""
+#: Gates are taken at half their input: sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, which cannot overflow.
+HALF = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN)[:, None]
+
+
+def halved_columns(net: Network) -> np.ndarray:
+    """The input columns as steps() takes them, a row for each symbol."""
+    return np.ascontiguousarray((net.x * HALF).T)
+
+
+def steps(net: Network, columns: np.ndarray, seen: np.ndarray, h: np.ndarray, end: int, gates: Iterable, parts: Iterable, cand: Iterable, states: np.ndarray) -> np.ndarray:
+    """The state after the GRU has seen these symbols (steps, lanes); a state starts anew where an end was seen.
+
+    Each step fills its item of gates (update and reset), parts (state parts of the gates, halved, and of the candidate),
+    cand (candidates) and states."""
+    u, two, half = net.u * HALF, 2 * HIDDEN, np.float32(0.5)
+    starts = seen == end
+    goes = np.logical_not(starts).astype(np.float32)
+    x_in = np.ascontiguousarray(np.take(columns, seen, axis=0).transpose(0, 2, 1))
+    for some, on, xg, xc, zr, a, c, new in zip(starts.any(axis=1).tolist(), goes, x_in[:, :two], x_in[:, two:], gates, parts, cand, states, strict=False):
+        if some:
+            h = h * on
+        np.dot(u, h, out=a)
+        np.add(xg, a[:two], out=zr)
+        np.tanh(zr, out=zr)
+        zr *= half
+        zr += half
+        np.multiply(zr[HIDDEN:], a[two:], out=c)
+        c += xc
+        np.tanh(c, out=c)
+        np.subtract(c, h, out=new)
+        new *= zr[:HIDDEN]
+        new += h
+        h = new
+    return h
+
+
+def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Over the first axis, of one row (at) a column; x is changed.
+
+    No maximum is taken off: states lie between -1 and 1, and MOST bounds the rest."""
     np.minimum(x, MOST, out=x)
-    x -= np.log(np.exp(x).sum(axis=0))
-    return x
+    own = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    own -= np.log(x.sum(axis=0))
+    return own
 
 
 def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log p of each target symbol given its state (a column of h): its class, then it among its class."""
     order = np.argsort(target.astype(np.int16), kind="stable")
-    kind, member, h = target[order] // CLASSES, target[order] % CLASSES, h[:, order]
-    rows = np.arange(len(target))
-    log_p = log_softmax(net.wc @ h + net.bc)[kind, rows]
+    kind, member = np.divmod(target[order], CLASSES)
+    own = np.ones((HIDDEN + 1, len(order)), np.float32)  # the row of ones stands for the biases
+    np.take(h, order, axis=1, out=own[:HIDDEN], mode="clip")
+    log_p = log_softmax_at(np.hstack([net.wc, net.bc]) @ own, kind)
+    words = np.concatenate([net.wo, net.bo], axis=2)
     cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
     for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
         if a < b:
-            log_p[a:b] += log_softmax(net.wo[k] @ h[:, a:b] + net.bo[k])[member[a:b], rows[: b - a]]
+            log_p[a:b] += log_softmax_at(words[k] @ own[:, a:b], member[a:b])
     out = np.empty_like(log_p)
     out[order] = log_p
     return out
 
 
+def keep_heap() -> None:
+    """Lets the C library keep what windows free: once a block of this size was freed, smaller ones stay in its heap.
+
+    Else each window's arrays go back to the system and are faulted in again, a quarter of the training's CPU time."""
+    np.empty(1 << 24, np.uint8)
+
+
 def network_of(flat: np.ndarray) -> Network:
     """The network whose parts are views of a flat array."""
     out, at = [], 0
@@ -211,6 +265,7 @@ def learn(state: np.ndarray, docs: Iterable[np.ndarray], end: int, lanes: int =
     """One pass of truncated backpropagation with Adam over docs (symbols of each text with its end); changes state.
 
     Returns the number of symbols learned from, which is that of all docs."""
+    keep_heap()
     n = len(state) // 3
     p, m, v = state[:n], state[n : 2 * n], state[2 * n : 3 * n]
     g, move = np.empty_like(p), np.empty_like(p)
@@ -255,68 +310,81 @@ def _window(net: Network, g: Network, seen: np.ndarray, wanted: np.ndarray, h: n
     """The states after one window that begins with h; gradients of its summed loss are added to g (zeros).
 
     seen, wanted: (steps, lanes).  A state starts anew where an end was seen; a wanted symbol under 0 is none."""
-    steps, lanes = seen.shape
-    starts = seen == end
-    some = starts.any(axis=1).tolist()
-    goes = np.logical_not(starts).astype(np.float32)
-    x_in = np.ascontiguousarray(np.take(np.ascontiguousarray(net.x.T), seen, axis=0).transpose(0, 2, 1))
-    before = np.empty((steps, HIDDEN, lanes), np.float32)
-    gates = np.empty((steps, 2 * HIDDEN, lanes), np.float32)
-    cand, part, states = np.empty_like(before), np.empty_like(before), np.empty((HIDDEN, steps, lanes), np.float32)
-    for k in range(steps):
-        before[k] = h * goes[k] if some[k] else h
-        h, gates[k], cand[k], part[k] = step(net, x_in[k], before[k])
-        states[:, k] = h
-    # Losses and their gradients, the positions in order of their symbols.
+    n, lanes = seen.shape
+    goes = np.not_equal(seen, end).astype(np.float32)
+    some = (seen == end).any(axis=1).tolist()
+    made = lambda *rows: np.empty((n, *rows, lanes), np.float32)
+    gates, parts, c, states = made(2 * HIDDEN), made(3 * HIDDEN), made(HIDDEN), made(HIDDEN)
+    last = steps(net, halved_columns(net), seen, h, end, gates, parts, c, states)
+    before = np.concatenate([h[None], states[:-1]])
+    before *= goes[:, None]
+    # Losses and their gradients, the positions in order of their symbols; a row of ones stands for the biases.
     target = wanted.reshape(-1)
     order = np.argsort(target, kind="stable")
     order = order[np.searchsorted(target[order], 0) :]
     target = target[order].astype(np.int64)
     kind, member, rows = target // CLASSES, target % CLASSES, np.arange(len(target))
-    flat = np.take(states.reshape(HIDDEN, -1), order, axis=1)
-    pc = _softmax(net.wc @ flat + net.bc)
+    flat = np.ones((HIDDEN + 1, len(target)), np.float32)
+    np.take(by_rows(states), order, axis=1, out=flat[:HIDDEN], mode="clip")
+    pc = _softmax(np.hstack([net.wc, net.bc]) @ flat)
     pc[kind, rows] -= 1
-    g.wc[:] = pc @ flat.T
-    g.bc[:, 0] = pc.sum(axis=1)
+    both = pc @ flat.T
+    g.wc[:], g.bc[:] = both[:, :HIDDEN], both[:, HIDDEN:]
     d_flat = np.zeros((HIDDEN, len(target) + 1), np.float32)  # its last column is that of positions without a loss
-    d_flat[:, :-1] = net.wc.T @ pc
-    place = np.full(steps * lanes, len(target))
-    place[order] = rows
+    np.dot(net.wc.T, pc, out=(d_own := np.empty((HIDDEN, len(target)), np.float32)))
+    words = np.concatenate([net.wo, net.bo], axis=2)
+    both = np.zeros_like(words)
     cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
     for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
         if a == b:
             continue
         own = flat[:, a:b]
-        pw = _softmax(net.wo[k] @ own + net.bo[k])
+        pw = _softmax(np.dot(words[k], own))
         pw[member[a:b], rows[: b - a]] -= 1
-        g.wo[k] = pw @ own.T
-        g.bo[k, :, 0] = pw.sum(axis=1)
-        d_flat[:, a:b] += net.wo[k].T @ pw
-    dh = np.take(d_flat, place, axis=1)
-    # Back through the steps.  dx: gradients of the input columns, da: of the state parts.
-    dx, da = np.empty((steps, 3 * HIDDEN, lanes), np.float32), np.empty((steps, 3 * HIDDEN, lanes), np.float32)
-    z, r, c = gates[:, :HIDDEN], gates[:, HIDDEN:], cand
-    by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * (1 - z), part * r * (1 - r)
-    stay, back = 1 - z, np.ascontiguousarray(net.u.T)
+        np.dot(pw, own.T, out=both[k])
+        d_own[:, a:b] += np.dot(net.wo[k].T, pw)
+    g.wo[:], g.bo[:] = both[:, :, :HIDDEN], both[:, :, HIDDEN:]
+    d_flat[:, :-1] = d_own
+    place = np.full(n * lanes, len(target))
+    place[order] = rows
+    dh = np.take(d_flat, place, axis=1).reshape(HIDDEN, n, lanes).transpose(1, 0, 2)
+    # Back through the steps.  grown: gradients of the reset gate, the candidate's state part, the update gate, the candidate.
+    z, r, p = gates[:, :HIDDEN], gates[:, HIDDEN:], parts[:, 2 * HIDDEN :]
+    grown, first, second = made(4, HIDDEN), made(2, HIDDEN), made(2, HIDDEN)
+    stay = 1 - z
+    np.multiply(c - before, z * stay, out=first[:, 0])
+    np.multiply(z, 1 - c * c, out=first[:, 1])
+    np.multiply(p, r * (1 - r), out=second[:, 0])
+    second[:, 1] = r
+    back = np.ascontiguousarray(np.roll(net.u, -HIDDEN, axis=0).T)
     carry = np.zeros((HIDDEN, lanes), np.float32)
-    for k in range(steps - 1, -1, -1):
-        d = dh[:, k * lanes : (k + 1) * lanes] + carry
-        x, a = dx[k], da[k]
-        np.multiply(d, by_c[k], out=x[2 * HIDDEN :])
-        np.multiply(d, by_z[k], out=x[:HIDDEN])
-        np.multiply(x[2 * HIDDEN :], by_r[k], out=x[HIDDEN : 2 * HIDDEN])
-        a[: 2 * HIDDEN] = x[: 2 * HIDDEN]
-        np.multiply(x[2 * HIDDEN :], r[k], out=a[2 * HIDDEN :])
+    for k in range(n - 1, -1, -1):
+        d, own = dh[k] + carry, grown[k]
+        np.multiply(d, first[k], out=own[2:])
+        np.multiply(own[3], second[k], out=own[:2])
         d *= stay[k]
-        d += back @ a
+        d += np.dot(back, own[:3].reshape(3 * HIDDEN, lanes))
         carry = d * goes[k] if some[k] else d
-    g.u[:] = np.matmul(da, before.transpose(0, 2, 1)).sum(axis=0)
+    laid = np.empty((4, HIDDEN, n, lanes), np.float32)  # update, reset, the candidate's state part, the candidate
+    for k, at in enumerate((2, 0, 1, 3)):
+        laid[k] = grown[:, at].transpose(1, 0, 2)
+    laid = laid.reshape(4 * HIDDEN, -1)
+    np.dot(laid[: 3 * HIDDEN], by_rows(before).T, out=g.u)
     who = seen.reshape(-1)
     order = np.argsort(who, kind="stable")
     order = order[np.searchsorted(who[order], 0) :]  # a lane that has ended sees -1
-    first = np.flatnonzero(np.diff(who[order], prepend=-2))
-    g.x[:, who[order[first]]] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0).T
-    return h
+    sorted_who = who[order]
+    new = np.flatnonzero(np.diff(sorted_who, prepend=-2))
+    dx = np.empty((3 * HIDDEN, len(order)), np.float32)
+    np.take(laid[: 2 * HIDDEN], order, axis=1, out=dx[: 2 * HIDDEN], mode="clip")
+    np.take(laid[3 * HIDDEN :], order, axis=1, out=dx[2 * HIDDEN :], mode="clip")
+    g.x[:, sorted_who[new]] = np.add.reduceat(dx, new, axis=1)
+    return last
+
+
+def by_rows(x: np.ndarray) -> np.ndarray:
+    """(steps, rows, lanes) as (rows, steps by lanes)."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
 
 
 def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -325,6 +393,7 @@ def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarra
     Documents are laid one after another into lanes, the longest first into the emptiest lane."""
     if not docs:
         return np.zeros(0)
+    keep_heap()
     size = np.array([len(d) for d in docs])
     lanes = min(LANES, len(docs))
     lane_docs: list[list[int]] = [[] for _ in range(lanes)]
@@ -341,7 +410,7 @@ def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarra
     out = np.zeros(len(docs))
     h, last = np.zeros((HIDDEN, lanes), np.float32), np.full(lanes, end)
     span = max(1, BLOCK // lanes)
-    columns = np.ascontiguousarray(net.x.T)
+    columns = halved_columns(net)
     for at in range(0, int(length[0]), span):
         live = int(np.searchsorted(-length, -at, side="left"))  # lanes that go on, all in front
         h, last = h[:, :live], last[:live]
@@ -355,15 +424,13 @@ def score_documents(net: Network, docs: list[np.ndarray], end: int) -> np.ndarra
         seen = np.vstack([last[None], block[:-1]])
         seen[seen < 0] = end
         last = block[-1]
-        starts = seen == end
-        some, goes = starts.any(axis=1).tolist(), np.logical_not(starts).astype(np.float32)
-        states = np.empty((HIDDEN, n, live), np.float32)
-        for t in range(n):
-            h = step(net, np.take(columns, seen[t], axis=0).T, h * goes[t] if some[t] else h)[0]
-            states[:, t] = h
-        real = block >= 0
-        logp = log_probabilities(net, states[:, real], block[real])
-        out += np.bincount(who.T[real], logp, len(docs))
+        states = np.empty((n, HIDDEN, live), np.float32)
+        gates, parts, cand = (repeat(np.empty((k * HIDDEN, live), np.float32)) for k in (2, 3, 1))
+        h = steps(net, columns, seen, h, end, gates, parts, cand, states)
+        target = block.reshape(-1)
+        real = np.flatnonzero(target >= 0)
+        logp = log_probabilities(net, np.take(by_rows(states), real, axis=1), target[real])
+        out += np.bincount(who.T.reshape(-1)[real], logp, len(docs))
     return out
 
 
@@ -400,6 +467,18 @@ def frequent(counts: DataFrame) -> DataFrame:
     return placed.filter(F.col("step") >= cut).select("word", "c")
 
 
+def with_ends(symbols: np.ndarray, at: np.ndarray, rest: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols as int16, an end after each text's and -1 as the rest; where each text's end)."""
+    n = len(at) - 1
+    ends = at[1:] + np.arange(1, n + 1)
+    out = np.empty(len(symbols) + n, np.int16)
+    inner = np.ones(len(out), bool)
+    inner[ends - 1] = False
+    out[inner] = np.where(symbols < 0, rest, symbols)
+    out[ends - 1] = end
+    return out, ends
+
+
 def written_symbols(docs: DataFrame, symbols: dict[bytes, int], end: int, rest: int, text: str, order: str) -> list[DataFrame]:
     """A table of the texts as symbols (int16, the end included) for each round, from one scan."""
     share = F.pmod(F.xxhash64(column(order)), F.lit(ROUNDS[-1]))
@@ -408,10 +487,16 @@ def written_symbols(docs: DataFrame, symbols: dict[bytes, int], end: int, rest:
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for some in pieces(batches, 512):
-            coded = [np.array([known.get(w, rest) for w in tokens(x)] + [end], np.int16).tobytes() for x in texts(some)]
-            yield pa.RecordBatch.from_arrays([some.column("turn"), pa.array(coded, pa.binary())], names=schema.names)
+        known = pa.array(list(shared.value), pa.binary())
+        for some in slabs(batches, "text"):
+            words, at = all_tokens(some.column("text"))
+            coded, ends = with_ends(places(words, known), at, rest, end)
+            for low in range(0, len(ends), 1024):
+                own = ends[low : low + 1024]
+                start = int(ends[low - 1]) if low else 0
+                where = np.append(0, own - start) * coded.itemsize
+                x = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(coded[start : own[-1]])])
+                yield pa.RecordBatch.from_arrays([some.column("turn").slice(low, len(own)), x], names=schema.names)
 
     path = new_path(docs.sparkSession, "symbols")
     map_batches(docs.select(turn.alias("turn"), column(text).alias("text")), run, schema).write.partitionBy("turn").parquet(path)
@@ -483,6 +568,16 @@ def train(docs: DataFrame, text: str = "text", order: str = "doc_id", counts: Da
     return Model(network_of(state[: len(state) // 3].copy()), symbols, end, rest, float(mass), head, total, distinct, n_docs, learned), counts
 
 
+def opened_words(words: pa.Array, row: np.ndarray, missing: np.ndarray, n: int) -> pa.Array:
+    """Of each of n rows, its missing words with how often it holds them."""
+    own = words.filter(pa.array(missing)).dictionary_encode()
+    v = max(1, len(own.dictionary))
+    pairs, times = np.unique(row[missing] * v + own.indices.to_numpy(), return_counts=True)
+    ends = np.append(0, np.cumsum(np.bincount(pairs // v, minlength=n)))
+    both = pa.StructArray.from_arrays([own.dictionary.take(pa.array(pairs % v)), pa.array(times, pa.int64())], names=["w", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep columns, n_tokens, n_known, train_tokens, base_score, score (both log10), one row per row of docs.
 
@@ -501,7 +596,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         scale = np.log10(m.total + ALPHA * (m.distinct + 1)) if m.total else np.log10(ALPHA)
-        place = {w: k for k, w in enumerate(m.head)}
+        head, known = pa.array(list(m.head), pa.binary()), len(m.symbols)
         logs = np.log10(np.array([*m.head.values(), 0.0]) + ALPHA)
         rest_log = np.log10(m.rest_mass) if m.rest_mass > 0 else 0.0
         base_end = np.log10(m.ends + ALPHA) - scale
@@ -513,36 +608,28 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
             at = 0
             for cols, n_tokens, n_known, base, more, opened in held:
                 k = len(n_tokens)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([m.total] * k, pa.int64()), pa.array(base, pa.float64()), pa.array(logp[at : at + k] + np.array(more), pa.float64()), opened], names=schema.names)
+                made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(k, m.total), pa.int64()), pa.array(base), pa.array(logp[at : at + k] + more)]
+                whole = pa.RecordBatch.from_arrays([*cols, *made, opened], names=schema.names)
+                for low in range(0, k, 512):
+                    yield whole.slice(low, 512)
                 at += k
             held.clear()
             pool.clear()
 
         pooled = 0
-        for batch in pieces(batches, 512):
-            n_tokens, n_known, base, more = [], [], [], []
-            missing, times, ends = [], [], [0]
-            for x in texts(batch, text_name):
-                ws = tokens(x)
-                at = np.array([place.get(w, -1) for w in ws], np.int64)
-                # Symbols are the first ranks of the head.
-                known = at < len(m.symbols)
-                pool.append(np.append(np.where(known & (at >= 0), at, m.rest), m.end).astype(np.int16))
-                headed = at[at >= 0]
-                if len(headed) < len(at):
-                    opened = Counter([ws[i] for i in np.flatnonzero(at < 0).tolist()])
-                    missing += opened.keys()
-                    times += opened.values()
-                ends.append(len(missing))
-                own = logs[headed]
-                n_tokens.append(len(ws) + 1)
-                n_known.append(len(headed) + (m.ends > 0))
-                base.append(float(own.sum() - scale * len(headed) + base_end))
-                beyond = headed >= len(m.symbols)
-                more.append(float(own[beyond].sum() - rest_log * beyond.sum()))
-            words = pa.StructArray.from_arrays([pa.array(missing, pa.binary()), pa.array(times, pa.int64())], names=["w", "n"])
-            held.append(([batch.column(k) for k in range(len(keep))], n_tokens, n_known, base, more, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)))
-            pooled += sum(n_tokens)
+        for batch in slabs(batches, text_name):
+            words, at = all_tokens(batch.column(text_name))
+            n = np.diff(at)
+            place, row = places(words, head), np.repeat(np.arange(len(n)), n)
+            # Symbols are the first ranks of the head.
+            coded, ends = with_ends(np.where(place < known, place, -1), at, m.rest, m.end)
+            pool += np.split(coded, ends[:-1])
+            found, beyond = place >= 0, place >= known
+            headed = np.bincount(row[found], minlength=len(n))
+            base = np.bincount(row[found], logs[place[found]], len(n)) - scale * headed + base_end
+            more = np.bincount(row[beyond], logs[place[beyond]] - rest_log, len(n))
+            held.append((batch.columns[: len(keep)], n + 1, headed + (m.ends > 0), base, more, opened_words(words, row, ~found, len(n))))
+            pooled += len(coded)
             if pooled > POOL_TOKENS:
                 yield from flush()
                 pooled = 0

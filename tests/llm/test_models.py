@@ -1,10 +1,14 @@
 """Held-out accuracy and odd rows of the learned operators."""
 
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +205,40 @@ def test_long_words_have_keys():
     assert len({a, b, c}) == 3 and len(a) == len(b) == 33 and c == b"w" * 64 and gru_lm.tokens(long) == [a]
 
 
+def test_all_tokens_equal_tokens(monkeypatch):
+    """Texts of a batch are split at once, also in slabs of a few bytes."""
+    long = "Ab" * 40
+    docs = [None, "", " ", "a", "  B a\t\ta\n", f"{long} x {long}y \u00c4\u0130 {long}", "a\u00a0b\x1cc\x85d \x0b\x0ce\r", "z " * 50, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(["cut", *docs, "off"])], names=["text"]).slice(1, len(docs))
+    for most in (1, 9, 1 << 20):
+        rows = []
+        for some in gru_lm.slabs([batch], "text", most):
+            words, at = gru_lm.all_tokens(some.column("text"))
+            rows += [words.to_pylist()[a:b] for a, b in zip(at, at[1:], strict=False)]
+        assert rows == [gru_lm.tokens(x or "") for x in docs]
+    words = pa.array([b"b", b"no", b"a", b"no", b"no"])
+    assert gru_lm.places(words, pa.array([b"a", b"b"])).tolist() == [1, -1, 0, -1, -1]
+    coded, ends = gru_lm.with_ends(np.array([1, -1, 0, -1, -1]), np.array([0, 0, 3, 3, 5]), 8, 9)
+    assert [x.tolist() for x in np.split(coded, ends[:-1])] == [[9], [1, 8, 0, 9], [9], [8, 8, 9]]
+    opened = gru_lm.opened_words(words, np.array([1, 1, 1, 3, 3]), np.array([False, True, False, True, True]), 4)
+    assert opened.to_pylist() == [[], [{"w": b"no", "n": 1}], [], [{"w": b"no", "n": 2}]]
+
+
+def test_windows_are_not_faulted_in_again():
+    """Memory that a window frees serves the next one; a fresh process, as the heap of this one has grown already."""
+    code = """if True:
+        import resource
+        import numpy as np
+        from morpholake.llm import gru_lm
+        docs = np.random.default_rng(0).integers(0, gru_lm.VOCABULARY, (128, 32 * 60)).astype(np.int16)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        assert gru_lm.learn(gru_lm.new_state(), docs, gru_lm.VOCABULARY) == docs.size
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+    """
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(gru_lm.__file__).parents[2])
+    assert int(done.stdout) < 60 * 200  # some 1,500 a window where the heap is not kept
+
+
 def test_lanes_and_windows_do_not_matter(monkeypatch):
     (rng, net), end = rough_network(1), gru_lm.VOCABULARY
     docs = [np.append(rng.integers(0, end, n), end) for n in (0, 3, 700, 41, 5)]
