@@ -69,3 +69,10 @@ def test_crowded_loci_are_compared_by_many_tasks(spark, tmp_path):
     spark.range(300).selectExpr("id * 5000 AS o_orderkey", "CAST(0 AS BIGINT) AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     made = [r["count"] for r in QUERIES["locus_overlap"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(made) == 300 * 299 and max(made) < sum(made) / 2
+
+
+def test_every_feature_asks_for_its_overlaps(spark, tmp_path):
+    """No id here is divisible by 100, and all three features share a locus."""
+    spark.sql("SELECT o_orderkey, 0L AS o_custkey FROM VALUES (1L), (5001L), (10001L) AS t(o_orderkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    ids = (1, 5001, 10001)
+    assert sorted(map(tuple, QUERIES["locus_overlap"](spark, str(tmp_path)).collect())) == sorted((a, b) for a in ids for b in ids if a != b)
