@@ -34,25 +34,26 @@ def _along(a: V3, s: Column, d: V3) -> V3:
     return tuple(x + s * y for x, y in zip(a, d, strict=True))
 
 
-def squared_distance(rows: DataFrame, point: str = "p") -> DataFrame:
-    """rows (a point px, py, pz and a triangle ax..cz) with d2, the squared distance: to the face where the point lies over it,
-    else to the nearest of the three edges."""
-    p, a, b, c = place(point), place("a"), place("b"), place("c")
-    n = _cross(_sub(b, a), _sub(c, a))
-    rows = rows.withColumns({f"_n{i}": x for i, x in zip("xyz", n, strict=True)})
-    n = place("_n")
-    nn = _dot(n, n)
+SIDES = "ab", "bc", "ca"
 
-    def to_edge(u: V3, v: V3) -> Column:
-        d = _sub(v, u)
-        length = _dot(d, d)
-        t = F.when(length > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(_sub(p, u), d) / length))).otherwise(0.0)
-        off = _sub(p, _along(u, t, d))
-        return _dot(off, off)
 
-    sides = [_dot(_cross(_sub(v, u), _sub(p, u)), n) >= 0 for u, v in ((a, b), (b, c), (c, a))]
-    height = _dot(_sub(p, a), n)
-    return rows.withColumn("d2", F.when((nn > 0) & sides[0] & sides[1] & sides[2], height * height / nn).otherwise(F.least(to_edge(a, b), to_edge(b, c), to_edge(c, a)))).drop("_nx", "_ny", "_nz")
+def squared_distance(rows: DataFrame, point: str = "p") -> DataFrame:
+    """rows (a point px, py, pz and a triangle ax..cz) with d2, the squared distance: to the face where the point lies over it,
+    else to the nearest of the three edges.
+
+    Each step is a column of its own: nested in one another, the steps are repeated where they are used, and make code that
+    the JVM does not compile."""
+    kept, p, n = rows.columns, place(point), place("_n")
+    step = lambda k, v: {f"{k}{c}": x for c, x in zip("xyz", v, strict=True)}
+    ways = {k: x for u, v in SIDES for k, x in (step(f"_w{u}", _sub(p, place(u))) | step(f"_{u}{v}", _sub(place(v), place(u)))).items()}
+    rows = rows.withColumns(step("_n", _cross(_sub(place("b"), place("a")), _sub(place("c"), place("a")))) | ways)
+    dots = {k: x for u, v in SIDES for k, x in ((f"_s{u}", _dot(_cross(place(f"_{u}{v}"), place(f"_w{u}")), n)), (f"_l{u}", _dot(place(f"_{u}{v}"), place(f"_{u}{v}"))), (f"_t{u}", _dot(place(f"_w{u}"), place(f"_{u}{v}"))))}
+    rows = rows.withColumns({"_nn": _dot(n, n), "_h": _dot(place("_wa"), n)} | dots)
+    rows = rows.withColumns({f"_t{u}": F.when(F.col(f"_l{u}") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f"_t{u}") / F.col(f"_l{u}")))).otherwise(0.0) for u, _ in SIDES})
+    rows = rows.withColumns({k: x for u, v in SIDES for k, x in step(f"_o{u}", _sub(p, _along(place(u), F.col(f"_t{u}"), place(f"_{u}{v}")))).items()})
+    rows = rows.withColumns({f"_e{u}": _dot(place(f"_o{u}"), place(f"_o{u}")) for u, _ in SIDES})
+    over = (F.col("_nn") > 0) & (F.col("_sa") >= 0) & (F.col("_sb") >= 0) & (F.col("_sc") >= 0)
+    return rows.withColumn("d2", F.when(over, F.col("_h") * F.col("_h") / F.col("_nn")).otherwise(F.least("_ea", "_eb", "_ec"))).select(*(c for c in kept if c != "d2"), "d2")
 
 
 def _cells(low: list[Column], high: list[Column], size: float) -> list[Column]:
@@ -81,33 +82,43 @@ def _box() -> tuple[list[Column], list[Column]]:
 def surface_distance(points: DataFrame, triangles: DataFrame, reach: float, by: tuple[str, ...] = ("series",), levels: int = 3) -> DataFrame:
     """points (by, point_id, px, py, pz) with distance: to the nearest triangle of the same by within reach; farther reads as reach.
 
-    Cells that hold points keep the triangles that can be nearest to a place in them: those no farther from the cell's centre
-    than the nearest one and the cell's diagonal.  The first cells are as wide as the reach; each level halves them and looks
-    among the triangles of the cell above, so that a point at last meets a short list.  Points at one place ask once."""
-    place_of = [*by, "px", "py", "pz"]
+    Cells that hold points keep the triangles that can be nearest to a place in them: those no farther from the centre of the
+    box around the cell's places than the nearest one and the box's diagonal.  The first cells are as wide as the reach; each
+    level halves them and looks among the triangles of the cell above, so that a point at last meets a short list.  Points
+    at one place ask once, equal triangles answer once."""
+    place_of, cell = [*by, "px", "py", "pz"], [*by, *CELL]
     places = cut(points.select(*place_of).distinct())
     low, high = _box()
     laid = None
     for k in range(levels):
         size = reach / 2**k
-        radius = size * 3**0.5 / 2 * (1 + 1e-6)
         if laid is None:
-            laid = _spread(dealt(triangles.select(*by, *CORNERS)), _cells([c - reach for c in low], [c + reach for c in high], size))
+            ranges = dict(zip(("_sx", "_sy", "_sz"), _cells([c - reach for c in low], [c + reach for c in high], size), strict=True))
+            laid = dealt(triangles.select(*by, *CORNERS).distinct().withColumns({**ranges, "_near": F.lit(float(reach))}))
+            laid = _spread(laid, [F.col(c) for c in ranges]).drop(*ranges)
         else:
             for c in CELL:
                 laid = laid.withColumn(c, F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)))
-        held = places.select(*by, *(F.floor(F.col(f"p{c}") / size).alias(f"_c{c}") for c in "xyz")).distinct()
-        laid = laid.join(held, [*by, *CELL], "left_semi").withColumns({f"_o{c}": (F.col(f"_c{c}") + 0.5) * size for c in "xyz"})
-        off = squared_distance(laid, "_o").withColumn("_off", F.sqrt("d2")).drop("d2", "_ox", "_oy", "_oz")
-        off = cut(off.filter(F.col("_off") <= reach + radius))
-        least = off.groupBy(*by, *CELL).agg((F.min("_off") * (1 + 1e-9) + 2 * radius).alias("_most"))
-        laid = dealt(off.join(least, [*by, *CELL]).filter(F.col("_off") <= F.col("_most")).drop("_off", "_most"), *([*by, *CELL] if k == levels - 1 else []))
+        ends = places.groupBy(*by, *(F.floor(F.col(f"p{c}") / size).alias(f"_c{c}") for c in "xyz")).agg(*(f(f"p{c}").alias(f"_{e}{c}") for c in "xyz" for e, f in (("l", F.min), ("h", F.max))))
+        held = ends.select(*cell, *((F.col(f"_l{c}") / 2 + F.col(f"_h{c}") / 2).alias(f"_o{c}") for c in "xyz"), _radius().alias("_r"))
+        # Exploded, the distance is worked out before the filter, which would else repeat its steps within one another.
+        off = squared_distance(laid.join(held, cell), "_o").withColumn("_off", F.explode(F.array(F.sqrt("d2"))))
+        off = cut(off.filter(F.col("_off") <= F.col("_near") + F.col("_r")).select(*cell, *CORNERS, "_r", "_off"))
+        least = off.groupBy(*cell).agg(F.least(F.lit(float(reach)), F.min("_off") * (1 + 1e-9) + F.first("_r")).alias("_near"))
+        laid = off.join(least, cell).filter(F.col("_off") <= F.col("_near") + F.col("_r")).select(*cell, *CORNERS, "_near")
+        laid = dealt(laid, *(cell if k == levels - 1 else []))
     asked = places.withColumns({f"_c{c}": F.floor(F.col(f"p{c}") / size) for c in "xyz"})
-    hits = squared_distance(dealt(asked, *by, *CELL).join(laid.hint("merge"), [*by, *CELL])).groupBy(*place_of).agg(F.min("d2").alias("d2"))
+    hits = squared_distance(dealt(asked, *cell).join(laid.hint("merge"), cell)).groupBy(*place_of).agg(F.min("d2").alias("d2"))
     found = points.select(*by, "point_id", "px", "py", "pz").join(hits, place_of, "left")
     return found.select(*by, "point_id", F.least(F.lit(float(reach)), F.coalesce(F.sqrt("d2"), F.lit(float(reach)))).alias("distance"))
 
 
+def _radius() -> Column:
+    """Half the diagonal of a box from _lx, _ly, _lz to _hx, _hy, _hz, and what rounding can take away."""
+    sides = [F.col(f"_h{c}") - F.col(f"_l{c}") for c in "xyz"]
+    return F.sqrt(_dot(sides, sides)) / 2 * (1 + 1e-6) + 1e-12 * F.greatest(*(F.abs(f"_{e}{c}") for e in "lh" for c in "xyz"))
+
+
 def crossings(segments: DataFrame, triangles: DataFrame, cell: float, by: tuple[str, ...] = ("series",), skip: float = 0.0) -> DataFrame:
     """segments (by, segment_id, px, py, pz to qx, qy, qz) with crosses: whether one crosses a triangle more than skip from its start.
 
