@@ -269,9 +269,9 @@ def _shuffled_rows(spark):
 
 
 def test_overlapping_shuffles_lists_of_features(spark, tmp_path):
-    """2,000 features on one locus of 51 bins: a bin gets lists of them, and pairs are made after the shuffle."""
+    """2,000 features on one locus of 51 bins: a bin gets lists of them, once as none is crowded, and pairs are made after the shuffle."""
     spark.range(2000).selectExpr("id AS feature_id", "'chr1' AS chrom", "7L AS start", "3207L AS end_").write.parquet(f"{tmp_path}/f")
     f = spark.read.parquet(f"{tmp_path}/f")
     before = _shuffled_rows(spark)
     assert joins.overlapping(f, f).count() == 2000 * 1999
-    assert _shuffled_rows(spark) - before < 50_000
+    assert _shuffled_rows(spark) - before < 10_000
